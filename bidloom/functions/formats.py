@@ -30,7 +30,7 @@ def _symbol(currency: Column | str, table: dict[str, str]) -> Column:
     return chain.otherwise(F.concat(currency, F.lit(" ")))
 
 
-def _fixed(value: Column, decimals: int) -> Column:
+def format_string_fixed(value: Column, decimals: int) -> Column:
     return F.format_string(f"%.{decimals}f", value.cast("double"))
 
 
@@ -42,11 +42,11 @@ def _grouped(text: Column, pattern: str) -> Column:
 
 def indian_number(value: Column, decimals: int = 2) -> Column:
     """12,34,567.00: the last three digits, then pairs."""
-    return F.when(value.isNotNull(), _grouped(_fixed(value, decimals), r"(\d)(?=(\d\d)+\d$)"))
+    return F.when(value.isNotNull(), _grouped(format_string_fixed(value, decimals), r"(\d)(?=(\d\d)+\d$)"))
 
 
 def western_number(value: Column, decimals: int = 0, separators: bool = True) -> Column:
-    text = _fixed(value, decimals)
+    text = format_string_fixed(value, decimals)
     grouped = _grouped(text, r"(\d)(?=(\d\d\d)+$)") if separators else text
     return F.when(value.isNotNull(), grouped)
 
@@ -63,8 +63,8 @@ def currency(value: Column, code: Column | str = "INR", decimals: int = 2, symbo
 def _suffixed(value: Column, steps: list[tuple[float, str]], decimals: int, plain: int) -> Column:
     chain = F.when(value.isNull(), F.lit(None).cast("string"))
     for size, suffix in steps:
-        chain = chain.when(value >= size, F.concat(_fixed(value / F.lit(size), decimals), F.lit(suffix)))
-    return chain.otherwise(_fixed(value, plain))
+        chain = chain.when(value >= size, F.concat(format_string_fixed(value / F.lit(size), decimals), F.lit(suffix)))
+    return chain.otherwise(format_string_fixed(value, plain))
 
 
 def currency_compact(value: Column, code: str = "INR") -> Column:
@@ -73,13 +73,13 @@ def currency_compact(value: Column, code: str = "INR") -> Column:
 
 
 def percentage(value: Column, decimals: int = 2, symbol: bool = True) -> Column:
-    text = F.when(value.isNotNull(), _fixed(value, decimals))
+    text = F.when(value.isNotNull(), format_string_fixed(value, decimals))
     return F.concat(text, F.lit("%")) if symbol else text
 
 
 def confidence(score: Column) -> Column:
     name = F.when(score >= 0.8, "High").when(score >= 0.6, "Medium").otherwise("Low")
-    return F.when(score.isNotNull(), F.concat(name, F.lit(" ("), _fixed(F.rint(score * 100), 0), F.lit("%)")))
+    return F.when(score.isNotNull(), F.concat(name, F.lit(" ("), format_string_fixed(F.rint(score * 100), 0), F.lit("%)")))
 
 
 def date_text(value: Column, style: str = "standard") -> Column:
