@@ -124,10 +124,10 @@ def summary(detail: DataFrame, s: OutlookSettings = DEFAULTS) -> DataFrame:
 def result(detail: DataFrame) -> DataFrame:
     return detail.agg(
         F.count("*").alias("total_items"),
-        F.count_if(F.col("price_trend") == "Increasing").alias("price_increase_items"),
-        F.count_if(F.col("delay_risk") == "High").alias("high_delay_risk"),
+        F.count_if(F.col("price_trend") == "Increasing").alias("items_with_price_increase"),
+        F.count_if(F.col("delay_risk") == "High").alias("high_delay_risk_items"),
         F.count_if(F.col("budget_overrun_probability") > 0.7).alias("budget_overrun_risk"),
-        F.avg("predicted_price_change_pct").alias("average_price_change"),
+        F.avg("predicted_price_change_pct").alias("average_price_change_pct"),
     )
 
 
