@@ -30,25 +30,41 @@ def _symbol(currency: Column | str, table: dict[str, str]) -> Column:
     return chain.otherwise(F.concat(currency, F.lit(" ")))
 
 
-def format_string_fixed(value: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", value.cast("double"))
-
-
-def _grouped(text: Column, pattern: str) -> Column:
-    whole = F.regexp_replace(F.split_part(text, F.lit("."), F.lit(1)), pattern, "$1,")
-    fraction = F.split_part(text, F.lit("."), F.lit(2))
-    return F.concat(whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")))
+def fixed_text(value: Column, decimals: int) -> Column:
+    """Plain digits with a fixed number of decimals.
+
+    Whole part and fraction are rounded apart: the fraction is exact, so from 1
+    upwards a value just below a tie is not taken for one.
+    """
+    size = F.abs(value.cast("double"))
+    sign = F.when(value < 0, "-").otherwise("")
+    if decimals == 0:
+        return F.concat(sign, F.format_string("%.0f", F.rint(size)))
+    scale = float(10**decimals)
+    units = F.rint((size - F.floor(size)) * scale)
+    whole = F.floor(size) + F.floor(units / scale)
+    return F.concat(
+        sign,
+        whole.cast("string"),
+        F.lit("."),
+        F.lpad((units % scale).cast("bigint").cast("string"), decimals, "0"),
+    )
+
+
+def _grouped(text: Column, decimals: int, rest: str) -> Column:
+    """Commas before each run of ``rest`` digits that ends the whole part."""
+    end = r"\." if decimals else "$"
+    return F.regexp_replace(text, rf"(\d)(?={rest}{end})", "$1,")
 
 
 def indian_number(value: Column, decimals: int = 2) -> Column:
     """12,34,567.00: the last three digits, then pairs."""
-    return F.when(value.isNotNull(), _grouped(format_string_fixed(value, decimals), r"(\d)(?=(\d\d)+\d$)"))
+    return F.when(value.isNotNull(), _grouped(fixed_text(value, decimals), decimals, r"(\d\d)+\d"))
 
 
 def western_number(value: Column, decimals: int = 0, separators: bool = True) -> Column:
-    text = format_string_fixed(value, decimals)
-    grouped = _grouped(text, r"(\d)(?=(\d\d\d)+$)") if separators else text
-    return F.when(value.isNotNull(), grouped)
+    text = fixed_text(value, decimals)
+    return F.when(value.isNotNull(), _grouped(text, decimals, r"(\d\d\d)+") if separators else text)
 
 
 def currency(value: Column, code: Column | str = "INR", decimals: int = 2, symbol: bool = True) -> Column:
@@ -63,8 +79,8 @@ def currency(value: Column, code: Column | str = "INR", decimals: int = 2, symbo
 def _suffixed(value: Column, steps: list[tuple[float, str]], decimals: int, plain: int) -> Column:
     chain = F.when(value.isNull(), F.lit(None).cast("string"))
     for size, suffix in steps:
-        chain = chain.when(value >= size, F.concat(format_string_fixed(value / F.lit(size), decimals), F.lit(suffix)))
-    return chain.otherwise(format_string_fixed(value, plain))
+        chain = chain.when(value >= size, F.concat(fixed_text(value / F.lit(size), decimals), F.lit(suffix)))
+    return chain.otherwise(fixed_text(value, plain))
 
 
 def currency_compact(value: Column, code: str = "INR") -> Column:
@@ -73,13 +89,13 @@ def currency_compact(value: Column, code: str = "INR") -> Column:
 
 
 def percentage(value: Column, decimals: int = 2, symbol: bool = True) -> Column:
-    text = F.when(value.isNotNull(), format_string_fixed(value, decimals))
+    text = F.when(value.isNotNull(), fixed_text(value, decimals))
     return F.concat(text, F.lit("%")) if symbol else text
 
 
 def confidence(score: Column) -> Column:
     name = F.when(score >= 0.8, "High").when(score >= 0.6, "Medium").otherwise("Low")
-    return F.when(score.isNotNull(), F.concat(name, F.lit(" ("), format_string_fixed(F.rint(score * 100), 0), F.lit("%)")))
+    return F.when(score.isNotNull(), F.concat(name, F.lit(" ("), fixed_text(F.rint(score * 100), 0), F.lit("%)")))
 
 
 def date_text(value: Column, style: str = "standard") -> Column:

@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bidloom.operators.quantiles import group_quantiles
 from bidloom.operators.scalars import with_scalars
@@ -26,7 +25,7 @@ HIGH_SHARE = 0.05
 SEED = 42
 _EULER = 0.5772156649015329
 
-_TREE = T.StructType.fromDDL(
+_TREE = (
     "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
 )
 
@@ -100,7 +99,7 @@ def fit_forest(
                 rng = np.random.default_rng([seed, int(tree)])
                 picked = pool[rng.choice(len(pool), size, replace=False)]
                 rows.append({"tree": int(tree), **grow_tree(picked, rng)})
-            yield pd.DataFrame(rows, columns=[f.name for f in _TREE])
+            yield pd.DataFrame(rows)
 
     rows = df.sparkSession.range(n_trees).mapInPandas(grow, _TREE).orderBy("tree").collect()
     forest = [

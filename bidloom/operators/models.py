@@ -12,7 +12,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SEED = 42
 TREES = 100
@@ -90,7 +89,7 @@ class TrainedModel:
         )
 
 
-_FACTS = T.StructType.fromDDL(
+_FACTS = (
     "features array<string>, target string, model_type string, task string, metrics map<string,double>"
 )
 

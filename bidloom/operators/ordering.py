@@ -31,9 +31,9 @@ def row_positions(df: DataFrame, order: list, out: str = "position", keys: list[
         # one row per range: the size is bounded by the number of partitions
         offsets = F.broadcast(offsets)
     inside = Window.partitionBy(*part).orderBy(*order)
-    same = [laid[PARTITION_ID] == offsets[PARTITION_ID]]
-    same += [laid[k].eqNullSafe(offsets[k]) for k in keys]
-    joined = laid.join(offsets, same, "inner").select(*[laid[c] for c in laid.columns], offsets[_OFFSET])
+    # a null key is a group of its own, hence the null-safe match
+    same = [F.col(f"laid.{c}").eqNullSafe(F.col(f"start.{c}")) for c in part]
+    joined = laid.alias("laid").join(offsets.alias("start"), same, "inner").select("laid.*", f"start.{_OFFSET}")
     return joined.withColumn(out, F.col(_OFFSET) + F.row_number().over(inside)).drop(_OFFSET, PARTITION_ID)
 
 

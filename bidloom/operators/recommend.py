@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.functions.formats import currency, format_string_fixed
+from bidloom.functions.formats import currency, fixed_text
 
 SCHEMA = [
     ("type", "string"),
@@ -32,20 +32,20 @@ SCHEMA = [
 class Rule:
     """One recommendation.
 
-    ``message`` may use {count}, {amount}, {mean:N} (N decimals) and {ids}.
-    ``top`` keeps the first ids in ``top_by`` order; with ``top_only`` the count
+    ``when`` is a SQL condition. ``message`` may use {count}, {amount}, {mean:N} (N decimals) and {ids}.
+    ``top`` keeps the first ids in ``top_by`` order ('-name' is descending); with ``top_only`` the count
     and amount also describe just those rows.
     """
 
     type: str
     priority: str | None
-    when: Column
+    when: str
     message: str | None = None
     id_col: str | None = None
     amount: str | None = None
     mean: str | None = None
     top: int | None = None
-    top_by: Sequence[Column] = ()
+    top_by: Sequence[str] = ()
     top_name: str | None = None
     top_only: bool = False
     always: bool = False
@@ -62,7 +62,7 @@ def _text(rule: Rule, count: Column, amount: Column, mean: Column, names: Column
         elif piece == "{amount}":
             pieces.append(currency(F.coalesce(amount, F.lit(0.0))))
         elif piece.startswith("{mean:"):
-            pieces.append(format_string_fixed(mean, int(piece[6:-1])))
+            pieces.append(fixed_text(mean, int(piece[6:-1])))
         elif piece == "{ids}":
             pieces.append(F.array_join(names, ", "))
         elif piece:
@@ -75,7 +75,7 @@ def _top_list(df: DataFrame, rule: Rule) -> DataFrame:
     amount = F.col(rule.amount) if rule.amount else F.lit(None)
     rows = (
         df.where(rule.when)
-        .orderBy(*rule.top_by, F.col(rule.id_col))
+        .orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in (*rule.top_by, rule.id_col)])
         .limit(rule.top)
         .select(
             F.monotonically_increasing_id().alias("_n"),
@@ -89,14 +89,14 @@ def _top_list(df: DataFrame, rule: Rule) -> DataFrame:
         F.sum("amount").alias("amount"),
         F.sort_array(F.collect_list(F.struct("_n", "id", "name"))).alias("rows"),
     )
-    return packed.select(F.struct("count", "amount", "rows.id", "rows.name").alias("top"))
+    return packed.select(F.struct("count", "amount", F.col("rows.id").alias("id"), F.col("rows.name").alias("name")).alias("top"))
 
 
 def recommend(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per rule that matches anything (or is marked ``always``)."""
     measures = [F.count("*").alias("_rows")]
     for i, rule in enumerate(rules):
-        kept = F.coalesce(rule.when, F.lit(False))
+        kept = F.coalesce(F.expr(rule.when), F.lit(False))
         measures.append(F.count_if(kept).alias(f"n{i}"))
         if rule.amount:
             measures.append(F.sum(F.when(kept, F.col(rule.amount))).cast("double").alias(f"a{i}"))
@@ -135,7 +135,7 @@ def members(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per rule and matching row: (type, id)."""
     with_ids = [r for r in rules if r.id_col and not r.top_only]
     matched = [
-        F.when(r.when, F.struct(F.lit(r.type).alias("type"), F.col(r.id_col).cast("string").alias("id")))
+        F.when(F.expr(r.when), F.struct(F.lit(r.type).alias("type"), F.col(r.id_col).cast("string").alias("id")))
         for r in with_ids
     ]
     return df.select(F.inline(F.array_compact(F.array(*matched))))

@@ -147,23 +147,23 @@ def traffic_light(score: Column) -> Column:
 # Recommendation texts.
 VENDOR_RULES = [
     Rule(
-        "preferred_vendors", None, F.col("preferred_vendor"), id_col="vendor_id",
+        "preferred_vendors", None, "preferred_vendor", id_col="vendor_id",
         message="Found {count} preferred vendors with score >= 85 and low risk",
     ),
     Rule(
-        "high_risk_vendors", None, F.col("risk_level") == "high", id_col="vendor_id",
+        "high_risk_vendors", None, "risk_level = 'high'", id_col="vendor_id",
         message="⚠️  {count} vendors flagged as HIGH RISK - avoid or escalate",
     ),
 ]
 BID_RULES = [
     Rule(
-        "critical_anomalies", None, F.col("anomaly_severity") == "high",
+        "critical_anomalies", None, "anomaly_severity = 'high'",
         message="🚨 {count} bids with HIGH severity anomalies - requires immediate review",
     ),
 ]
 CONTRACT_RULES = [
     Rule(
-        "red_contracts", None, F.col("rag_status") == "Red", id_col="contract_id",
+        "red_contracts", None, "rag_status = 'Red'", id_col="contract_id",
         message="🔴 {count} contracts flagged RED - do not approve without legal review",
     ),
 ]

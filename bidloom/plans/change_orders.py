@@ -140,22 +140,22 @@ def result(detail: DataFrame) -> DataFrame:
 # Recommendation texts.
 RULES = [
     Rule(
-        "high_impact", "Critical", F.col("impact_level") == "High", id_col="change_order_id", amount="change_cost",
+        "high_impact", "Critical", "impact_level = 'High'", id_col="change_order_id", amount="change_cost",
         message=(
             "🚨 CRITICAL: {count} high-impact change orders worth {amount} - Requires senior management review"
         ),
     ),
     Rule(
-        "budget_overrun", "High", F.col("budget_overrun"), id_col="change_order_id",
+        "budget_overrun", "High", "budget_overrun", id_col="change_order_id",
         message="⚠️  WARNING: {count} change orders cause budget overruns - Immediate action required",
     ),
     Rule(
-        "auto_approved", "Info", F.col("approval_status") == "Auto-Approved", id_col="change_order_id",
+        "auto_approved", "Info", "approval_status = 'Auto-Approved'", id_col="change_order_id",
         amount="change_cost",
         message="✅ {count} change orders auto-approved - Total: {amount}",
     ),
     Rule(
-        "timeline_impact", "Medium", F.col("significant_timeline_impact"), id_col="change_order_id",
+        "timeline_impact", "Medium", "significant_timeline_impact", id_col="change_order_id",
         mean="timeline_extension_days",
         message="⏱️  {count} change orders impact timeline - Avg extension: {mean:0} days",
     ),

@@ -137,19 +137,19 @@ def result(detail: DataFrame) -> DataFrame:
 # Recommendation texts.
 RULES = [
     Rule(
-        "critical", "High", F.col("rag_status") == "Red", id_col="contract_id",
+        "critical", "High", "rag_status = 'Red'", id_col="contract_id",
         message="🔴 CRITICAL: {count} contracts flagged RED - Do NOT approve without legal review",
     ),
     Rule(
-        "warning", "Medium", F.col("rag_status") == "Amber", id_col="contract_id",
+        "warning", "Medium", "rag_status = 'Amber'", id_col="contract_id",
         message="⚠️  CAUTION: {count} contracts flagged AMBER - Requires review before approval",
     ),
     Rule(
-        "approved", "Info", F.col("rag_status") == "Green", id_col="contract_id",
+        "approved", "Info", "rag_status = 'Green'", id_col="contract_id",
         message="✅ APPROVED: {count} contracts passed all compliance checks",
     ),
     Rule(
-        "high_value", "High", F.col("requires_legal_review") & F.col("is_high_value"), amount="contract_value",
+        "high_value", "High", "requires_legal_review AND is_high_value", amount="contract_value",
         message="💰 HIGH VALUE: {count} contracts worth {amount} require legal review",
     ),
 ]

@@ -63,7 +63,7 @@ def _repeats(df: DataFrame, keys: list[str], order: list[str], out: str, source:
     groups = groups.where(F.col("_n") > 1).drop("_n")
     matches = reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(f"_g.{k}")) for k in keys])
     joined = df.join(stage_table(groups, out).alias("_g"), matches, "left")
-    later = flag(position > F.col("_first"))
+    later = flag(F.struct(*[df[c] for c in order]) > F.col("_first"))
     return joined.select(*[df[c] for c in df.columns], later.alias(out))
 
 
@@ -304,23 +304,23 @@ def collusion_vendors(detail: DataFrame) -> DataFrame:
 # Alert texts.
 RULES = [
     Rule(
-        "immediate_action", "Critical", F.col("immediate_action"), id_col="transaction_id", amount="amount",
+        "immediate_action", "Critical", "immediate_action", id_col="transaction_id", amount="amount",
         message="🚨 CRITICAL: {count} transactions require IMMEDIATE investigation - Exposure: {amount}",
     ),
     Rule(
-        "duplicate_invoice", "High", F.col("is_duplicate"), id_col="transaction_id", amount="amount",
+        "duplicate_invoice", "High", "is_duplicate", id_col="transaction_id", amount="amount",
         message="⚠️  DUPLICATE: {count} duplicate invoices detected - Potential double payment",
     ),
     Rule(
-        "price_manipulation", "High", F.col("price_manipulation_detected"), id_col="transaction_id",
+        "price_manipulation", "High", "price_manipulation_detected", id_col="transaction_id",
         message="💰 PRICE FRAUD: {count} transactions with abnormal pricing detected",
     ),
     Rule(
-        "vendor_collusion", "High", F.col("collusion_risk"), id_col="vendor_id",
+        "vendor_collusion", "High", "collusion_risk", id_col="vendor_id",
         message="🤝 COLLUSION: {count} transactions show vendor collusion patterns",
     ),
     Rule(
-        "high_risk", "High", F.col("fraud_risk") == "High", id_col="transaction_id", amount="amount",
+        "high_risk", "High", "fraud_risk = 'High'", id_col="transaction_id", amount="amount",
         message="🔴 HIGH RISK: {count} transactions flagged - Total exposure: {amount}",
     ),
 ]

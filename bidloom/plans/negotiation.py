@@ -157,28 +157,27 @@ def result(detail: DataFrame) -> DataFrame:
 
 
 # Recommendation texts.
-def rules() -> list[Rule]:
-    return [
-        Rule(
-            "high_value", "High", F.col("is_negotiable") & (F.col("potential_savings") > F.col("_q75")),
-            id_col="vendor_id", amount="potential_savings", top=3, top_by=(F.desc("potential_savings"),), top_only=True,
-            message="💰 TOP PRIORITY: Negotiate with {count} vendors for potential savings of {amount}",
-        ),
-        Rule(
-            "quick_wins", "Medium", (F.col("success_probability") >= 0.7) & F.col("is_negotiable"), id_col="vendor_id",
-            message="✅ QUICK WINS: {count} vendors with high success probability (≥70%)",
-        ),
-        Rule(
-            "risk_warning", "Warning", F.col("risk_level") == "High", id_col="vendor_id",
-            message="⚠️  CAUTION: {count} vendors flagged as HIGH RISK - Consider alternative strategies",
-        ),
-        Rule(
-            "market_insight", "Info", F.col("above_market"), mean="price_vs_market_pct",
-            message="📊 MARKET INSIGHT: {count} vendors priced {mean:1}% above market - Strong negotiation leverage",
-        ),
-    ]
+RULES = [
+    Rule(
+        "high_value", "High", "is_negotiable AND potential_savings > _q75",
+        id_col="vendor_id", amount="potential_savings", top=3, top_by=("-potential_savings",), top_only=True,
+        message="💰 TOP PRIORITY: Negotiate with {count} vendors for potential savings of {amount}",
+    ),
+    Rule(
+        "quick_wins", "Medium", "success_probability >= 0.7D AND is_negotiable", id_col="vendor_id",
+        message="✅ QUICK WINS: {count} vendors with high success probability (≥70%)",
+    ),
+    Rule(
+        "risk_warning", "Warning", "risk_level = 'High'", id_col="vendor_id",
+        message="⚠️  CAUTION: {count} vendors flagged as HIGH RISK - Consider alternative strategies",
+    ),
+    Rule(
+        "market_insight", "Info", "above_market", mean="price_vs_market_pct",
+        message="📊 MARKET INSIGHT: {count} vendors priced {mean:1}% above market - Strong negotiation leverage",
+    ),
+]
 
 
 def recommendations(detail: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     q75 = group_quantiles(detail, "potential_savings", {"_q75": 0.75}, None, max_group)
-    return recommend(with_scalars(detail, q75), rules())
+    return recommend(with_scalars(detail, q75), RULES)

@@ -134,23 +134,23 @@ def result(detail: DataFrame) -> DataFrame:
 # Recommendation texts.
 RULES = [
     Rule(
-        "price_increase", "High", F.col("price_trend") == "Increasing", id_col="item_id", top=3,
-        top_by=(F.desc("predicted_price_change_pct"),),
+        "price_increase", "High", "price_trend = 'Increasing'", id_col="item_id", top=3,
+        top_by=("-predicted_price_change_pct",),
         message="📈 PRICE ALERT: {count} items expected to increase - Consider bulk purchasing now",
         action="Accelerate procurement for high-increase items",
     ),
     Rule(
-        "delay_risk", "High", F.col("delay_risk") == "High", id_col="item_id",
+        "delay_risk", "High", "delay_risk = 'High'", id_col="item_id",
         message="⏱️  DELAY RISK: {count} items have high delay probability - Plan buffer time",
         action="Identify alternative suppliers or increase safety stock",
     ),
     Rule(
-        "budget_overrun", "Critical", F.col("budget_risk") == "High", id_col="item_id", amount="budget_variance",
+        "budget_overrun", "Critical", "budget_risk = 'High'", id_col="item_id", amount="budget_variance",
         message="💰 BUDGET ALERT: {count} items risk overrun of {amount}",
         action="Review and increase budget allocation or reduce demand",
     ),
     Rule(
-        "opportunity", "Info", F.col("price_trend") == "Decreasing", id_col="item_id",
+        "opportunity", "Info", "price_trend = 'Decreasing'", id_col="item_id",
         message="✅ OPPORTUNITY: {count} items expected to decrease - Delay purchasing if possible",
         action="Wait for price decrease or negotiate better rates",
     ),

@@ -141,29 +141,29 @@ def result(detail: DataFrame) -> DataFrame:
     )
 
 
-def _first_ten(name: str, priority: str, when: Column, message: str, action: str) -> Rule:
+def _first_ten(name: str, priority: str, when: str, message: str, action: str) -> Rule:
     return Rule(name, priority, when, id_col="record_id", top=10, message=message, action=action)
 
 
 # Recommendation texts.
 RULES = [
     _first_ten(
-        "archival", "Medium", F.col("archival_candidate"),
+        "archival", "Medium", "archival_candidate",
         "📦 ARCHIVAL: {count} records ready for archival - Free up active storage",
         "Move to archival storage system",
     ),
     _first_ten(
-        "deletion", "High", F.col("deletion_candidate"),
+        "deletion", "High", "deletion_candidate",
         "🗑️  DELETION: {count} records past retention period - Delete per policy",
         "Schedule for secure deletion after legal review",
     ),
     _first_ten(
-        "compliance", "High", ~F.col("is_compliant"),
+        "compliance", "High", "NOT is_compliant",
         "⚠️  COMPLIANCE: {count} records have compliance issues - Immediate action required",
         "Review and update to latest version or proper status",
     ),
     _first_ten(
-        "version_update", "Medium", ~F.coalesce(F.col("is_latest_version"), F.lit(False)),
+        "version_update", "Medium", "NOT coalesce(is_latest_version, false)",
         "🔄 VERSION: {count} records need version update",
         "Update to latest version and archive old versions",
     ),

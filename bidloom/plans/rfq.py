@@ -139,19 +139,19 @@ def bid_set_result(detail: DataFrame, by: list[str] | None = None) -> DataFrame:
 # Recommendation texts.
 RULES = [
     Rule(
-        "reject", None, F.col("severity") == "high", id_col="vendor_id",
+        "reject", None, "severity = 'high'", id_col="vendor_id",
         message="🚨 REJECT {count} bids with HIGH severity anomalies",
     ),
     Rule(
-        "review", None, F.col("severity") == "medium", id_col="vendor_id",
+        "review", None, "severity = 'medium'", id_col="vendor_id",
         message="⚠️  REVIEW {count} bids with MEDIUM severity - seek clarification",
     ),
     Rule(
-        "investigate", None, F.col("price_too_low"), id_col="vendor_id",
+        "investigate", None, "price_too_low", id_col="vendor_id",
         message="🔍 INVESTIGATE {count} bids with suspiciously low prices",
     ),
     Rule(
-        "approve", None, ~F.col("has_anomaly"), id_col="vendor_id",
+        "approve", None, "NOT has_anomaly", id_col="vendor_id",
         message="✅ {count} clean bids ready for evaluation",
     ),
 ]

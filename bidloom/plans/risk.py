@@ -158,13 +158,13 @@ ACTIONS = {
 }
 
 
-def _mitigation(name: str, priority: str, when) -> Rule:
+def _mitigation(name: str, priority: str, when: str) -> Rule:
     return Rule(name, priority, when, id_col="entity_id", action="; ".join(ACTIONS[name]))
 
 
 RULES = [
-    _mitigation("High", "Critical", F.col("risk_level") == "High"),
-    _mitigation("Financial", "High", F.col("primary_risk_area") == "Financial"),
-    _mitigation("Compliance", "High", F.col("primary_risk_area") == "Compliance"),
-    _mitigation("Delivery", "Medium", F.col("primary_risk_area") == "Delivery"),
+    _mitigation("High", "Critical", "risk_level = 'High'"),
+    _mitigation("Financial", "High", "primary_risk_area = 'Financial'"),
+    _mitigation("Compliance", "High", "primary_risk_area = 'Compliance'"),
+    _mitigation("Delivery", "Medium", "primary_risk_area = 'Delivery'"),
 ]

@@ -38,7 +38,10 @@ class ShortlistSettings:
 
 
 DEFAULTS = ShortlistSettings()
-BEST_FIRST = [F.desc_nulls_last("final_score"), F.col("vendor_id")]
+
+
+def best_first() -> list[Column]:
+    return [F.desc_nulls_last("final_score"), F.col("vendor_id")]
 
 
 def score(df: DataFrame, s: ShortlistSettings = DEFAULTS, defaults: dict | None = None) -> DataFrame:
@@ -73,13 +76,13 @@ def category(score: Column) -> Column:
 def rank(checked: DataFrame) -> DataFrame:
     """Eligible vendors numbered 1..n, best first, ties by vendor id."""
     eligible = checked.where("eligible")
-    ranked = row_positions(eligible, BEST_FIRST, "rank")
+    ranked = row_positions(eligible, best_first(), "rank")
     return ranked.withColumn("category", category(F.col("final_score")))
 
 
 def shortlist(checked: DataFrame, count: int = 10, s: ShortlistSettings = DEFAULTS) -> DataFrame:
     """The best ``count`` eligible vendors with their risk flags; needs no full ranking."""
-    best = checked.where("eligible").orderBy(*BEST_FIRST).limit(count)
+    best = checked.where("eligible").orderBy(*best_first()).limit(count)
     columns = [
         "vendor_id", "vendor_name", "final_score", "category", "delivery_score", "quality_score",
         "cost_competitiveness", "payment_compliance", "dispute_history", "dispute_count",
@@ -118,20 +121,20 @@ def result(checked: DataFrame, count: int = 10) -> DataFrame:
 # Recommendation texts (over a shortlist).
 RULES = [
     Rule(
-        "top_vendors", None, F.lit(True), id_col="vendor_id", top=3, top_by=(F.col("rank"),), top_name="vendor_name",
+        "top_vendors", None, "true", id_col="vendor_id", top=3, top_by=("rank",), top_name="vendor_name",
         top_only=True, always=True,
         message="✅ TOP 3 VENDORS: {ids} - Recommend for immediate invitation",
     ),
     Rule(
-        "excellent", None, F.col("category") == "Excellent", id_col="vendor_id",
+        "excellent", None, "category = 'Excellent'", id_col="vendor_id",
         message="⭐ {count} EXCELLENT vendors in shortlist - Priority consideration",
     ),
     Rule(
-        "risk_warning", None, F.col("risk_level") == "High", id_col="vendor_id",
+        "risk_warning", None, "risk_level = 'High'", id_col="vendor_id",
         message="⚠️  {count} vendors have HIGH risk flags - Require additional due diligence",
     ),
     Rule(
-        "statistics", None, F.lit(True), mean="final_score", always=True,
+        "statistics", None, "true", mean="final_score", always=True,
         message="📊 Shortlist average score: {mean:2} - Quality threshold maintained",
     ),
 ]

@@ -118,7 +118,7 @@ def write_result(df: DataFrame, path: str, form: str = "parquet") -> None:
     raise ValueError(f"unknown result format: {form}")
 
 
-_RUN = T.StructType.fromDDL(
+_RUN = (
     "run_id string, stage_number int, stage_name string, status string, started timestamp, "
     "duration_seconds double, input_rows bigint, error string"
 )
