@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions.expr import flag
-from bidloom.operators.quantiles import MAX_GROUP, group_quantiles
+from bidloom.operators.quantiles import group_quantiles
 from bidloom.operators.scalars import with_scalars
 from bidloom.sources.staging import attach, stage_table
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def summary(df: DataFrame, value: str, by: list[str] | None = None, max_group: int = MAX_GROUP) -> DataFrame:
+def summary(df: DataFrame, value: str, by: list[str] | None = None, max_group: int | None = None) -> DataFrame:
     """Count, moments, extremes and exact quartiles; an empty group has nulls and count 0.
 
     Sample variance of a single value is 0.
@@ -39,7 +39,7 @@ def summary(df: DataFrame, value: str, by: list[str] | None = None, max_group: i
     return table.withColumns({"iqr": F.col("q3") - F.col("q1"), "range": F.col("max") - F.col("min")})
 
 
-def _with_stats(df: DataFrame, value: str, by: list[str] | None, max_group: int) -> DataFrame:
+def _with_stats(df: DataFrame, value: str, by: list[str] | None, max_group: int | None) -> DataFrame:
     names = ["mean", "median", "std", "std_pop", "q1", "q3"]
     stats = summary(df, value, by, max_group).select(*(by or []), *[F.col(n).alias(f"_{n}") for n in names])
     # a one-row table keyed by nothing becomes a scalar subquery
@@ -81,20 +81,20 @@ _INTERNAL = ["_mean", "_median", "_std", "_std_pop", "_q1", "_q3"]
 
 
 def zscore_outliers(
-    df: DataFrame, value: str, by: list[str] | None = None, threshold: float = 3.0, max_group: int = MAX_GROUP
+    df: DataFrame, value: str, by: list[str] | None = None, threshold: float = 3.0, max_group: int | None = None
 ) -> DataFrame:
     out = _with_stats(df, value, by, max_group).withColumns(_z_columns(F.col(value), threshold))
     return out.withColumnsRenamed({"z_type": "outlier_type", "z_severity": "severity"}).drop(*_INTERNAL)
 
 
 def iqr_outliers(
-    df: DataFrame, value: str, by: list[str] | None = None, multiplier: float = 1.5, max_group: int = MAX_GROUP
+    df: DataFrame, value: str, by: list[str] | None = None, multiplier: float = 1.5, max_group: int | None = None
 ) -> DataFrame:
     out = _with_stats(df, value, by, max_group).withColumns(_iqr_columns(F.col(value), multiplier))
     return out.withColumnsRenamed({"iqr_type": "outlier_type", "iqr_severity": "severity"}).drop(*_INTERNAL)
 
 
-def _combined(df: DataFrame, value: str, by, threshold: float, multiplier: float, max_group: int) -> DataFrame:
+def _combined(df: DataFrame, value: str, by, threshold: float, multiplier: float, max_group: int | None) -> DataFrame:
     v = F.col(value)
     z, q = _z_columns(v, threshold), _iqr_columns(v, multiplier)
     by_z, by_iqr = z["is_outlier_zscore"], q["is_outlier_iqr"]
@@ -123,14 +123,14 @@ def combined_outliers(
     by: list[str] | None = None,
     threshold: float = 3.0,
     multiplier: float = 1.5,
-    max_group: int = MAX_GROUP,
+    max_group: int | None = None,
 ) -> DataFrame:
     """Either method flags; the type follows the z-score alone, the severity is the higher one."""
     return _combined(df, value, by, threshold, multiplier, max_group).drop(*_INTERNAL)
 
 
 def bid_price_analysis(
-    df: DataFrame, price: str = "quoted_price", by: list[str] | None = None, max_group: int = MAX_GROUP
+    df: DataFrame, price: str = "quoted_price", by: list[str] | None = None, max_group: int | None = None
 ) -> DataFrame:
     out = _combined(df, price, by, 3.0, 1.5, max_group)
     deviation = F.when(F.col("_mean") > 0, (F.col(price) - F.col("_mean")) / F.col("_mean") * 100).otherwise(F.lit(0.0))
@@ -146,7 +146,7 @@ def bid_price_analysis(
 
 
 def vendor_metric_analysis(
-    df: DataFrame, metric: str = "delivery_score", by: list[str] | None = None, max_group: int = MAX_GROUP
+    df: DataFrame, metric: str = "delivery_score", by: list[str] | None = None, max_group: int | None = None
 ) -> DataFrame:
     out = _combined(df, metric, by, 3.0, 1.5, max_group)
     out = out.withColumns({"metric_mean": F.col("_mean"), "metric_median": F.col("_median")})

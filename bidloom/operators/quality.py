@@ -59,21 +59,22 @@ def duplicate_key_counts(df: DataFrame, candidates: list[str] | None = None) ->
 
 def format_report(df: DataFrame, row_number: str, rules: dict[str, str], shown: int = 5) -> DataFrame:
     """Values breaking a pattern: how many, and the first few row numbers."""
-    parts = []
-    for column, pattern in rules.items():
-        bad = df.where(format_reason(F.col(column), pattern).isNotNull())
-        first = bad.select(row_number).orderBy(row_number).limit(shown)
-        rows = first.agg(F.sort_array(F.collect_list(row_number)).alias("first_rows"))
-        total = bad.agg(F.count("*").alias("n_bad"))
-        parts.append(
-            total.select(
-                F.lit(column).alias("column"),
-                "n_bad",
-                rows.scalar().alias("first_rows"),
-                F.greatest(F.col("n_bad") - shown, F.lit(0)).alias("n_more"),
-            )
+    broken = {column: format_reason(F.col(column), pattern).isNotNull() for column, pattern in rules.items()}
+    wide = df.agg(*[F.count_if(bad).alias(f"n_{column}") for column, bad in broken.items()])
+    for column, bad in broken.items():
+        first = df.where(bad).select(row_number).orderBy(row_number).limit(shown)
+        rows = first.agg(F.sort_array(F.collect_list(row_number)))
+        wide = wide.withColumn(f"rows_{column}", rows.scalar())
+    entries = [
+        F.struct(
+            F.lit(column).alias("column"),
+            F.col(f"n_{column}").alias("n_bad"),
+            F.col(f"rows_{column}").alias("first_rows"),
+            F.greatest(F.col(f"n_{column}") - shown, F.lit(0)).alias("n_more"),
         )
-    return reduce(DataFrame.unionByName, parts)
+        for column in rules
+    ]
+    return wide.select(F.inline(F.array(*entries)))
 
 
 # ---- row checks: null when fine, otherwise the reason -----------------------

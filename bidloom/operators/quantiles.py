@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from bidloom.sources.staging import PARTITION_ID, range_layout, stage_table
 
-MAX_GROUP = 1_000_000
+# Rows a group may have before it is answered by rank. A task may hold the value
+# maps of many groups at once, but only one of the whole table.
+MAX_GROUP = 100_000
+MAX_TABLE = 1_000_000
 _ALL = "_whole_table"
 
 
@@ -68,7 +71,7 @@ def group_quantiles(
     value: str,
     probs: dict[str, float],
     keys: list[str] | None = None,
-    max_group: int = MAX_GROUP,
+    max_group: int | None = None,
 ) -> DataFrame:
     """One row per group with a column per requested quantile.
 
@@ -79,12 +82,12 @@ def group_quantiles(
     number = F.col(value).cast("double")
     values = df.select(*keys, number.alias("_v")).where(number.isNotNull() & ~F.isnan(number))
     if not keys:
-        if values.count() <= max_group:
+        if values.count() <= (max_group or MAX_TABLE):
             return _small_groups(values, [], probs)
         whole = values.withColumn(_ALL, F.lit(1))
         return _large_groups(whole, [_ALL], probs).drop(_ALL)
     values = values.dropna(subset=keys)
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > max_group)
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > (max_group or MAX_GROUP))
     large = stage_table(sizes.drop("_size"), "large-groups")
     if large.isEmpty():
         return _small_groups(values, keys, probs)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidloom.sources.staging import stage_table
+
 # Chunking parameters, default width and number of results.
 CHUNK_SIZE = 1500
 CHUNK_OVERLAP = 200
@@ -224,6 +226,12 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}[kind.typeName()]
 
 
+def with_chunks(hits: DataFrame, chunks: DataFrame, vec_id: str = "vec_id") -> DataFrame:
+    """Hits next to their chunk. The hits are written first, so that the planner
+    broadcasts them only when they are small and the chunk texts stay in place."""
+    return chunks.join(stage_table(hits, "hits"), vec_id)
+
+
 # ---- context, sources, prompts --------------------------------------------------
 
 def pack_context(hits: DataFrame, question_id: str = "question_id", text: str = "chunk_text") -> DataFrame:

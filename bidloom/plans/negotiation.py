@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bidloom.functions.expr import clip, flag, last_match, label_text, pct_over, points, require, with_defaults
 from bidloom.functions.formats import currency
-from bidloom.operators.quantiles import MAX_GROUP, group_quantiles
+from bidloom.operators.quantiles import group_quantiles
 from bidloom.operators.recommend import Rule, recommend
 from bidloom.operators.scalars import with_scalars
 
@@ -133,7 +133,7 @@ def analyze(df: DataFrame, s: NegotiationSettings = DEFAULTS, defaults: dict | N
     return strategy(negotiation_risk(success_odds(chain)), s)
 
 
-def market_benchmark(df: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+def market_benchmark(df: DataFrame, max_group: int | None = None) -> DataFrame:
     price = F.col("current_price")
     spread = F.try_divide(F.max(price) - F.min(price), F.avg(price)) * 100
     base = df.agg(
@@ -178,6 +178,6 @@ RULES = [
 ]
 
 
-def recommendations(detail: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+def recommendations(detail: DataFrame, max_group: int | None = None) -> DataFrame:
     q75 = group_quantiles(detail, "potential_savings", {"_q75": 0.75}, None, max_group)
     return recommend(with_scalars(detail, q75), RULES)

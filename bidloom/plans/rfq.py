@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from bidloom.functions.expr import any_true, count_true, flag, has, last_match, require
 from bidloom.operators.outliers import summary
-from bidloom.operators.quantiles import MAX_GROUP
 from bidloom.operators.recommend import Rule
 from bidloom.operators.rules import differs
 from bidloom.operators.scalars import with_scalars
@@ -31,7 +30,7 @@ DEFAULTS = BidSettings()
 
 
 def price_statistics(
-    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS, max_group: int = MAX_GROUP
+    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS, max_group: int | None = None
 ) -> DataFrame:
     """Mean, median, population deviation, extremes, quartiles and fences."""
     stats = summary(df, "quoted_price", by, max_group)
@@ -50,7 +49,7 @@ def price_statistics(
     )
 
 
-def _with_baseline(df: DataFrame, by: list[str] | None, s: BidSettings, max_group: int) -> DataFrame:
+def _with_baseline(df: DataFrame, by: list[str] | None, s: BidSettings, max_group: int | None) -> DataFrame:
     stats = price_statistics(df, by, s, max_group)
     names = ["mean", "std", "lower_bound", "upper_bound"]
     stats = stats.select(*(by or []), *[F.col(n).alias(f"_{n}") for n in names])
@@ -64,7 +63,7 @@ def _with_baseline(df: DataFrame, by: list[str] | None, s: BidSettings, max_grou
 
 
 def detect(
-    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS, max_group: int = MAX_GROUP
+    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS, max_group: int | None = None
 ) -> DataFrame:
     """All anomaly flags, counts and severities in one projection over the bids."""
     require(df, *REQUIRED)
@@ -120,7 +119,7 @@ def classify(df: DataFrame) -> DataFrame:
 
 
 def analyze(
-    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS, max_group: int = MAX_GROUP
+    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS, max_group: int | None = None
 ) -> DataFrame:
     return classify(detect(df, by, s, max_group))
 

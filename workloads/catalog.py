@@ -497,7 +497,7 @@ def _hit_texts(s, d):
         F.col("doc_id").alias("vec_id"), "folder", F.col("text").alias("chunk_text"),
         F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
     )
-    return docs.join(F.broadcast(_hits(s, d)), "vec_id")  # k rows per question
+    return retrieval.with_chunks(_hits(s, d), docs)
 
 
 _HITS = """(SELECT question_id, vec_id, distance, rank FROM (
