@@ -27,6 +27,7 @@ MONEY_PATTERNS = [
     r"(?U)Rs\.?\s*([\d,]+(?:\.\d{2})?)",
     r"(?U)INR\s*([\d,]+(?:\.\d{2})?)",
 ]
+MONEY_MARKS = ["₹", "Rs", "INR"]
 DATE_PATTERN = r"(?U)\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b"
 PERCENT_PATTERN = r"(?U)\b\d+(?:\.\d+)?\s*%"
 PAYMENT_TERMS = r"payment.*?(\d+)\s*days"
@@ -36,7 +37,9 @@ WARRANTY_PERIOD = r"warranty.*?(\d+)\s*(month|year)"
 
 def clause_texts(text: Column) -> Column:
     """Pieces between full stops, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, r"\."), strip), lambda piece: piece != "")
+    # whitespace next to a stop goes first, so that no piece needs its own trim
+    tight = F.regexp_replace(strip(text), r"(?<!\s)\s+\.|\.\s+", ".")
+    return F.array_remove(F.split(F.regexp_replace(tight, r"\.\s+", "."), r"\."), "")
 
 
 def segment(df: DataFrame, text: str = "text") -> DataFrame:
@@ -51,43 +54,62 @@ def _mentions(lowered: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [lowered.contains(w) for w in words])
 
 
-def clause_type(clause: Column) -> Column:
-    """The type with most keywords present; earlier types win ties."""
-    lowered = F.lower(clause)
-    scores = {
-        name: reduce(lambda a, b: a + b, [lowered.contains(w).cast("int") for w in words])
-        for name, words in CLAUSE_KEYWORDS.items()
-    }
-    best = F.greatest(*scores.values())
-    chain = F.when(best == 0, F.lit("other"))
-    for name, score in scores.items():
-        chain = chain.when(score == best, F.lit(name))
-    return chain
+def _keyword_hits(lowered: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [lowered.contains(w).cast("int") for w in words])
 
 
-def is_mandatory(clause: Column) -> Column:
-    return _mentions(F.lower(clause), MANDATORY_WORDS)
+def with_type(df: DataFrame, clause: str = "clause_text") -> DataFrame:
+    """The type with most keywords present; earlier types win ties.
 
+    Lower-casing and scores are columns of their own, so each is computed once.
+    """
+    hits = {f"_hits_{name}": _keyword_hits(F.col("_low"), words) for name, words in CLAUSE_KEYWORDS.items()}
+    scored = df.withColumn("_low", F.lower(clause)).withColumns(hits)
+    scored = scored.withColumn("_best", F.greatest(*hits))
+    chain = F.when(F.col("_best") == 0, F.lit("other"))
+    for name in CLAUSE_KEYWORDS:
+        chain = chain.when(F.col(f"_hits_{name}") == F.col("_best"), F.lit(name))
+    return scored.withColumn("clause_type", chain).drop("_low", "_best", *hits)
 
-def risk_level(clause: Column) -> Column:
-    lowered = F.lower(clause)
+
+def with_tags(df: DataFrame, clause: str = "clause_text") -> DataFrame:
+    """Mandatory wording and risk level."""
+    low = F.col("_low")
     return (
-        F.when(_mentions(lowered, HIGH_RISK_WORDS), "high")
-        .when(_mentions(lowered, MEDIUM_RISK_WORDS), "medium")
-        .otherwise("low")
+        df.withColumn("_low", F.lower(clause))
+        .withColumns(
+            {
+                "mandatory": _mentions(low, MANDATORY_WORDS),
+                "risk_level": F.when(_mentions(low, HIGH_RISK_WORDS), "high")
+                .when(_mentions(low, MEDIUM_RISK_WORDS), "medium")
+                .otherwise("low"),
+            }
+        )
+        .drop("_low")
     )
 
 
+def _found(text: Column, mark: Column, pattern: str, group: int) -> Column:
+    """All matches; the cheap ``mark`` test spares texts that cannot match."""
+    none = F.array().cast("array<string>")
+    return F.when(mark, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none)
+
+
 def money(text: Column) -> Column:
-    return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in MONEY_PATTERNS])
+    return F.concat(
+        *[
+            _found(text, text.contains(mark), pattern, 1)
+            for mark, pattern in zip(MONEY_MARKS, MONEY_PATTERNS, strict=True)
+        ]
+    )
 
 
 def dates(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(DATE_PATTERN), F.lit(0))
+    return _found(text, text.contains("-") | text.contains("/"), DATE_PATTERN, 0)
 
 
 def percentages(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PERCENT_PATTERN), F.lit(0))
+    return _found(text, text.contains("%"), PERCENT_PATTERN, 0)
 
 
 def entities(text: Column) -> Column:
@@ -104,13 +126,10 @@ def entities(text: Column) -> Column:
 
 
 def clause_table(df: DataFrame, text: str = "text") -> DataFrame:
-    """Segment, type, tag and extract in one narrow projection."""
+    """Segment, type, tag and extract; narrow, without a shuffle."""
     clause = F.col("clause_text")
-    return segment(df, text).withColumns(
+    return with_tags(with_type(segment(df, text))).withColumns(
         {
-            "clause_type": clause_type(clause),
-            "mandatory": is_mandatory(clause),
-            "risk_level": risk_level(clause),
             "dates": dates(clause),
             "money": money(clause),
             "percentages": percentages(clause),
@@ -121,24 +140,28 @@ def clause_table(df: DataFrame, text: str = "text") -> DataFrame:
 
 def document_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Headline facts of each document from its full text."""
-    body = F.col(text)
-    lowered = F.lower(body)
 
-    def found(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(lowered, pattern, group), F.lit(""))
+    def found(word: str, pattern: str, group: int) -> Column:
+        low = F.col("_low")
+        return F.when(low.contains(word), F.nullif(F.regexp_extract(low, pattern, group), F.lit("")))
 
-    warranty = F.concat_ws(" ", found(WARRANTY_PERIOD, 1), found(WARRANTY_PERIOD, 2))
-    return df.withColumns(
-        {
-            "contract_value": F.get(money(body), F.lit(0)),
-            "vendor_name": F.lit(None).cast("string"),
-            "contract_date": F.get(dates(body), F.lit(0)),
-            "delivery_date": F.get(dates(body), F.lit(1)),
-            "payment_terms": F.concat(found(PAYMENT_TERMS, 1), F.lit(" days")),
-            "penalty_clause": F.concat(found(PENALTY_RATE, 1), F.lit("%")),
-            "warranty_period": F.nullif(warranty, F.lit("")),
-        }
-    ).drop(text)
+    period = F.concat_ws(" ", found("warranty", WARRANTY_PERIOD, 1), found("warranty", WARRANTY_PERIOD, 2))
+    body = F.col(text)
+    return (
+        df.withColumns({"_low": F.lower(text), "_money": money(body), "_dates": dates(body)})
+        .withColumns(
+            {
+                "contract_value": F.get("_money", F.lit(0)),
+                "vendor_name": F.lit(None).cast("string"),
+                "contract_date": F.get("_dates", F.lit(0)),
+                "delivery_date": F.get("_dates", F.lit(1)),
+                "payment_terms": F.concat(found("payment", PAYMENT_TERMS, 1), F.lit(" days")),
+                "penalty_clause": F.concat(found("penalty", PENALTY_RATE, 1), F.lit("%")),
+                "warranty_period": F.nullif(period, F.lit("")),
+            }
+        )
+        .drop(text, "_low", "_money", "_dates")
+    )
 
 
 def document_rollup(clauses: DataFrame, key: str = "doc_id") -> DataFrame:

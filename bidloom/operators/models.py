@@ -6,13 +6,14 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.sources.staging import stage_table
+
 SEED = 42
 TREES = 100
 DEPTH = 10
@@ -125,29 +126,44 @@ def _estimator(model_type: str, task: str, target: str, n_train: int, options: d
     raise ValueError(f"unknown model type: {model_type} for {task}")
 
 
-def _classification_metrics(train: DataFrame, test: DataFrame, target: str) -> dict[str, float]:
-    def measure(df: DataFrame, name: str) -> float:
-        return MulticlassClassificationEvaluator(labelCol=target, metricName=name).evaluate(df)
-
-    return {
-        "train_accuracy": measure(train, "accuracy"),
-        "test_accuracy": measure(test, "accuracy"),
-        "precision": measure(test, "weightedPrecision"),
-        "recall": measure(test, "weightedRecall"),
-        "f1_score": measure(test, "f1"),
-    }
-
-
-def _regression_metrics(train: DataFrame, test: DataFrame, target: str) -> dict[str, float]:
-    def measure(df: DataFrame, name: str) -> float:
-        return RegressionEvaluator(labelCol=target, metricName=name).evaluate(df)
-
-    return {
-        "train_r2": measure(train, "r2"),
-        "test_r2": measure(test, "r2"),
-        "train_rmse": measure(train, "rmse"),
-        "test_rmse": measure(test, "rmse"),
-    }
+def _classification_metrics(scored: DataFrame, target: str) -> dict[str, float]:
+    """From one confusion table: at most two shares times classes squared rows."""
+    table = scored.groupBy("_train", F.col(target).cast("double").alias("y"), "prediction").agg(F.count("*").alias("n"))
+    rows = table.collect()
+
+    def share(train: bool) -> list[tuple[float, float, int]]:
+        return [(r["y"], r["prediction"], r["n"]) for r in rows if r["_train"] == train]
+
+    def accuracy(cells: list) -> float:
+        total = sum(n for *_, n in cells)
+        return sum(n for y, p, n in cells if y == p) / total if total else float("nan")
+
+    test = share(False)
+    total = sum(n for *_, n in test)
+    weighted = {"precision": 0.0, "recall": 0.0, "f1_score": 0.0}
+    for label in {y for y, _, _ in test}:
+        hit = sum(n for y, p, n in test if y == label and p == label)
+        actual = sum(n for y, _, n in test if y == label)
+        predicted = sum(n for _, p, n in test if p == label)
+        precision = hit / predicted if predicted else 0.0
+        recall = hit / actual
+        both = precision + recall
+        for name, value in zip(weighted, (precision, recall, 2 * precision * recall / both if both else 0.0), strict=True):
+            weighted[name] += value * actual / total
+    return {"train_accuracy": accuracy(share(True)), "test_accuracy": accuracy(test), **weighted}
+
+
+def _regression_metrics(scored: DataFrame, target: str) -> dict[str, float]:
+    y = F.col(target).cast("double")
+    error = F.avg(F.pow(y - F.col("prediction"), 2))
+    rows = scored.groupBy("_train").agg(error.alias("mse"), F.var_pop(y).alias("spread")).collect()
+    out = {}
+    for name, train in (("train", True), ("test", False)):
+        row = next((r for r in rows if r["_train"] == train), None)
+        known = row is not None and row["spread"]
+        out[f"{name}_r2"] = 1 - row["mse"] / row["spread"] if known else float("nan")
+        out[f"{name}_rmse"] = row["mse"] ** 0.5 if row is not None else float("nan")
+    return out
 
 
 def train_model(
@@ -166,13 +182,14 @@ def train_model(
     if target not in df.columns:
         raise ValueError(f"target column '{target}' not found")
     features = [c for c in df.columns if c not in (target, key)]
-    train, test = split(df, key, test_size)
-    sizes = df.agg(F.count_if(train_share(key, test_size)).alias("train"), F.count("*").alias("all")).first()
+    # written once: fitting makes several passes over the same rows
+    table = stage_table(df.withColumn("_train", train_share(key, test_size)), "model-input")
+    sizes = table.agg(F.count_if("_train").alias("train"), F.count("*").alias("all")).first()
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
     estimator = _estimator(model_type, task, target, sizes["train"], options)
-    fitted = Pipeline(stages=[assembler, estimator]).fit(train)
+    fitted = Pipeline(stages=[assembler, estimator]).fit(table.where("_train").drop("_train"))
     measure = _classification_metrics if task == "classification" else _regression_metrics
-    metrics = measure(fitted.transform(train), fitted.transform(test), target)
+    metrics = measure(fitted.transform(table), target)
     metrics |= {
         "n_features": float(len(features)),
         "n_train_samples": float(sizes["train"]),

@@ -22,7 +22,10 @@ _ALL = "_whole_table"
 
 
 def _small_groups(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    return values.groupBy(*keys).agg(*[F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()])
+    # one call with all probabilities keeps one value map per group
+    every = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()]))
+    found = values.groupBy(*keys).agg(every.alias("_q"))
+    return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
 
 
 def _large_groups(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:

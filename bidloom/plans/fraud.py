@@ -1,12 +1,12 @@
 """Payment fraud: duplicates, price manipulation, collusion, payment patterns.
 
-Every group figure is a partial aggregate that is attached to the rows
-afterwards. No window runs over a business key, so a vendor or an amount that
+Every group figure is a partial aggregate, written and then joined to the rows. No window runs over a business key, so a vendor or an amount that
 holds a third of all rows costs no more than any other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,7 +17,7 @@ from bidloom.functions.expr import clip, flag, has, label_list, pct_over, points
 from bidloom.operators.ordering import previous_value
 from bidloom.operators.recommend import Rule
 from bidloom.operators.scalars import with_scalars
-from bidloom.sources.staging import attach, stage_table
+from bidloom.sources.staging import stage_tables
 
 REQUIRED = ("transaction_id", "amount")
 KEY = "transaction_id"
@@ -44,50 +44,120 @@ class FraudSettings:
 DEFAULTS = FraudSettings()
 
 
-def _group_sizes(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+# ---- group figures ---------------------------------------------------------------
+# Each is a narrow aggregate of the input table with one row per group, written
+# by ``figures`` in concurrent jobs and joined to the rows afterwards.
+
+
+def _round_thousand(name: str = "amount") -> Column:
+    return F.rint(F.col(name) / 1000) * 1000
+
+
+def _price_group() -> Column:
+    return (F.col("amount") / 10000).cast("bigint")
+
+
+def _digits(name: str) -> Column:
+    return F.regexp_extract(F.col(name).cast("string"), r"(\d+)", 1).try_cast("bigint")
+
+
+def _sizes(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     """Sizes of the groups with more than one row; a lone row is 1 by rule."""
-    sizes = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(name))
-    return sizes.where(F.col(name) > 1)
+    sizes = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(out))
+    return sizes.where(F.col(out) > 1)
+
+
+def _first_of_repeats(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row's position in each group with repeats; missing keys are equal."""
+    groups = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first"))
+    return groups.where(F.col("_n") > 1).drop("_n")
+
+
+def _category_baseline(df: DataFrame) -> DataFrame:
+    return (
+        df.dropna(subset=["item_category"])
+        .groupBy("item_category")
+        .agg(F.avg("unit_price").alias("category_avg_price"), F.stddev_samp("unit_price").alias("category_std_price"))
+    )
+
+
+def _vendor_figures(df: DataFrame) -> DataFrame:
+    """Rows per vendor and per block of ten vendor numbers; the null vendor is kept for the totals."""
+    counts = df.groupBy("vendor_id").agg(F.count("*").alias("vendor_frequency"))
+    counts = counts.withColumn("_block", F.floor(_digits("vendor_id") / 10))
+    blocks = counts.groupBy("_block").agg(F.sum("vendor_frequency").alias("vendor_block_rows"))
+    return counts.join(blocks, "_block", "left").drop("_block")
+
+
+def _sequence_marks(df: DataFrame, order: list[str]) -> DataFrame:
+    """Keys of the rows whose invoice number is one away from that of the row before."""
+    base = df.select(*dict.fromkeys([KEY, *order]), _digits("invoice_number").alias("_number"))
+    before = previous_value(base, "_number", [F.col(c) for c in order], "_before")
+    close = F.abs(F.col("_number") - F.col("_before")) == 1
+    return before.where(close).select(KEY, F.lit(True).alias("sequential_invoices"))
+
+
+EXACT = ["invoice_number", "vendor_id"]
+NEAR = ["amount_rounded", "vendor_id"]
+DAY = ["vendor_id", "invoice_date"]
+PRICE = ["similar_pricing_group", "item_category"]
+AMOUNT = ["rounded_amount"]
+
+_FIGURES: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
+    "exact": lambda df, order: _first_of_repeats(df, EXACT, order),
+    "near": lambda df, order: _first_of_repeats(df.withColumn("amount_rounded", _round_thousand()), NEAR, order),
+    "category": lambda df, order: _category_baseline(df),
+    "day": lambda df, order: _sizes(df, DAY, "same_day_same_vendor"),
+    "vendor": lambda df, order: _vendor_figures(df),
+    "price": lambda df, order: _sizes(
+        df.withColumn("similar_pricing_group", _price_group()), PRICE, "same_price_count"
+    ),
+    "sequence": _sequence_marks,
+    "amount": lambda df, order: _sizes(
+        df.withColumn("rounded_amount", _round_thousand()), AMOUNT, "repeated_amount_count"
+    ),
+}
+
+
+def figures(df: DataFrame, names: list[str], order: list[str] | None = None) -> dict[str, DataFrame]:
+    """The named group figures of ``df`` as written tables."""
+    return stage_tables({name: _FIGURES[name](df, order or [KEY]) for name in names})
 
 
-def _attach_sizes(df: DataFrame, keys: list[str], name: str, source: DataFrame | None = None) -> DataFrame:
-    sizes = _group_sizes(df if source is None else source, keys, name)
+def _with_size(df: DataFrame, sizes: DataFrame, keys: list[str], out: str) -> DataFrame:
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    return attach(df, sizes, keys, name).withColumn(name, F.coalesce(F.col(name), F.when(known, F.lit(1))))
+    return df.join(sizes, keys, "left").withColumn(out, F.coalesce(F.col(out), F.when(known, F.lit(1))))
 
 
-def _repeats(df: DataFrame, keys: list[str], order: list[str], out: str, source: DataFrame) -> DataFrame:
-    """True for all rows of a group but the first in ``order``; missing keys are equal."""
-    position = F.struct(*order)
-    groups = source.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(position).alias("_first"))
-    groups = groups.where(F.col("_n") > 1).drop("_n")
-    matches = reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(f"_g.{k}")) for k in keys])
-    joined = df.join(stage_table(groups, out).alias("_g"), matches, "left")
-    later = flag(F.struct(*[df[c] for c in order]) > F.col("_first"))
-    return joined.select(*[df[c] for c in df.columns], later.alias(out))
+def _with_repeat(df: DataFrame, groups: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    matches = reduce(lambda a, b: a & b, [F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys])
+    joined = df.alias("t").join(groups.alias("g"), matches, "left")
+    later = flag(F.struct(*[F.col(f"t.{c}") for c in order]) > F.col("g._first"))
+    return joined.select("t.*", later.alias(out))
 
 
-def duplicates(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Exact repeats of (invoice, vendor) and near repeats of (rounded amount, vendor)."""
-    require(df, *REQUIRED, "invoice_number", "vendor_id")
+# ---- operators -------------------------------------------------------------------
+
+def duplicates(df: DataFrame, order: list[str] | None = None, known: dict | None = None) -> DataFrame:
+    """Exact repeats of (invoice, vendor) and near repeats of (rounded amount, vendor).
+
+    ``order`` is the row order; the first row of a group is the clean one. End it
+    with a unique column.
+    """
+    require(df, *REQUIRED, *EXACT)
     order = order or [KEY]
-    out = df.withColumn("amount_rounded", F.rint(F.col("amount") / 1000) * 1000)
-    exact = ["invoice_number", "vendor_id"]
-    near = ["amount_rounded", "vendor_id"]
-    narrow = out.select(*dict.fromkeys([*exact, *near, *order]))
-    out = _repeats(out, exact, order, "is_duplicate", narrow)
-    out = _repeats(out, near, order, "is_near_duplicate", narrow)
+    known = known or figures(df, ["exact", "near"], order)
+    out = df.withColumn("amount_rounded", _round_thousand())
+    out = _with_repeat(out, known["exact"], EXACT, order, "is_duplicate")
+    out = _with_repeat(out, known["near"], NEAR, order, "is_near_duplicate")
     score = F.when(F.col("is_duplicate"), 100).when(F.col("is_near_duplicate"), 60).otherwise(0)
     return out.withColumn("duplicate_score", score)
 
 
-def price_manipulation(df: DataFrame, s: FraudSettings = DEFAULTS) -> DataFrame:
-    baseline = (
-        df.dropna(subset=["item_category"])
-        .groupBy("item_category")
-        .agg(F.avg("unit_price").alias("category_avg_price"), F.stddev_samp("unit_price").alias("category_std_price"))
-    )
-    out = attach(df, baseline, ["item_category"], "category-baseline")
+def price_manipulation(df: DataFrame, s: FraudSettings = DEFAULTS, known: dict | None = None) -> DataFrame:
+    dated = has(df, "invoice_date")
+    known = known or figures(df, ["category", *(["day"] if dated else [])])
+    out = df.join(known["category"], "item_category", "left")
     deviation = pct_over(F.col("unit_price"), F.col("category_avg_price"))
     threshold = F.col("approval_threshold") if has(df, "approval_threshold") else F.lit(s.approval_threshold)
     amount = F.col("amount")
@@ -98,8 +168,8 @@ def price_manipulation(df: DataFrame, s: FraudSettings = DEFAULTS) -> DataFrame:
             "just_below_threshold": flag((amount >= threshold * s.below_threshold_share) & (amount < threshold)),
         }
     )
-    if has(df, "invoice_date"):
-        out = _attach_sizes(out, ["vendor_id", "invoice_date"], "same_day_same_vendor", df)
+    if dated:
+        out = _with_size(out, known["day"], DAY, "same_day_same_vendor")
         out = out.withColumn("split_invoice_suspected", flag(F.col("same_day_same_vendor") > s.same_day_limit))
     else:
         out = out.withColumn("split_invoice_suspected", F.lit(False))
@@ -111,54 +181,28 @@ def price_manipulation(df: DataFrame, s: FraudSettings = DEFAULTS) -> DataFrame:
     return out.withColumn("price_manipulation_score", score)
 
 
-def _digits(name: str) -> Column:
-    return F.regexp_extract(F.col(name).cast("string"), r"(\d+)", 1).try_cast("bigint")
-
-
-def vendor_frequency(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Rows per vendor, the even share, and rows per block of ten vendor numbers."""
-    base = df if source is None else source
-    counts = stage_table(base.groupBy("vendor_id").agg(F.count("*").alias("vendor_frequency")), "vendor-counts")
-    totals = counts.agg(
-        F.sum("vendor_frequency").alias("_rows"), F.count("vendor_id").alias("_vendors")
-    ).select(F.try_divide(F.col("_rows"), F.col("_vendors")).alias("expected_frequency"))
-    known = counts.where(F.col("vendor_id").isNotNull()).withColumn(
-        "vendor_block", F.floor(_digits("vendor_id") / 10)
-    )
-    blocks = known.groupBy("vendor_block").agg(F.sum("vendor_frequency").alias("vendor_block_rows"))
-    # one row per vendor: frequency and block size together
-    per_vendor = known.join(blocks, "vendor_block", "left").select(
-        "vendor_id", "vendor_frequency", "vendor_block_rows"
-    )
-    out = with_scalars(attach(df, per_vendor, ["vendor_id"], "vendor-figures"), totals)
+def vendor_frequency(df: DataFrame, known: dict | None = None) -> DataFrame:
+    """Rows per vendor against the even share, and rows per block of ten vendor numbers."""
+    table = (known or figures(df, ["vendor"]))["vendor"]
+    share = F.try_divide(F.sum("vendor_frequency"), F.count("vendor_id")).alias("expected_frequency")
+    out = with_scalars(df.join(table, "vendor_id", "left"), table.agg(share))
     gap = F.abs(F.col("vendor_frequency") - F.col("expected_frequency"))
     return out.withColumn("frequency_variance", gap)
 
 
-def sequential_invoices(df: DataFrame, order: list[str] | None = None, source: DataFrame | None = None) -> DataFrame:
-    """True where the invoice number is one away from that of the row before."""
-    order = order or [KEY]
-    base = (df if source is None else source).select(
-        *dict.fromkeys([KEY, *order]), _digits("invoice_number").alias("_number")
-    )
-    before = previous_value(base, "_number", [F.col(c) for c in order], "_before")
-    found = before.where(F.abs(F.col("_number") - F.col("_before")) == 1).select(
-        KEY, F.lit(True).alias("sequential_invoices")
-    )
-    out = attach(df, found, [KEY], "sequential")
-    return out.withColumn("sequential_invoices", flag(F.col("sequential_invoices")))
+def sequential_invoices(df: DataFrame, order: list[str] | None = None, known: dict | None = None) -> DataFrame:
+    """True where the invoice number is one away from that of the row before in ``order``."""
+    marks = (known or figures(df, ["sequence"], order))["sequence"]
+    return df.join(marks, KEY, "left").withColumn("sequential_invoices", flag(F.col("sequential_invoices")))
 
 
 def collusion(
-    df: DataFrame, s: FraudSettings = DEFAULTS, order: list[str] | None = None, source: DataFrame | None = None
+    df: DataFrame, s: FraudSettings = DEFAULTS, order: list[str] | None = None, known: dict | None = None
 ) -> DataFrame:
-    """``order`` gives the row order for the sequence check and must be total."""
-    base = df if source is None else source
-    group = (F.col("amount") / 10000).cast("bigint")
-    out = vendor_frequency(df, base).withColumn("similar_pricing_group", group)
-    priced = base.select(group.alias("similar_pricing_group"), "item_category")
-    out = _attach_sizes(out, ["similar_pricing_group", "item_category"], "same_price_count", priced)
-    out = sequential_invoices(out, order, base)
+    known = known or figures(df, ["vendor", "price", "sequence"], order)
+    out = vendor_frequency(df, known).withColumn("similar_pricing_group", _price_group())
+    out = _with_size(out, known["price"], PRICE, "same_price_count")
+    out = sequential_invoices(out, order, known)
     out = out.withColumns(
         {
             "similar_vendor_exists": flag(F.col("vendor_block_rows") > s.similar_vendor_limit),
@@ -171,11 +215,10 @@ def collusion(
     return out.withColumn("collusion_score", score)
 
 
-def payment_patterns(df: DataFrame, s: FraudSettings = DEFAULTS, source: DataFrame | None = None) -> DataFrame:
-    rounded = F.rint(F.col("amount") / 1000) * 1000
-    out = df.withColumn("rounded_amount", rounded)
-    amounts = (df if source is None else source).select(rounded.alias("rounded_amount"))
-    out = _attach_sizes(out, ["rounded_amount"], "repeated_amount_count", amounts)
+def payment_patterns(df: DataFrame, s: FraudSettings = DEFAULTS, known: dict | None = None) -> DataFrame:
+    known = known or figures(df, ["amount"])
+    out = df.withColumn("rounded_amount", _round_thousand())
+    out = _with_size(out, known["amount"], AMOUNT, "repeated_amount_count")
     never = F.lit(False)
     delay = (
         F.datediff(F.to_date("payment_date"), F.to_date("invoice_date"))
@@ -247,10 +290,12 @@ def classify(df: DataFrame, s: FraudSettings = DEFAULTS) -> DataFrame:
 
 
 def analyze(df: DataFrame, s: FraudSettings = DEFAULTS, order: list[str] | None = None) -> DataFrame:
-    """The whole chain. Group figures are taken from the input table, not from the widened rows."""
-    out = price_manipulation(duplicates(df, order), s)
-    out = collusion(out, s, order, df)
-    return classify(score(payment_patterns(out, s, df)), s)
+    """The whole chain over group figures taken once from the input table."""
+    names = [name for name in _FIGURES if name != "day" or has(df, "invoice_date")]
+    known = figures(df, names, order)
+    out = price_manipulation(duplicates(df, order, known), s, known)
+    out = payment_patterns(collusion(out, s, order, known), s, known)
+    return classify(score(out), s)
 
 
 def most_common_indicator(detail: DataFrame) -> DataFrame:

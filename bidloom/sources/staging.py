@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,15 @@ def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Write independent tables as concurrent jobs, so that none waits for the tail of another."""
+    if not tables:
+        return {}
+    with ThreadPoolExecutor(max_workers=min(len(tables), 8)) as pool:
+        jobs = {name: pool.submit(stage_table, df, name) for name, df in tables.items()}
+        return {name: job.result() for name, job in jobs.items()}
+
+
 def attach(df: DataFrame, lookup: DataFrame, keys: list[str], label: str = "lookup") -> DataFrame:
     """Left-join per-key values onto rows.
 

@@ -276,12 +276,14 @@ add(
     "clause_segments", "doc_id:i clause_id:i clause_text", "o_clauses",
     on("v_contract_docs", clauses.segment),
 )
+add("clause_types", "doc_id:i clause_id:i clause_type", "o_clauses",
+    on("v_contract_docs", lambda df: clauses.with_type(clauses.segment(df))))
+add("clause_tags", "doc_id:i clause_id:i mandatory risk_level", "o_clauses",
+    on("v_contract_docs", lambda df: clauses.with_tags(clauses.segment(df))))
 for _name, _layout in {
-    "types": "doc_id:i clause_id:i clause_type",
     "money": "doc_id:i clause_id:i money:l",
     "dates": "doc_id:i clause_id:i dates:l",
     "percentages": "doc_id:i clause_id:i percentages:l",
-    "tags": "doc_id:i clause_id:i mandatory risk_level",
     "table": "doc_id:i clause_id:i clause_text clause_type mandatory risk_level dates:l money:l percentages:l organizations:l",
 }.items():
     add(f"clause_{_name}", _layout, "o_clauses", on("v_contract_docs", clauses.clause_table))
