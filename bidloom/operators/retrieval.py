@@ -6,7 +6,6 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
@@ -96,26 +95,27 @@ def chunk_documents(
 ) -> DataFrame:
     """(key, chunk_no, chunk_text) in document order, whole texts, streamed by batch."""
     seps = separators or SEPARATORS
-    key_type = df.schema[key].dataType
+    out = T.StructType(
+        [
+            T.StructField(key, df.schema[key].dataType),
+            T.StructField("chunk_no", T.LongType()),
+            T.StructField("chunk_text", T.StringType()),
+        ]
+    )
+    arrow = pa.schema([(key, _arrow_type(out[key].dataType)), ("chunk_no", pa.int64()), ("chunk_text", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, numbers, texts = [], [], []
-            for doc, body in zip(batch[key], batch[text], strict=True):
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for number, (start, end) in enumerate(chunk_spans(body or "", size, overlap, seps), 1):
                     keys.append(doc)
                     numbers.append(number)
                     texts.append(body[start:end])
-            yield pd.DataFrame({key: keys, "chunk_no": numbers, "chunk_text": texts})
+            columns = [pa.array(c, type=f.type) for c, f in zip((keys, numbers, texts), arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    schema = T.StructType(
-        [
-            T.StructField(key, key_type),
-            T.StructField("chunk_no", T.LongType()),
-            T.StructField("chunk_text", T.StringType()),
-        ]
-    )
-    return df.select(key, text).mapInPandas(run, schema)
+    return df.select(key, text).mapInArrow(run, out)
 
 
 # ---- vectors ------------------------------------------------------------------

@@ -14,7 +14,7 @@ CORRUPT = "_corrupt_record"
 
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Header CSV as UTF-8, or as Latin-1 when UTF-8 leaves replacement characters.
+    """Header CSV as UTF-8, or as Latin-1 when any line is not valid UTF-8.
 
     Give a schema for large inputs; without one the types are inferred, which
     reads the files an extra time. Missing, empty or row-less input is an error.
@@ -22,7 +22,7 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     raw = spark.read.text(path)
-    broken = raw.where(F.col("value").contains("�")).limit(1).count() > 0
+    broken = raw.where(~F.is_valid_utf8("value")).limit(1).count() > 0
     reader = spark.read.option("header", True).option("encoding", "ISO-8859-1" if broken else "UTF-8")
     if schema is None:
         df = reader.option("inferSchema", True).csv(path)
