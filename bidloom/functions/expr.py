@@ -56,7 +56,8 @@ def any_true(*conditions: Column) -> Column:
 
 def label_list(*labelled: tuple[Column, str]) -> Column:
     """Array of the labels whose condition holds, in the given order."""
-    return F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in labelled]))
+    # removal by value stays in generated code, a lambda filter would not
+    return F.array_remove(F.array(*[F.when(cond, F.lit(text)).otherwise(F.lit("")) for cond, text in labelled]), "")
 
 
 def label_text(*labelled: tuple[Column, str | Column]) -> Column:

@@ -165,7 +165,7 @@ def violations(df: DataFrame, row_key: str, checks: list[Check]) -> DataFrame:
         )
         for c in checks
     ]
-    return df.select(F.inline(F.filter(F.array(*found), lambda v: v["reason"].isNotNull())))
+    return df.select(F.inline(F.array(*found))).where(F.col("reason").isNotNull())
 
 
 def check_summary(df: DataFrame, checks: list[Check]) -> DataFrame:

@@ -134,8 +134,10 @@ def recommend(df: DataFrame, rules: list[Rule]) -> DataFrame:
 def members(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per rule and matching row: (type, id)."""
     with_ids = [r for r in rules if r.id_col and not r.top_only]
-    matched = [
-        F.when(F.expr(r.when), F.struct(F.lit(r.type).alias("type"), F.col(r.id_col).cast("string").alias("id")))
+    tried = [
+        F.struct(
+            F.lit(r.type).alias("type"), F.col(r.id_col).cast("string").alias("id"), F.expr(r.when).alias("_matches")
+        )
         for r in with_ids
     ]
-    return df.select(F.inline(F.array_compact(F.array(*matched))))
+    return df.select(F.inline(F.array(*tried))).where("_matches").drop("_matches")

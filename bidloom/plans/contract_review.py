@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.functions.expr import clip, flag, label_list, label_text, points, require, share_pct, with_defaults
+from bidloom.functions.expr import clip, count_true, flag, label_list, label_text, points, require, share_pct, with_defaults
 from bidloom.operators.recommend import Rule
 from bidloom.operators.rules import traffic_light
 from bidloom.operators.scalars import with_scalars
@@ -44,8 +44,10 @@ def _present(name: str) -> Column:
 def missing_clauses(df: DataFrame, s: ReviewSettings = DEFAULTS, defaults: dict | None = None) -> DataFrame:
     require(df, *REQUIRED)
     out = with_defaults(df, defaults)
-    names = label_list(*[(~_present(c), c.removesuffix("_clause")) for c in s.clauses if c in out.columns])
-    return out.withColumn("missing_clause_names", names).withColumn("missing_clauses", F.size("missing_clause_names"))
+    absent = [(~_present(c), c.removesuffix("_clause")) for c in s.clauses if c in out.columns]
+    return out.withColumns(
+        {"missing_clauses": count_true(*[a for a, _ in absent]), "missing_clause_names": label_list(*absent)}
+    )
 
 
 def compliance(df: DataFrame) -> DataFrame:
@@ -97,8 +99,8 @@ def analyze(df: DataFrame, s: ReviewSettings = DEFAULTS, defaults: dict | None =
 
 def most_common_missing(detail: DataFrame, s: ReviewSettings = DEFAULTS) -> DataFrame:
     """The clause missing most often, ties by clause order; 'None' when none is missing."""
-    names = [c.removesuffix("_clause") for c in s.clauses]
-    counts = detail.agg(*[F.count_if(F.array_contains("missing_clause_names", n)).alias(n) for n in names])
+    names = [c.removesuffix("_clause") for c in s.clauses if c in detail.columns]
+    counts = detail.agg(*[F.count_if(~_present(f"{n}_clause")).alias(n) for n in names])
     best = F.greatest(*[F.col(n) for n in names])
     chain = F.when(best == 0, "None")
     for n in names:

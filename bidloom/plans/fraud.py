@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.functions.expr import clip, flag, has, label_list, pct_over, points, require, round_scaled, share_pct
+from bidloom.functions.expr import clip, count_true, flag, has, label_list, pct_over, points, require, round_scaled, share_pct
 from bidloom.operators.ordering import previous_value
 from bidloom.operators.recommend import Rule
 from bidloom.operators.scalars import with_scalars
@@ -210,7 +210,9 @@ def collusion(
         }
     )
     score = points(
-        (F.col("similar_vendor_exists"), 30), (F.col("collusion_risk"), 40), (F.col("sequential_invoices"), 30)
+        (F.col("similar_vendor_exists"), 30),
+        (F.col("collusion_risk"), 40),
+        (F.col("sequential_invoices"), 30),
     )
     return out.withColumn("collusion_score", score)
 
@@ -266,10 +268,13 @@ def score(df: DataFrame) -> DataFrame:
         + F.col("collusion_score") * 0.25
         + F.col("payment_pattern_score") * 0.15
     )
-    found = label_list(*[(F.col(name), text) for name, text in INDICATORS.items()])
     return df.withColumns(
-        {"fraud_score": round_scaled(clip(mix, 0, 100), 2), "fraud_indicators": found}
-    ).withColumn("indicator_count", F.size("fraud_indicators"))
+        {
+            "fraud_score": round_scaled(clip(mix, 0, 100), 2),
+            "fraud_indicators": label_list(*[(F.col(name), text) for name, text in INDICATORS.items()]),
+            "indicator_count": count_true(*[F.col(name) for name in INDICATORS]),
+        }
+    )
 
 
 def classify(df: DataFrame, s: FraudSettings = DEFAULTS) -> DataFrame:

@@ -31,6 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a file scan that has fewer splits than the cluster has cores.
+
+    For CPU-heavy narrow work on few row groups. A large table has more splits
+    than cores and passes through untouched. Meant for plain scans: looking at
+    the splits of a plan with shuffles would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and return it as a table scan."""
     spark = df.sparkSession

@@ -457,7 +457,7 @@ add(
 add(
     "isolation_forest", None, None,
     lambda s, d: isolation.detect_anomalies(
-        view(s, d, "v_transactions").select("transaction_id", "amount", "unit_price", "payment_hour"),
+        view(s, d, "v_transactions", heavy=True).select("transaction_id", "amount", "unit_price", "payment_hour"),
         "transaction_id", ["amount", "unit_price", "payment_hour"],
     ),
 )

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bidloom.sources.staging import spread_scan
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings"]
 
 VIEWS = {
@@ -248,7 +250,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Views whose operators are CPU-heavy per row.
+HEAVY = {"v_contract_docs", "v_text"}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
     text = VIEWS[name]
     used = set(re.findall(r"\{(\w+)\}", text))
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+    scans = {t: table(spark, sf_dir, t) for t in used}
+    if heavy or name in HEAVY:
+        scans = {t: spread_scan(scan) for t, scan in scans.items()}
+    return spark.sql(text, **scans)
