@@ -7,10 +7,12 @@ exact quantiles of the scores.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from bidloom.operators.quantiles import group_quantiles
 from bidloom.operators.scalars import with_scalars
 from bidloom.sources.staging import stage_table
 
+# tasks carry this module's functions themselves, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SAMPLE = 256
 TREES = 100
 CONTAMINATION = 0.1

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -14,8 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidloom.operators.ordering import row_positions
 from bidloom.sources.staging import stage_table
 
+# tasks carry this module's functions themselves, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Chunking parameters, default width and number of results.
 CHUNK_SIZE = 1500
 CHUNK_OVERLAP = 200
@@ -192,31 +198,31 @@ def nearest_chunks(
 ) -> DataFrame:
     """Exact k nearest vectors per question by Euclidean distance, ties by id.
 
-    Each pass ships at most ``block`` question vectors to the scan and keeps k
+    Question ids are unique. Each pass ships at most ``block`` question vectors to the scan and keeps k
     candidates per question and partition; a larger question table takes more
     passes instead of a larger broadcast.
     """
-    spark = vectors.sparkSession
     q_type, v_type = questions.schema[question_id].dataType, vectors.schema[vec_id].dataType
     out = T.StructType(
         [T.StructField(question_id, q_type), T.StructField(vec_id, v_type), T.StructField("distance", T.DoubleType())]
     )
     arrow = pa.schema([(question_id, _arrow_type(q_type)), (vec_id, _arrow_type(v_type)), ("distance", pa.float64())])
-    passes = max(1, -(-questions.count() // block))
+    asked = questions.select(question_id, question_vec)
+    passes = -(-asked.count() // block)
+    if passes > 1:
+        # numbered and written once, so that a pass holds exactly ``block`` questions
+        numbered = asked.withColumn("_n", F.monotonically_increasing_id())
+        asked = stage_table(row_positions(numbered, [F.col("_n")], "_place"), "questions")
     found = None
     for number in range(passes):
-        part = questions.select(question_id, question_vec)
-        if passes > 1:
-            part = part.where(F.pmod(F.xxhash64(question_id), F.lit(passes)) == number)
-        rows = part.collect()
-        if not rows:
-            continue
+        part = asked.where(F.ceil(F.col("_place") / block) == number + 1) if passes > 1 else asked
+        rows = part.select(question_id, question_vec).collect()
         matrix = np.array([r[1] for r in rows], dtype=np.float64)
         scan = vectors.select(vec_id, vec).where(F.col(vec).isNotNull())
         local = scan.mapInArrow(_nearest_in_partition([r[0] for r in rows], matrix, k, arrow), out)
         found = local if found is None else found.unionByName(local)
     if found is None:
-        found = spark.createDataFrame([], out)
+        found = vectors.sparkSession.createDataFrame([], out)
     # candidates: k per question and partition
     order = Window.partitionBy(question_id).orderBy("distance", vec_id)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -1044,6 +1044,47 @@ add(
     ]) + ") a",
     on("v_transactions", lambda df: recommend.recommend(fraud.analyze(df), fraud.RULES)),
 )
+
+
+def add_members(name: str, view_name: str, analyze, stage_rules, parts: list[tuple[str, str, str]], source: str) -> None:
+    """Full membership of a stage's recommendations: (type, id) rows."""
+    sql = " UNION ALL ".join(
+        f"SELECT '{kind}' AS type, CAST({key} AS VARCHAR) AS id FROM {source} WHERE {when}" for kind, key, when in parts
+    )
+    add(f"{name}_recommendation_members", "type id", f"({sql}) a",
+        on(view_name, lambda df: recommend.members(analyze(df), stage_rules)))
+
+
+add_members("fraud", "v_transactions", fraud.analyze, fraud.RULES, [
+    ("immediate_action", "transaction_id", "immediate_action"), ("duplicate_invoice", "transaction_id", "is_duplicate"),
+    ("price_manipulation", "transaction_id", "price_manipulation_detected"),
+    ("vendor_collusion", "vendor_id", "collusion_risk"), ("high_risk", "transaction_id", "fraud_risk = 'High'"),
+], "o_fraud")
+add_members("records", "v_records", _records, records.RULES, [
+    ("archival", "record_id", "archival_candidate"), ("deletion", "record_id", "deletion_candidate"),
+    ("compliance", "record_id", "NOT is_compliant"), ("version_update", "record_id", "NOT is_latest_version"),
+], "o_records")
+add_members("outlook", "v_items", predictive.analyze, predictive.RULES, [
+    ("price_increase", "item_id", "price_trend = 'Increasing'"), ("delay_risk", "item_id", "delay_risk = 'High'"),
+    ("budget_overrun", "item_id", "budget_risk = 'High'"), ("opportunity", "item_id", "price_trend = 'Decreasing'"),
+], "o_outlook")
+add_members("risk", "v_entities", risk.analyze, risk.RULES, [
+    ("High", "entity_id", "risk_level = 'High'"),
+    *[(a, "entity_id", f"primary_risk_area = '{a}'") for a in ("Financial", "Compliance", "Delivery")],
+], "o_risk")
+add_members("change", "v_change_orders", change_orders.analyze, change_orders.RULES, [
+    ("high_impact", "change_order_id", "impact_level = 'High'"), ("budget_overrun", "change_order_id", "budget_overrun"),
+    ("auto_approved", "change_order_id", "approval_status = 'Auto-Approved'"),
+    ("timeline_impact", "change_order_id", "significant_timeline_impact"),
+], "o_changes")
+add_members("contract", "v_contracts", contract_review.analyze, contract_review.RULES, [
+    ("critical", "contract_id", "rag_status = 'Red'"), ("warning", "contract_id", "rag_status = 'Amber'"),
+    ("approved", "contract_id", "rag_status = 'Green'"),
+], "o_review")
+add_members("negotiation", "v_offers", negotiation.analyze, negotiation.RULES, [
+    ("quick_wins", "vendor_id", "success_probability >= 0.7e0 AND is_negotiable"),
+    ("risk_warning", "vendor_id", "risk_level = 'High'"),
+], "o_nego")
 add("fraud_collusion_vendors", "vendor_id", "(SELECT DISTINCT vendor_id FROM o_fraud WHERE collusion_risk) a",
     on("v_transactions", lambda df: fraud.collusion_vendors(fraud.analyze(df))))
 
