@@ -13,10 +13,16 @@ from bidloom.sources.staging import attach, stage_table
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def summary(df: DataFrame, value: str, by: list[str] | None = None, max_group: int | None = None) -> DataFrame:
+def summary(
+    df: DataFrame,
+    value: str,
+    by: list[str] | None = None,
+    max_group: int | None = None,
+    also: list[Column] | None = None,
+) -> DataFrame:
     """Count, moments, extremes and exact quartiles; an empty group has nulls and count 0.
 
-    Sample variance of a single value is 0.
+    Sample variance of a single value is 0. ``also`` adds aggregates of other columns.
     """
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
     n = F.count(v)
@@ -30,12 +36,7 @@ def summary(df: DataFrame, value: str, by: list[str] | None = None, max_group: i
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     ]
-    quartiles = group_quantiles(df, value, QUARTILES, by, max_group)
-    if by:
-        base = df.dropna(subset=by).groupBy(*by).agg(*moments)
-        table = base.join(quartiles, by, "left")
-    else:
-        table = with_scalars(df.agg(*moments), quartiles)
+    table = group_quantiles(df, value, QUARTILES, by, max_group, [*moments, *(also or [])])
     return table.withColumns({"iqr": F.col("q3") - F.col("q1"), "range": F.col("max") - F.col("min")})
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidloom.operators.scalars import with_scalars
 from bidloom.sources.staging import PARTITION_ID, range_layout, stage_table
 
 # Rows a group may have before it is answered by rank. A task may hold the value
@@ -21,11 +22,12 @@ MAX_TABLE = 1_000_000
 _ALL = "_whole_table"
 
 
-def _small_groups(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+def _small_groups(values: DataFrame, keys: list[str], probs: dict[str, float], also: list[Column]) -> DataFrame:
     # one call with all probabilities keeps one value map per group
     every = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()]))
-    found = values.groupBy(*keys).agg(every.alias("_q"))
-    return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+    found = values.groupBy(*keys).agg(every.alias("_q"), *also)
+    others = [c for c in found.columns if c not in (*keys, "_q")]
+    return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)], *others)
 
 
 def _large_groups(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
@@ -75,26 +77,32 @@ def group_quantiles(
     probs: dict[str, float],
     keys: list[str] | None = None,
     max_group: int | None = None,
+    also: list[Column] | None = None,
 ) -> DataFrame:
     """One row per group with a column per requested quantile.
 
-    Nulls and NaN are ignored and rows with a null key belong to no group.
-    Without keys the result has one row, all null for an empty input.
+    Nulls and NaN are ignored and rows with a null key belong to no group. Without
+    keys the result has one row, all null for an empty input. ``also`` are further
+    aggregates of ``df``, taken in the same pass.
     """
-    keys = keys or []
+    keys, also = keys or [], also or []
     number = F.col(value).cast("double")
-    values = df.select(*keys, number.alias("_v")).where(number.isNotNull() & ~F.isnan(number))
+    rows = df.withColumn("_v", F.when(~F.isnan(number), number))
     if not keys:
-        if values.count() <= (max_group or MAX_TABLE):
-            return _small_groups(values, [], probs)
-        whole = values.withColumn(_ALL, F.lit(1))
-        return _large_groups(whole, [_ALL], probs).drop(_ALL)
-    values = values.dropna(subset=keys)
-    sizes = values.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > (max_group or MAX_GROUP))
+        if df.select(value).count() <= (max_group or MAX_TABLE):
+            return _small_groups(rows, [], probs, also)
+        whole = rows.where(F.col("_v").isNotNull()).select("_v", F.lit(1).alias(_ALL))
+        found = _large_groups(whole, [_ALL], probs).drop(_ALL)
+        return with_scalars(rows.agg(*also), stage_table(found, "quantiles")) if also else found
+    rows = rows.dropna(subset=keys)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > (max_group or MAX_GROUP))
     large = stage_table(sizes.drop("_size"), "large-groups")
     if large.isEmpty():
-        return _small_groups(values, keys, probs)
-    small = _small_groups(values.join(large, keys, "left_anti"), keys, probs)
-    return small.unionByName(_large_groups(values.join(large, keys, "left_semi"), keys, probs))
-
-
+        return _small_groups(rows, keys, probs, also)
+    small = _small_groups(rows.join(large, keys, "left_anti"), keys, probs, also)
+    big = rows.join(large, keys, "left_semi")
+    found = _large_groups(big.where(F.col("_v").isNotNull()).select(*keys, "_v"), keys, probs)
+    if also:
+        # one row per large group on both sides
+        found = big.groupBy(*keys).agg(*also).join(found, keys, "left")
+    return small.unionByName(found)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from bidloom.functions.expr import last_match, require, share_pct, with_defaults
 from bidloom.operators.quantiles import group_quantiles
-from bidloom.operators.scalars import with_scalars
 
 REQUIRED = ("vendor_id", "vendor_name")
 
@@ -58,7 +57,7 @@ def assess(df: DataFrame, s: ApprovalSettings = DEFAULTS, defaults: dict | None
 def statistics(detail: DataFrame) -> DataFrame:
     n = F.count("*")
     approved = F.count_if(F.col("status") == "approved")
-    counts = detail.agg(
+    counts = [
         n.alias("total_vendors"),
         approved.alias("approved_count"),
         F.count_if(F.col("status") == "rejected").alias("rejected_count"),
@@ -66,8 +65,8 @@ def statistics(detail: DataFrame) -> DataFrame:
         F.coalesce(share_pct(approved, n), F.lit(0.0)).alias("approval_rate"),
         F.avg("final_score").alias("average_score"),
         F.stddev_samp("final_score").alias("std_score"),
-    )
-    return with_scalars(counts, group_quantiles(detail, "final_score", {"median_score": 0.5}))
+    ]
+    return group_quantiles(detail, "final_score", {"median_score": 0.5}, also=counts)
 
 
 def top_vendors(detail: DataFrame, k: int = 5) -> DataFrame:

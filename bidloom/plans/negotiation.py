@@ -136,14 +136,14 @@ def analyze(df: DataFrame, s: NegotiationSettings = DEFAULTS, defaults: dict | N
 def market_benchmark(df: DataFrame, max_group: int | None = None) -> DataFrame:
     price = F.col("current_price")
     spread = F.try_divide(F.max(price) - F.min(price), F.avg(price)) * 100
-    base = df.agg(
+    base = [
         F.avg(price).alias("market_average"),
         F.stddev_pop(price).alias("market_std"),
         F.min(price).alias("lowest_price"),
         F.max(price).alias("highest_price"),
         spread.alias("price_range_pct"),
-    )
-    return with_scalars(base, group_quantiles(df, "current_price", {"market_median": 0.5}, None, max_group))
+    ]
+    return group_quantiles(df, "current_price", {"market_median": 0.5}, None, max_group, base)
 
 
 def result(detail: DataFrame) -> DataFrame:

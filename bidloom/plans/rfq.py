@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions.expr import any_true, count_true, flag, has, last_match, require
@@ -30,10 +30,15 @@ DEFAULTS = BidSettings()
 
 
 def price_statistics(
-    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS, max_group: int | None = None
+    df: DataFrame,
+    by: list[str] | None = None,
+    s: BidSettings = DEFAULTS,
+    max_group: int | None = None,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Mean, median, population deviation, extremes, quartiles and fences."""
-    stats = summary(df, "quoted_price", by, max_group)
+    also = also or {}
+    stats = summary(df, "quoted_price", by, max_group, [c.alias(name) for name, c in also.items()])
     return stats.select(
         *(by or []),
         "mean",
@@ -46,19 +51,15 @@ def price_statistics(
         "iqr",
         (F.col("q1") - s.iqr_multiplier * F.col("iqr")).alias("lower_bound"),
         (F.col("q3") + s.iqr_multiplier * F.col("iqr")).alias("upper_bound"),
+        *also,
     )
 
 
 def _with_baseline(df: DataFrame, by: list[str] | None, s: BidSettings, max_group: int | None) -> DataFrame:
-    stats = price_statistics(df, by, s, max_group)
-    names = ["mean", "std", "lower_bound", "upper_bound"]
+    also = {"delivery": F.avg("delivery_days")} if has(df, "delivery_days") else {}
+    stats = price_statistics(df, by, s, max_group, also)
+    names = ["mean", "std", "lower_bound", "upper_bound", *also]
     stats = stats.select(*(by or []), *[F.col(n).alias(f"_{n}") for n in names])
-    if has(df, "delivery_days"):
-        average = F.avg("delivery_days").alias("_delivery")
-        if by:
-            stats = stats.join(df.dropna(subset=by).groupBy(*by).agg(average), by, "full")
-        else:
-            stats = with_scalars(stats, df.agg(average))
     return attach(df, stats, by, "bid-stats") if by else with_scalars(df, stage_table(stats, "bid-stats"))
 
 
