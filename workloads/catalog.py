@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ from bidloom.plans import (
     risk,
     shortlist,
 )
-from bidloom.sources import files
+from bidloom.sources import files, staging
 from workloads.oracle import inr, recommendation, western
 from workloads.shape import shape, twin
 from workloads.views import table, view
@@ -115,8 +116,51 @@ add(
     on("v_drops", files.admission),
 )
 
+
+def _fresh(spark, label: str) -> str:
+    """A new folder in the shared one; nothing is overwritten."""
+    return f"{staging.shared_folder(spark).rstrip('/')}/bidloom/{label}-{uuid.uuid4().hex}"
+
+
+_CHANGE = "change_order_id:i contract_id:i change_cost:2 change_reason"
+_CHANGE_DDL = "change_order_id bigint, contract_id bigint, change_cost double, change_reason string"
+
+
+def _csv_round_trip(s, d):
+    path = _fresh(s, "csv")
+    columns = ["change_order_id", "contract_id", "change_cost", "change_reason"]
+    files.write_result(view(s, d, "v_change_orders").select(*columns), path, "csv")
+    return files.load_csv(s, path, _CHANGE_DDL)
+
+
+def _sink_round_trip(form: str):
+    def run(s, d):
+        path = _fresh(s, form)
+        files.write_result(contract_review.analyze(view(s, d, "v_contracts")), path, form)
+        ddl = "contract_id bigint, risk_score double, rag_status string, missing_clause_names array<string>"
+        return s.read.schema(ddl).format(form).load(path)
+
+    return run
+
+
+def _run_record(s, d):
+    sink, runs = _fresh(s, "sink"), _fresh(s, "runs")
+    files.run_stage(view(s, d, "v_change_orders"), 7, "Change orders", change_orders.analyze, sink, runs)
+    return s.read.parquet(runs)
+
+
+add("csv_round_trip", _CHANGE, "v_change_orders", _csv_round_trip)
+for _form in ("parquet", "json"):
+    add(f"result_sink_{_form}", "contract_id:i risk_score:2 rag_status missing_clause_names:l", "o_review",
+        _sink_round_trip(_form))
+add(
+    "stage_run_record", "stage_number:i stage_name status input_rows:i error",
+    "(SELECT 7 AS stage_number, 'Change orders' AS stage_name, 'completed' AS status, count(*) AS input_rows, "
+    "CAST(NULL AS VARCHAR) AS error FROM v_change_orders) a",
+    _run_record,
+)
+
 # ---- quality -------------------------------------------------------------------
-_BAD_NUMBER = "{c} IS NOT NULL AND try_cast(trim({c}) AS DOUBLE) IS NULL"
 add(
     "quality_min_rows", "has_rows", "(SELECT count(*) >= 1 AS has_rows FROM v_messy) a",
     lambda s, d: s.createDataFrame([(quality.has_rows(view(s, d, "v_messy")),)], "has_rows boolean"),
@@ -416,6 +460,16 @@ add(
     f"(SELECT item_id, f.intercept + f.slope * current_price AS prediction FROM v_items, {_FIT} f) a",
     lambda s, d: _linear(s, d).predict(_ols_items(s, d), ("item_id",)),
 )
+
+
+def _reloaded(s, d):
+    path = _fresh(s, "model")
+    _linear(s, d).save(path)
+    return models.TrainedModel.load(path).predict(_ols_items(s, d), ("item_id",))
+
+
+add("model_reload_predictions", "item_id:i prediction:3",
+    f"(SELECT item_id, f.intercept + f.slope * current_price AS prediction FROM v_items, {_FIT} f) a", _reloaded)
 add(
     "linear_regression_metrics", "metric value:6",
     f"""(SELECT unnest(['train_r2', 'test_r2', 'train_rmse', 'test_rmse', 'n_features', 'n_train_samples',
