@@ -67,7 +67,7 @@ def test_run_records(spark, tmp_path):
     with pytest.raises(Exception, match="nothing"):
         files.run_stage(df, 4, "broken", lambda d: d.select("nothing"), str(tmp_path / "out2"), runs)
     got = sorted(rows(spark.read.parquet(runs), "stage_number", "status", "input_rows"))
-    assert got == [(3, "completed", 10), (4, "failed", None)]
+    assert got == [(3, "completed", 10), (4, "failed", 10)]
 
 
 def test_staged_tables_live_in_the_configured_folder(spark):
