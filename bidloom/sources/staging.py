@@ -42,10 +42,15 @@ def spread_scan(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/bidloom/{label}-{uuid.uuid4().hex}"
+
+
 def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and return it as a table scan."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/bidloom/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
