@@ -87,7 +87,7 @@ def fit_arrays(
     rounds: int = 1000,
     rate: float = 0.05,
     ridge: float = 2e-6,
-    apart: float = 5.0,
+    apart: float = 3.5,
 ) -> OrdinalModel:
     """Maximum likelihood with a ridge, by gradient steps with per-weight scaling.
 
@@ -205,11 +205,13 @@ def grade_documents(
     """(id, expected_grade, tail_probability, kept) of every document.
 
     ``tail_probability`` is that of reaching ``grade``; a document is kept when
-    it is at least ``least``. A null, empty or blank text has no features and
+    it is at least ``least`` times that of a text which nothing speaks against, so
+    that a model of few ratings does not reject what it knows nothing of. A null, empty or blank text has no features and
     score 0. Null and repeated ids pass through, each row judged by itself.
     Whole texts are read; other columns are not.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    cut = least * float(model.at_least(np.zeros(1))[0, grade - 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -218,7 +220,7 @@ def grade_documents(
                 reach = own.at_least(own.score(*features(batch.column("text"), own.bits)))
                 tail = reach[:, grade - 1]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(reach.sum(axis=1)), pa.array(tail), pa.array(tail >= least)],
+                    [batch.column("id"), pa.array(reach.sum(axis=1)), pa.array(tail), pa.array(tail >= cut)],
                     ["id", "expected_grade", "tail_probability", "kept"],
                 )
 
