@@ -95,7 +95,8 @@ def require(df: DataFrame, *names: str) -> None:
 
 
 def with_defaults(df: DataFrame, defaults: dict | None) -> DataFrame:
-    """Add absent optional columns as caller-supplied literals (never random)."""
+    """A stage's input: NaN as missing, absent optional columns as the caller's literals (never random)."""
+    df = nan_to_null(df)
     absent = {name: F.lit(value) for name, value in (defaults or {}).items() if name not in df.columns}
     return df.withColumns(absent) if absent else df
 

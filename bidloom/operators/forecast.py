@@ -27,16 +27,56 @@ def short_series(df: DataFrame, series: str = "series_id") -> DataFrame:
     return series_sizes(df, series).where(F.col("n_points") < MIN_POINTS)
 
 
+#: months in one step of a calendar frequency
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+#: days in one step, and the mean gaps in days taken for it
+_GAPS = {"day": (0.0, 2.0), "week": (5.0, 9.0), "month": (26.0, 33.0), "quarter": (80.0, 100.0), "year": (340.0, 390.0)}
+FREQUENCIES = ("day", "week", *[f"{unit}_{side}" for unit in _MONTHS for side in ("start", "end")])
+
+
+def _period_end(day: Column, unit: str) -> Column:
+    return F.last_day(F.add_months(F.trunc(day, unit), _MONTHS[unit] - 1))
+
+
 def _next_dates(last: Column, step: Column, freq: str) -> Column:
-    if freq == "month_end":
-        # the first month end after the last point, then one per month
-        ahead = F.when(last == F.last_day(last), step).otherwise(step - 1)
-        return F.last_day(F.add_months(last, ahead))
-    if freq == "month_start":
-        return F.add_months(F.trunc(last, "month"), step)
     if freq == "day":
         return F.date_add(last, step)
-    raise ValueError(f"unknown frequency: {freq}")
+    if freq == "week":
+        return F.date_add(last, step * 7)
+    unit, _, side = freq.partition("_")
+    if freq not in FREQUENCIES:
+        raise ValueError(f"unknown frequency: {freq}")
+    if side == "start":
+        return F.add_months(F.trunc(last, unit), step * _MONTHS[unit])
+    # the first period end after the last point, then one per period
+    ahead = F.when(last == _period_end(last, unit), step).otherwise(step - 1)
+    return _period_end(F.add_months(F.trunc(last, unit), ahead * _MONTHS[unit]), unit)
+
+
+def _frequency(first: Column, last: Column, points: Column, all_first: Column) -> Column:
+    """Name of the frequency whose step the mean gap is nearest to; null where none is."""
+    gap = F.try_divide(F.datediff(last, first), points - 1)
+    chain = F
+    for unit, (low, high) in _GAPS.items():
+        name = F.when(all_first, f"{unit}_start").otherwise(f"{unit}_end") if unit in _MONTHS else F.lit(unit)
+        chain = chain.when(gap.between(low, high), name)
+    return chain
+
+
+def infer_frequency(df: DataFrame, series: str = "series_id", ts: str = "ts") -> DataFrame:
+    """(series, frequency): from the mean gap of each series and whether all points are first days."""
+    day = F.to_date(ts)
+    # points on one day count once
+    points = df.select(series, day.alias("_ts")).where("_ts is not null").distinct().groupBy(series)
+    figures = points.agg(
+        F.min("_ts").alias("_first"),
+        F.max("_ts").alias("_last"),
+        F.count("*").alias("_n"),
+        F.bool_and(F.dayofmonth("_ts") == 1).alias("_starts"),
+    )
+    return figures.select(
+        series, _frequency(F.col("_first"), F.col("_last"), F.col("_n"), F.col("_starts")).alias("frequency")
+    )
 
 
 def forecast(
@@ -49,7 +89,10 @@ def forecast(
     value: str = "value",
     alpha: float = ALPHA,
 ) -> DataFrame:
-    """(series, step, ts, forecast, method, last_value) for ``periods`` steps ahead."""
+    """(series, step, ts, forecast, method, last_value) for ``periods`` steps ahead.
+
+    ``freq`` is one of ``FREQUENCIES``, or ``infer`` for that of each series.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     if dict(df.dtypes)[ts] not in ("date", "timestamp", "timestamp_ntz"):
@@ -83,10 +126,17 @@ def forecast(
     if method == "exponential_smoothing":
         fitted = fitted.withColumn("_slope", F.col("_level") - F.col("_before"))
     step = F.col("step")
+    if freq == "infer":
+        fitted = fitted.join(infer_frequency(df, series, ts), series, "left")
+        dates = F
+        for name in FREQUENCIES:
+            dates = dates.when(F.col("frequency") == name, _next_dates(F.col("_last_ts"), step, name))
+    else:
+        dates = _next_dates(F.col("_last_ts"), step, freq)
     return fitted.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods)))).select(
         series,
         "step",
-        _next_dates(F.col("_last_ts"), step, freq).alias("ts"),
+        dates.alias("ts"),
         (F.col("_level") + F.col("_slope") * step).alias("forecast"),
         F.lit(method).alias("method"),
         "last_value",

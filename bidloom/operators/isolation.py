@@ -1,14 +1,13 @@
 """Isolation-forest anomaly scores (Liu, Ting and Zhou, ICDM 2008).
 
 Trees are grown on small samples, whose total size depends on the settings and
-not on the table; scoring is one Arrow pass over all rows; both cut-offs are
-exact quantiles of the scores.
+not on the table, one group of rows for each tree; scoring is one Arrow pass over
+all rows; both cut-offs are exact quantiles of the scores.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,31 +81,40 @@ def _path_lengths(points: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray
 def fit_forest(
     df: DataFrame, key: str, features: list[str], n_trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
 ) -> tuple[list[dict[str, np.ndarray]], int]:
-    """Trees and the sample size they were grown on."""
+    """Trees and the sample size they were grown on.
+
+    A row's draw hashes its key, its features and a number among the rows that
+    agree in all of them, so equal rows are drawn apart and no layout matters. The ``n_trees * sample`` smallest draws
+    are the pool, a uniform sample whose size the arguments set; every tree then
+    takes its own ``sample`` of the pool and grows in a group of its own.
+    """
     values = [F.col(f).cast("double").alias(f) for f in features]
     wanted = n_trees * sample
-    draw = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    drawn = df.select(draw.alias("_draw"), *values)
-    # the pool is the ``wanted`` rows with the smallest seeded hash: a uniform
-    # draw whose size is set by the arguments, whatever the table holds; the
-    # first cut keeps about four times as many, so that the sort stays small
+    # counted, then numbered: rows that agree in all columns are interchangeable
+    alike = df.select(F.col(key).cast("string").alias("_key"), *values).groupBy("_key", *features).agg(
+        F.count("*").alias("_n")
+    )
+    rows = alike.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    draw = F.xxhash64(F.lit(seed), "_key", *features, "_i")
+    # about four times the pool passes, so that finding the smallest draws moves little
     share = min(1.0, 4.0 * wanted / max(df.count(), 1))
-    near = drawn.where(F.col("_draw") < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1.0 else drawn
-    pool = near.orderBy("_draw").limit(wanted).toPandas()[features].to_numpy(dtype=float)
-    if len(pool) == 0:
+    near = rows.select(draw.alias("_draw"), *features).where(F.col("_draw") <= F.lit(int(-(2**63) + share * (2**64 - 2048))))
+    pool = stage_table(near.orderBy("_draw").limit(wanted), "forest-pool")
+    size = min(sample, pool.count())
+    if size == 0:
         raise ValueError("no rows to fit")
-    size = min(sample, len(pool))
-
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for tree in batch["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                picked = pool[rng.choice(len(pool), size, replace=False)]
-                rows.append({"tree": int(tree), **grow_tree(picked, rng)})
-            yield pd.DataFrame(rows)
-
-    rows = df.sparkSession.range(n_trees).mapInPandas(grow, _TREE).orderBy("tree").collect()
+    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
+    turn = F.xxhash64(F.lit(seed), F.col("tree"), F.col("_draw")).alias("_turn")
+    # each row reaches a tree of its own draw: n_trees groups of the pool's rows
+    dealt = pool.select("*", trees).select("tree", turn, *features)
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        tree = int(rows["tree"].iloc[0])
+        picked = rows.nsmallest(size, "_turn")[features].to_numpy(dtype=float)
+        return pd.DataFrame([{"tree": tree, **grow_tree(picked, np.random.default_rng([seed, tree]))}])
+
+    # one row per tree
+    rows = dealt.groupBy("tree").applyInPandas(grow, _TREE).orderBy("tree").collect()
     forest = [
         {name: np.array(r[name]) for name in ("feature", "cut", "left", "right", "depth")} for r in rows
     ]

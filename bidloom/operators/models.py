@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -39,7 +41,12 @@ class TrainedModel:
     target: str
     model_type: str
     task: str
-    metrics: dict = field(default_factory=dict)
+    measure: Callable[[], dict[str, float]] = dict
+
+    @cached_property
+    def metrics(self) -> dict[str, float]:
+        """Figures of both shares; the rows are scored when they are first asked for."""
+        return self.measure()
 
     def check_features(self, df: DataFrame, ignore: tuple[str, ...] = ()) -> None:
         given = set(df.columns) - {self.target, *ignore}
@@ -86,7 +93,7 @@ class TrainedModel:
             facts["target"],
             facts["model_type"],
             facts["task"],
-            dict(facts["metrics"]),
+            lambda: dict(facts["metrics"]),
         )
 
 
@@ -120,14 +127,17 @@ def _estimator(model_type: str, task: str, target: str, n_train: int, options: d
             standardization=False,
         )
     if task == "regression" and model_type == "random_forest":
-        return RandomForestRegressor(**common, **trees)
+        return RandomForestRegressor(**common, **trees, featureSubsetStrategy="all")
     if task == "regression" and model_type == "linear_regression":
         return LinearRegression(**common, regParam=0.0, solver="normal")
     raise ValueError(f"unknown model type: {model_type} for {task}")
 
 
-def _classification_metrics(scored: DataFrame, target: str) -> dict[str, float]:
-    """From one confusion table: at most two shares times classes squared rows."""
+def classification_metrics(scored: DataFrame, target: str) -> dict[str, float]:
+    """Accuracies of both shares and weighted figures of the test share, from (_train, target, prediction).
+
+    They come from one confusion table of at most two shares times classes squared rows.
+    """
     table = scored.groupBy("_train", F.col(target).cast("double").alias("y"), "prediction").agg(F.count("*").alias("n"))
     rows = table.collect()
 
@@ -188,11 +198,13 @@ def train_model(
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
     estimator = _estimator(model_type, task, target, sizes["train"], options)
     fitted = Pipeline(stages=[assembler, estimator]).fit(table.where("_train").drop("_train"))
-    measure = _classification_metrics if task == "classification" else _regression_metrics
-    metrics = measure(fitted.transform(table), target)
-    metrics |= {
-        "n_features": float(len(features)),
-        "n_train_samples": float(sizes["train"]),
-        "n_test_samples": float(sizes["all"] - sizes["train"]),
-    }
-    return TrainedModel(fitted, features, target, model_type, task, metrics)
+    figures = classification_metrics if task == "classification" else _regression_metrics
+
+    def measure() -> dict[str, float]:
+        return figures(fitted.transform(table), target) | {
+            "n_features": float(len(features)),
+            "n_train_samples": float(sizes["train"]),
+            "n_test_samples": float(sizes["all"] - sizes["train"]),
+        }
+
+    return TrainedModel(fitted, features, target, model_type, task, measure)

@@ -1,11 +1,14 @@
-"""Distribution summaries and outlier flags, global or per group."""
+"""Distribution summaries and outlier flags, global or per group.
+
+NaN counts as missing: it is no outlier and is returned as null.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.functions.expr import flag
+from bidloom.functions.expr import flag, nan_to_null
 from bidloom.operators.quantiles import group_quantiles
 from bidloom.operators.scalars import with_scalars
 from bidloom.sources.staging import attach, stage_table
@@ -17,7 +20,6 @@ def summary(
     df: DataFrame,
     value: str,
     by: list[str] | None = None,
-    max_group: int | None = None,
     also: list[Column] | None = None,
 ) -> DataFrame:
     """Count, moments, extremes and exact quartiles; an empty group has nulls and count 0.
@@ -36,13 +38,14 @@ def summary(
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     ]
-    table = group_quantiles(df, value, QUARTILES, by, max_group, [*moments, *(also or [])])
+    table = group_quantiles(df, value, QUARTILES, by, [*moments, *(also or [])])
     return table.withColumns({"iqr": F.col("q3") - F.col("q1"), "range": F.col("max") - F.col("min")})
 
 
-def _with_stats(df: DataFrame, value: str, by: list[str] | None, max_group: int | None) -> DataFrame:
+def _with_stats(df: DataFrame, value: str, by: list[str] | None) -> DataFrame:
+    df = nan_to_null(df)
     names = ["mean", "median", "std", "std_pop", "q1", "q3"]
-    stats = summary(df, value, by, max_group).select(*(by or []), *[F.col(n).alias(f"_{n}") for n in names])
+    stats = summary(df, value, by).select(*(by or []), *[F.col(n).alias(f"_{n}") for n in names])
     # a one-row table keyed by nothing becomes a scalar subquery
     return attach(df, stats, by, "group-stats") if by else with_scalars(df, stage_table(stats, "stats"))
 
@@ -82,20 +85,20 @@ _INTERNAL = ["_mean", "_median", "_std", "_std_pop", "_q1", "_q3"]
 
 
 def zscore_outliers(
-    df: DataFrame, value: str, by: list[str] | None = None, threshold: float = 3.0, max_group: int | None = None
+    df: DataFrame, value: str, by: list[str] | None = None, threshold: float = 3.0
 ) -> DataFrame:
-    out = _with_stats(df, value, by, max_group).withColumns(_z_columns(F.col(value), threshold))
+    out = _with_stats(df, value, by).withColumns(_z_columns(F.col(value), threshold))
     return out.withColumnsRenamed({"z_type": "outlier_type", "z_severity": "severity"}).drop(*_INTERNAL)
 
 
 def iqr_outliers(
-    df: DataFrame, value: str, by: list[str] | None = None, multiplier: float = 1.5, max_group: int | None = None
+    df: DataFrame, value: str, by: list[str] | None = None, multiplier: float = 1.5
 ) -> DataFrame:
-    out = _with_stats(df, value, by, max_group).withColumns(_iqr_columns(F.col(value), multiplier))
+    out = _with_stats(df, value, by).withColumns(_iqr_columns(F.col(value), multiplier))
     return out.withColumnsRenamed({"iqr_type": "outlier_type", "iqr_severity": "severity"}).drop(*_INTERNAL)
 
 
-def _combined(df: DataFrame, value: str, by, threshold: float, multiplier: float, max_group: int | None) -> DataFrame:
+def _combined(df: DataFrame, value: str, by, threshold: float, multiplier: float) -> DataFrame:
     v = F.col(value)
     z, q = _z_columns(v, threshold), _iqr_columns(v, multiplier)
     by_z, by_iqr = z["is_outlier_zscore"], q["is_outlier_iqr"]
@@ -105,7 +108,7 @@ def _combined(df: DataFrame, value: str, by, threshold: float, multiplier: float
         .otherwise("none")
     )
     method = F.when(by_z & by_iqr, "both").when(by_z, "zscore_only").when(by_iqr, "iqr_only").otherwise("none")
-    return _with_stats(df, value, by, max_group).withColumns(
+    return _with_stats(df, value, by).withColumns(
         {
             "zscore": z["zscore"],
             "is_outlier_zscore": by_z,
@@ -124,16 +127,15 @@ def combined_outliers(
     by: list[str] | None = None,
     threshold: float = 3.0,
     multiplier: float = 1.5,
-    max_group: int | None = None,
 ) -> DataFrame:
     """Either method flags; the type follows the z-score alone, the severity is the higher one."""
-    return _combined(df, value, by, threshold, multiplier, max_group).drop(*_INTERNAL)
+    return _combined(df, value, by, threshold, multiplier).drop(*_INTERNAL)
 
 
 def bid_price_analysis(
-    df: DataFrame, price: str = "quoted_price", by: list[str] | None = None, max_group: int | None = None
+    df: DataFrame, price: str = "quoted_price", by: list[str] | None = None
 ) -> DataFrame:
-    out = _combined(df, price, by, 3.0, 1.5, max_group)
+    out = _combined(df, price, by, 3.0, 1.5)
     deviation = F.when(F.col("_mean") > 0, (F.col(price) - F.col("_mean")) / F.col("_mean") * 100).otherwise(F.lit(0.0))
     out = out.withColumns(
         {
@@ -147,9 +149,9 @@ def bid_price_analysis(
 
 
 def vendor_metric_analysis(
-    df: DataFrame, metric: str = "delivery_score", by: list[str] | None = None, max_group: int | None = None
+    df: DataFrame, metric: str = "delivery_score", by: list[str] | None = None
 ) -> DataFrame:
-    out = _combined(df, metric, by, 3.0, 1.5, max_group)
+    out = _combined(df, metric, by, 3.0, 1.5)
     out = out.withColumns({"metric_mean": F.col("_mean"), "metric_median": F.col("_median")})
     return out.withColumnRenamed("is_outlier", "is_performance_outlier").drop(
         *_INTERNAL, "is_outlier_zscore", "is_outlier_iqr", "detection_method"

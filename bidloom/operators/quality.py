@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions import patterns as P
+from bidloom.sources.staging import stage_table
 
 
 def has_rows(df: DataFrame, minimum: int = 1) -> bool:
@@ -59,22 +60,27 @@ def duplicate_key_counts(df: DataFrame, candidates: list[str] | None = None) ->
 
 def format_report(df: DataFrame, row_number: str, rules: dict[str, str], shown: int = 5) -> DataFrame:
     """Values breaking a pattern: how many, and the first few row numbers."""
-    broken = {column: format_reason(F.col(column), pattern).isNotNull() for column, pattern in rules.items()}
-    wide = df.agg(*[F.count_if(bad).alias(f"n_{column}") for column, bad in broken.items()])
-    for column, bad in broken.items():
-        first = df.where(bad).select(row_number).orderBy(row_number).limit(shown)
-        rows = first.agg(F.sort_array(F.collect_list(row_number)))
-        wide = wide.withColumn(f"rows_{column}", rows.scalar())
-    entries = [
-        F.struct(
-            F.lit(column).alias("column"),
-            F.col(f"n_{column}").alias("n_bad"),
-            F.col(f"rows_{column}").alias("first_rows"),
-            F.greatest(F.col(f"n_{column}") - shown, F.lit(0)).alias("n_more"),
-        )
-        for column in rules
+    tried = [
+        F.struct(F.lit(c).alias("column"), format_reason(F.col(c), pattern).isNotNull().alias("bad"))
+        for c, pattern in rules.items()
     ]
-    return wide.select(F.inline(F.array(*entries)))
+    # one scan finds all broken values; counts and first rows come from them
+    bad = df.select(F.col(row_number).alias("_row"), F.inline(F.array(*tried))).where("bad").select("column", "_row")
+    bad = stage_table(bad, "format-report")
+    counts = bad.groupBy("column").agg(F.count("*").alias("n_bad"))
+    # the planner cuts each partition to the first rows of a column before they move
+    place = F.row_number().over(Window.partitionBy("column").orderBy("_row"))
+    first = bad.withColumn("_place", place).where(F.col("_place") <= shown)
+    rows = first.groupBy("column").agg(F.sort_array(F.collect_list("_row")).alias("first_rows"))
+    columns = df.sparkSession.createDataFrame([(c,) for c in rules], "column string")
+    found = columns.join(counts.join(rows, "column"), "column", "left")
+    n_bad = F.coalesce("n_bad", F.lit(0))
+    return found.select(
+        "column",
+        n_bad.alias("n_bad"),
+        F.coalesce("first_rows", F.array().cast(rows.schema["first_rows"].dataType)).alias("first_rows"),
+        F.greatest(n_bad - shown, F.lit(0)).alias("n_more"),
+    )
 
 
 # ---- row checks: null when fine, otherwise the reason -----------------------

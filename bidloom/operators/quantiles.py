@@ -1,40 +1,25 @@
 """Exact, linearly interpolated quantiles that survive one huge group.
 
-``percentile`` keeps a value-to-count map per group, which is right for groups
-of ordinary size. Groups above ``max_group`` rows are answered by rank: their
-values are counted, laid out in ranges, and the ranks next to each requested
-position are picked by a plain aggregate.
+The values of each group are counted, the counts laid out in ranges over all
+groups, and the ranks next to each requested position picked by a plain
+aggregate. There is one way for every size: a group that holds a third of all
+rows spreads over many ranges, and a small one costs a few counted values.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.operators.scalars import with_scalars
 from bidloom.sources.staging import PARTITION_ID, range_layout, stage_table
 
-# Rows a group may have before it is answered by rank. A task may hold the value
-# maps of many groups at once, but only one of the whole table.
-MAX_GROUP = 100_000
-MAX_TABLE = 1_000_000
-_ALL = "_whole_table"
-
-
-def _small_groups(values: DataFrame, keys: list[str], probs: dict[str, float], also: list[Column]) -> DataFrame:
-    # one call with all probabilities keeps one value map per group
-    every = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()]))
-    found = values.groupBy(*keys).agg(every.alias("_q"), *also)
-    others = [c for c in found.columns if c not in (*keys, "_q")]
-    return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)], *others)
-
 
-def _large_groups(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+def _picked(values: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     histogram = values.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     laid = range_layout(histogram, [*map(F.col, keys), F.col("_v")], "histogram")
     parts = laid.groupBy(*keys, PARTITION_ID).agg(F.sum("_n").alias("_part_n"))
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
     before = whole.orderBy(PARTITION_ID).rowsBetween(Window.unboundedPreceding, -1)
     # one row per group and range
     parts = parts.select(
@@ -76,33 +61,23 @@ def group_quantiles(
     value: str,
     probs: dict[str, float],
     keys: list[str] | None = None,
-    max_group: int | None = None,
     also: list[Column] | None = None,
 ) -> DataFrame:
     """One row per group with a column per requested quantile.
 
-    Nulls and NaN are ignored and rows with a null key belong to no group. Without
-    keys the result has one row, all null for an empty input. ``also`` are further
-    aggregates of ``df``, taken in the same pass.
+    Nulls and NaN are ignored and rows with a null key belong to no group; a group
+    without values has nulls. Without keys the result has one row, all null for an
+    empty input. ``also`` are further aggregates of ``df``.
     """
     keys, also = keys or [], also or []
     number = F.col(value).cast("double")
     rows = df.withColumn("_v", F.when(~F.isnan(number), number))
+    if keys:
+        rows = rows.dropna(subset=keys)
+    found = _picked(rows.where(F.col("_v").isNotNull()).select(*keys, "_v"), keys, probs)
     if not keys:
-        if df.select(value).count() <= (max_group or MAX_TABLE):
-            return _small_groups(rows, [], probs, also)
-        whole = rows.where(F.col("_v").isNotNull()).select("_v", F.lit(1).alias(_ALL))
-        found = _large_groups(whole, [_ALL], probs).drop(_ALL)
         return with_scalars(rows.agg(*also), stage_table(found, "quantiles")) if also else found
-    rows = rows.dropna(subset=keys)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > (max_group or MAX_GROUP))
-    large = stage_table(sizes.drop("_size"), "large-groups")
-    if large.isEmpty():
-        return _small_groups(rows, keys, probs, also)
-    small = _small_groups(rows.join(large, keys, "left_anti"), keys, probs, also)
-    big = rows.join(large, keys, "left_semi")
-    found = _large_groups(big.where(F.col("_v").isNotNull()).select(*keys, "_v"), keys, probs)
-    if also:
-        # one row per large group on both sides
-        found = big.groupBy(*keys).agg(*also).join(found, keys, "left")
-    return small.unionByName(found)
+    # one row per group on both sides
+    groups = rows.groupBy(*keys).agg(*also) if also else rows.select(*keys).distinct()
+    others = [c for c in groups.columns if c not in keys]
+    return groups.join(found, keys, "left").select(*keys, *probs, *others)

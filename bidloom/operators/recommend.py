@@ -11,10 +11,11 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions.formats import currency, fixed_text
+from bidloom.sources.staging import stage_table
 
 SCHEMA = [
     ("type", "string"),
@@ -73,12 +74,14 @@ def _text(rule: Rule, count: Column, amount: Column, mean: Column, names: Column
 def _top_list(df: DataFrame, rule: Rule) -> DataFrame:
     """The first ``top`` rows of a rule as one struct: bounded by ``top``."""
     amount = F.col(rule.amount) if rule.amount else F.lit(None)
+    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in (*rule.top_by, rule.id_col)]
+    # numbered after the limit: a window over ``top`` rows
     rows = (
         df.where(rule.when)
-        .orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in (*rule.top_by, rule.id_col)])
+        .orderBy(*order)
         .limit(rule.top)
         .select(
-            F.monotonically_increasing_id().alias("_n"),
+            F.row_number().over(Window.orderBy(*order)).alias("_n"),
             F.col(rule.id_col).cast("string").alias("id"),
             F.col(rule.top_name or rule.id_col).cast("string").alias("name"),
             amount.cast("double").alias("amount"),
@@ -93,7 +96,13 @@ def _top_list(df: DataFrame, rule: Rule) -> DataFrame:
 
 
 def recommend(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row per rule that matches anything (or is marked ``always``)."""
+    """One row per rule that matches anything (or is marked ``always``).
+
+    All counts and amounts come from one aggregate. With top lists the detail is
+    written once, so that no list runs again what made it.
+    """
+    if any(rule.top for rule in rules):
+        df = stage_table(df, "recommend")
     measures = [F.count("*").alias("_rows")]
     for i, rule in enumerate(rules):
         kept = F.coalesce(F.expr(rule.when), F.lit(False))

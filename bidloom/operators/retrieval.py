@@ -15,8 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from bidloom.operators.ordering import row_positions
 from bidloom.sources.staging import stage_table
 
 # tasks carry this module's functions themselves, so executors need no copy of the package
@@ -30,8 +30,8 @@ VECTOR_WIDTH = 384
 TOP_K = 4
 PREVIEW_CHARS = 200
 SUMMARY_CHARS = 6000
-# Question vectors handled per pass over the chunks; more questions, more passes.
-QUESTION_BLOCK = 2048
+# Rows of either side in one block of the exact search.
+BLOCK_ROWS = 4096
 
 
 # ---- chunking -----------------------------------------------------------------
@@ -108,7 +108,7 @@ def chunk_documents(
             T.StructField("chunk_text", T.StringType()),
         ]
     )
-    arrow = pa.schema([(key, _arrow_type(out[key].dataType)), ("chunk_no", pa.int64()), ("chunk_text", pa.string())])
+    arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,42 +150,39 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _nearest_in_partition(q_ids: list, q: np.ndarray, k: int, schema: pa.Schema):
-    """Arrow batches in, at most k rows per question and partition out."""
-    q_norm = (q**2).sum(axis=1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, object]]] = [[] for _ in q_ids]
-        limit = np.full(len(q_ids), np.inf)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids, vectors = batch.column(0).to_pylist(), _matrix(batch.column(1))
-            for at in range(0, len(ids), 4096):
-                block = vectors[at : at + 4096]
-                norms = (block**2).sum(axis=1)
-                near = q_norm[:, None] + norms[None, :] - 2 * (q @ block.T)
-                # slack for the digits the expanded form loses; exact values decide
-                slack = 1e-9 * (1 + q_norm + norms.max())
-                for r in np.flatnonzero(near.min(axis=1) <= limit + slack):
-                    bound = limit[r]
-                    if near.shape[1] > k:
-                        bound = min(bound, np.partition(near[r], k - 1)[k - 1])
-                    chosen = np.flatnonzero(near[r] <= bound + slack[r])
-                    exact = np.sqrt(((block[chosen] - q[r]) ** 2).sum(axis=1))
-                    found = [(float(d), ids[at + j]) for d, j in zip(exact, chosen, strict=True)]
-                    best[r] = sorted(best[r] + found)[:k]
-                    if len(best[r]) == k:
-                        limit[r] = best[r][-1][0] ** 2
-        rows = [(name, hit, d) for name, hits in zip(q_ids, best, strict=True) for d, hit in hits]
-        if rows:
-            columns = zip(*rows, strict=True)
-            arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+def _k_nearest(k: int, schema: pa.Schema, ids: tuple[str, str], vecs: tuple[str, str]):
+    """The k nearest vectors of one block for each question of another."""
+
+    def run(vectors: pa.Table, questions: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not questions.num_rows:
+            return schema.empty_table()
+        vectors, questions = vectors.combine_chunks(), questions.combine_chunks()
+        block, q = (_matrix(t.column(c).combine_chunks()) for t, c in ((vectors, vecs[0]), (questions, vecs[1])))
+        names, asked = vectors.column(ids[0]).to_pylist(), questions.column(ids[1]).to_pylist()
+        norms, q_norm = (block**2).sum(axis=1), (q**2).sum(axis=1)
+        rows = []
+        for start in range(0, len(q), 256):
+            part = q[start : start + 256]
+            near = q_norm[start : start + 256, None] + norms[None, :] - 2 * (part @ block.T)
+            # slack for the digits the expanded form loses; exact values decide
+            slack = 1e-9 * (1 + q_norm[start : start + 256] + norms.max())
+            bound = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(part), np.inf)
+            for r in range(len(part)):
+                chosen = np.flatnonzero(near[r] <= bound[r] + slack[r])
+                exact = np.sqrt(((block[chosen] - part[r]) ** 2).sum(axis=1))
+                found = sorted(zip(exact.tolist(), [names[j] for j in chosen], strict=True))[:k]
+                rows += [(asked[start + r], name, d) for d, name in found]
+        columns = zip(*rows, strict=True)
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
+def _ranked(found: DataFrame, question_id: str, vec_id: str, k: int) -> DataFrame:
+    order = Window.partitionBy(question_id).orderBy("distance", vec_id)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest_chunks(
     vectors: DataFrame,
     questions: DataFrame,
@@ -194,42 +191,85 @@ def nearest_chunks(
     vec: str = "embedding",
     question_id: str = "question_id",
     question_vec: str = "question_embedding",
-    block: int = QUESTION_BLOCK,
+    block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact k nearest vectors per question by Euclidean distance, ties by id.
 
-    Question ids are unique. Each pass ships at most ``block`` question vectors to the scan and keeps k
-    candidates per question and partition; a larger question table takes more
-    passes instead of a larger broadcast.
+    Question ids are unique; rows without a vector are left out. Both sides are
+    cut into blocks of about ``block`` rows; every pair of blocks is one group
+    with its own top k, and the candidates are merged by question. The work grows
+    with questions times vectors; ``nearest_chunks_lsh`` is the approximate form.
     """
     q_type, v_type = questions.schema[question_id].dataType, vectors.schema[vec_id].dataType
     out = T.StructType(
         [T.StructField(question_id, q_type), T.StructField(vec_id, v_type), T.StructField("distance", T.DoubleType())]
     )
-    arrow = pa.schema([(question_id, _arrow_type(q_type)), (vec_id, _arrow_type(v_type)), ("distance", pa.float64())])
-    asked = questions.select(question_id, question_vec)
-    passes = -(-asked.count() // block)
-    if passes > 1:
-        # numbered and written once, so that a pass holds exactly ``block`` questions
-        numbered = asked.withColumn("_n", F.monotonically_increasing_id())
-        asked = stage_table(row_positions(numbered, [F.col("_n")], "_place"), "questions")
-    found = None
-    for number in range(passes):
-        part = asked.where(F.ceil(F.col("_place") / block) == number + 1) if passes > 1 else asked
-        rows = part.select(question_id, question_vec).collect()
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        scan = vectors.select(vec_id, vec).where(F.col(vec).isNotNull())
-        local = scan.mapInArrow(_nearest_in_partition([r[0] for r in rows], matrix, k, arrow), out)
-        found = local if found is None else found.unionByName(local)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], out)
-    # candidates: k per question and partition
-    order = Window.partitionBy(question_id).orderBy("distance", vec_id)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    stored = vectors.select(vec_id, vec).where(F.col(vec).isNotNull())
+    asked = questions.select(question_id, question_vec).where(F.col(question_vec).isNotNull())
+    n_v, n_q = (max(1, -(-side.count() // block)) for side in (stored, asked))
+
+    def dealt(side: DataFrame, own: str, own_n: int, other: str, other_n: int, name: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
+        return side.withColumn(own, F.pmod(F.xxhash64(name), F.lit(own_n)).cast("int")).withColumn(other, every)
+
+    left = dealt(stored, "_vb", n_v, "_qb", n_q, vec_id)
+    right = dealt(asked, "_qb", n_q, "_vb", n_v, question_id)
+    run = _k_nearest(k, to_arrow_schema(out), (vec_id, question_id), (vec, question_vec))
+    found = left.groupBy("_vb", "_qb").cogroup(right.groupBy("_vb", "_qb")).applyInArrow(run, out)
+    # at most k candidates for each question and block of vectors
+    return _ranked(found, question_id, vec_id, k)
+
+
+def _bucket_numbers(width: int, tables: int, bits: int, id_col: str, vec_col: str, schema: pa.Schema):
+    planes = np.random.default_rng(11).normal(size=(width, tables * bits))
+    powers = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sides = (_matrix(batch.column(vec_col)) @ planes > 0).reshape(batch.num_rows, tables, bits)
+                numbers = (sides * powers).sum(axis=2)
+                for table in range(tables):
+                    columns = [batch.column(id_col), batch.column(vec_col), np.full(batch.num_rows, table, np.int32), numbers[:, table]]
+                    yield pa.RecordBatch.from_arrays(
+                        [c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema
+                    )
+
+    return run
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    return {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}[kind.typeName()]
+def nearest_chunks_lsh(
+    vectors: DataFrame,
+    questions: DataFrame,
+    k: int = TOP_K,
+    vec_id: str = "vec_id",
+    vec: str = "embedding",
+    question_id: str = "question_id",
+    question_vec: str = "question_embedding",
+    width: int = VECTOR_WIDTH,
+    tables: int = 16,
+    bits: int = 10,
+) -> DataFrame:
+    """Approximate k nearest vectors: those that share a random-hyperplane bucket with the question.
+
+    The caller chooses this form; it is never chosen by size. More ``tables`` or
+    fewer ``bits`` find more of the true neighbours and compare more candidates.
+    A vector that shares several buckets counts once; distances are exact.
+    """
+
+    def bucketed(side: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+        rows = side.select(id_col, F.col(vec_col).cast("array<float>").alias(vec_col)).where(F.col(vec_col).isNotNull())
+        out = T.StructType([*rows.schema.fields, T.StructField("_table", T.IntegerType()), T.StructField("_bucket", T.LongType())])
+        return rows.mapInArrow(_bucket_numbers(width, tables, bits, id_col, vec_col, to_arrow_schema(out)), out)
+
+    left, right = bucketed(vectors, vec_id, vec), bucketed(questions, question_id, question_vec)
+    met = right.join(left, ["_table", "_bucket"]).dropDuplicates([question_id, vec_id])
+    gap = F.aggregate(
+        F.zip_with(question_vec, vec, lambda a, b: (a - b).cast("double") * (a - b).cast("double")),
+        F.lit(0.0),
+        lambda total, x: total + x,
+    )
+    return _ranked(met.select(question_id, vec_id, F.sqrt(gap).alias("distance")), question_id, vec_id, k)
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame, vec_id: str = "vec_id") -> DataFrame:
@@ -289,7 +329,29 @@ def answer_prompts(df: DataFrame, context: str = "context", question: str = "que
     return df.withColumn("prompt", _fill(ANSWER_PROMPT, {"context": F.col(context), "question": F.col(question)}))
 
 
-def summary_prompts(df: DataFrame, text: str = "text", style: str = "bullet") -> DataFrame:
-    """Prompts over at most the first 6000 characters, the prompt's own limit."""
-    clipped = F.substring(text, 1, SUMMARY_CHARS)
-    return df.withColumn("prompt", _fill(SUMMARY_PROMPT, {"text": clipped, "style": F.lit(style)}))
+def summary_prompts(
+    df: DataFrame, key: str = "doc_id", text: str = "text", style: str = "bullet", size: int = SUMMARY_CHARS
+) -> DataFrame:
+    """(key, part, n_parts, prompt): one prompt for each part of at most ``size`` characters.
+
+    The parts follow one another and make up the whole text; a null or empty text
+    is one empty part. ``joined_summary_prompts`` asks for one summary of the
+    parts' summaries.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    n_parts = F.greatest(F.ceil(F.length(whole) / size), F.lit(1)).cast("int")
+    parts = df.select(key, whole.alias("_whole"), n_parts.alias("n_parts")).select(
+        key, "_whole", "n_parts", F.explode(F.sequence(F.lit(1), F.col("n_parts"))).alias("part")
+    )
+    piece = F.substring(F.col("_whole"), (F.col("part") - 1) * size + 1, F.lit(size))
+    prompt = _fill(SUMMARY_PROMPT, {"text": piece, "style": F.lit(style)})
+    return parts.select(key, "part", "n_parts", prompt.alias("prompt"))
+
+
+def joined_summary_prompts(
+    summaries: DataFrame, key: str = "doc_id", summary: str = "summary", style: str = "bullet"
+) -> DataFrame:
+    """(key, prompt): the summaries of a document's parts, in order, as one text to summarise."""
+    ordered = F.array_sort(F.collect_list(F.struct("part", F.col(summary).alias("summary"))))
+    joined = F.array_join(ordered.getField("summary"), "\n\n")
+    return summaries.groupBy(key).agg(_fill(SUMMARY_PROMPT, {"text": joined, "style": F.lit(style)}).alias("prompt"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.functions.expr import any_true, band, count_true, flag, has, points, require, round_scaled
+from bidloom.functions.expr import any_true, band, count_true, flag, has, nan_to_null, points, require, round_scaled
 from bidloom.operators.recommend import Rule, recommend
 from bidloom.operators.scalars import with_scalars
 from bidloom.sources.staging import attach
@@ -71,6 +71,7 @@ def score_risk(score: Column) -> Column:
 
 
 def vendor_rules(df: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFrame:
+    df = nan_to_null(df)
     out = df.withColumn("vendor_score", vendor_score(df, settings))
     out = out.withColumn("risk_level", score_risk(F.col("vendor_score")))
     if has(df, "dispute_count"):
@@ -84,6 +85,7 @@ def vendor_rules(df: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFrame:
 
 def bid_rules(df: DataFrame, by: list[str] | None = None, settings: RuleSettings = DEFAULTS) -> DataFrame:
     """Deviation from the table mean, or from the mean of each group ``by``."""
+    df = nan_to_null(df)
     require(df, "quoted_price")
     means = [F.avg("quoted_price").alias("mean_price")]
     if has(df, "delivery_days"):
@@ -116,6 +118,7 @@ def flag_severity(n_flags: Column) -> Column:
 
 
 def contract_rules(df: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFrame:
+    df = nan_to_null(df)
     flags = {}
     for clause in settings.rule_clauses:
         if clause in df.columns:

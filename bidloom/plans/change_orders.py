@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from bidloom.functions.expr import flag, has, label_text, last_match, require, share_pct, with_defaults
 from bidloom.operators.recommend import Rule
-from bidloom.operators.scalars import with_scalars
 
 REQUIRED = ("change_order_id", "contract_id", "change_cost")
 
@@ -112,16 +111,29 @@ def most_common_reason(detail: DataFrame) -> DataFrame:
 
 
 def summary(detail: DataFrame) -> DataFrame:
-    n = F.count("*")
+    """Figures of all change orders, rolled up from those per reason."""
+    mean_of = {"average_cost_variance": "cost_variance_pct", "average_timeline_extension": "timeline_extension_days"}
     automatic = F.count_if(F.col("approval_status") == "Auto-Approved")
-    base = detail.agg(
-        F.sum("change_cost").alias("total_cost_impact"),
-        F.avg("cost_variance_pct").alias("average_cost_variance"),
-        F.avg("timeline_extension_days").alias("average_timeline_extension"),
-        F.count_if("budget_overrun").alias("budget_overrun_count"),
-        F.coalesce(share_pct(automatic, n), F.lit(0.0)).alias("auto_approval_rate"),
+    by_reason = detail.groupBy("change_reason").agg(
+        F.count("*").alias("_n"),
+        automatic.alias("_automatic"),
+        F.sum("change_cost").alias("_cost"),
+        F.count_if("budget_overrun").alias("_overrun"),
+        *[F.sum(c).alias(f"_sum_{c}") for c in mean_of.values()],
+        *[F.count(c).alias(f"_count_{c}") for c in mean_of.values()],
+    )
+    # the smallest (-n, reason) is the most frequent reason, then the first by name
+    best = F.min(F.when(F.col("change_reason").isNotNull(), F.struct((-F.col("_n")).alias("n"), "change_reason")))
+    means = [
+        F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_count_{c}")).cast("double").alias(out) for out, c in mean_of.items()
+    ]
+    return by_reason.agg(
+        F.sum("_cost").alias("total_cost_impact"),
+        *means,
+        F.coalesce(F.sum("_overrun"), F.lit(0)).alias("budget_overrun_count"),
+        F.coalesce(share_pct(F.sum("_automatic"), F.sum("_n")), F.lit(0.0)).alias("auto_approval_rate"),
+        F.coalesce(best.getField("change_reason"), F.lit("N/A")).alias("most_common_reason"),
     )
-    return with_scalars(base, most_common_reason(detail))
 
 
 def result(detail: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from bidloom.functions.expr import clip, count_true, flag, label_list, label_text, points, require, share_pct, with_defaults
 from bidloom.operators.recommend import Rule
 from bidloom.operators.rules import traffic_light
-from bidloom.operators.scalars import with_scalars
 
 REQUIRED = ("contract_id", "contract_value")
 
@@ -97,19 +96,28 @@ def analyze(df: DataFrame, s: ReviewSettings = DEFAULTS, defaults: dict | None =
     return grade(risk_score(risk_signs(compliance(missing_clauses(df, s, defaults)), s)))
 
 
-def most_common_missing(detail: DataFrame, s: ReviewSettings = DEFAULTS) -> DataFrame:
-    """The clause missing most often, ties by clause order; 'None' when none is missing."""
+def _missing_counts(detail: DataFrame, s: ReviewSettings) -> dict[str, Column]:
     names = [c.removesuffix("_clause") for c in s.clauses if c in detail.columns]
-    counts = detail.agg(*[F.count_if(~_present(f"{n}_clause")).alias(n) for n in names])
-    best = F.greatest(*[F.col(n) for n in names])
+    return {n: F.count_if(~_present(f"{n}_clause")).alias(f"_{n}") for n in names}
+
+
+def _most_common(names: list[str]) -> Column:
+    best = F.greatest(*[F.col(f"_{n}") for n in names])
     chain = F.when(best == 0, "None")
     for n in names:
-        chain = chain.when(F.col(n) == best, n)
-    return counts.select(F.coalesce(chain, F.lit("None")).alias("most_common_missing"))
+        chain = chain.when(F.col(f"_{n}") == best, n)
+    return F.coalesce(chain, F.lit("None")).alias("most_common_missing")
+
+
+def most_common_missing(detail: DataFrame, s: ReviewSettings = DEFAULTS) -> DataFrame:
+    """The clause missing most often, ties by clause order; 'None' when none is missing."""
+    counts = _missing_counts(detail, s)
+    return detail.agg(*counts.values()).select(_most_common(list(counts)))
 
 
 def compliance_summary(detail: DataFrame, s: ReviewSettings = DEFAULTS) -> DataFrame:
     n = F.count("*")
+    counts = _missing_counts(detail, s)
 
     def share(condition: Column) -> Column:
         return F.coalesce(share_pct(F.count_if(condition), n), F.lit(0.0))
@@ -120,8 +128,9 @@ def compliance_summary(detail: DataFrame, s: ReviewSettings = DEFAULTS) -> DataF
         share(_present("gcc_compliant")).alias("gcc_compliance_pct"),
         share(_present("scc_included")).alias("scc_inclusion_pct"),
         F.avg("missing_clauses").alias("avg_missing_clauses"),
+        *counts.values(),
     )
-    return with_scalars(base, most_common_missing(detail, s))
+    return base.select("*", _most_common(list(counts))).drop(*[f"_{n}" for n in counts])
 
 
 def result(detail: DataFrame) -> DataFrame:

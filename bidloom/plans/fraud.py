@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.functions.expr import clip, count_true, flag, has, label_list, pct_over, points, require, round_scaled, share_pct
+from bidloom.functions.expr import clip, count_true, flag, has, label_list, nan_to_null, pct_over, points, require, round_scaled, share_pct
 from bidloom.operators.ordering import previous_value
 from bidloom.operators.recommend import Rule
 from bidloom.operators.scalars import with_scalars
@@ -69,7 +69,9 @@ def _sizes(df: DataFrame, keys: list[str], out: str) -> DataFrame:
 
 def _first_of_repeats(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row's position in each group with repeats; missing keys are equal."""
-    groups = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first"))
+    # the smallest of one column is a hash aggregate, of several a sort
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    groups = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
     return groups.where(F.col("_n") > 1).drop("_n")
 
 
@@ -132,7 +134,8 @@ def _with_size(df: DataFrame, sizes: DataFrame, keys: list[str], out: str) -> Da
 def _with_repeat(df: DataFrame, groups: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     matches = reduce(lambda a, b: a & b, [F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys])
     joined = df.alias("t").join(groups.alias("g"), matches, "left")
-    later = flag(F.struct(*[F.col(f"t.{c}") for c in order]) > F.col("g._first"))
+    own = [F.col(f"t.{c}") for c in order]
+    later = flag((own[0] if len(own) == 1 else F.struct(*own)) > F.col("g._first"))
     return joined.select("t.*", later.alias(out))
 
 
@@ -144,6 +147,7 @@ def duplicates(df: DataFrame, order: list[str] | None = None, known: dict | None
     ``order`` is the row order; the first row of a group is the clean one. End it
     with a unique column.
     """
+    df = nan_to_null(df)
     require(df, *REQUIRED, *EXACT)
     order = order or [KEY]
     known = known or figures(df, ["exact", "near"], order)
@@ -155,6 +159,7 @@ def duplicates(df: DataFrame, order: list[str] | None = None, known: dict | None
 
 
 def price_manipulation(df: DataFrame, s: FraudSettings = DEFAULTS, known: dict | None = None) -> DataFrame:
+    df = nan_to_null(df)
     dated = has(df, "invoice_date")
     known = known or figures(df, ["category", *(["day"] if dated else [])])
     out = df.join(known["category"], "item_category", "left")
@@ -296,6 +301,7 @@ def classify(df: DataFrame, s: FraudSettings = DEFAULTS) -> DataFrame:
 
 def analyze(df: DataFrame, s: FraudSettings = DEFAULTS, order: list[str] | None = None) -> DataFrame:
     """The whole chain over group figures taken once from the input table."""
+    df = nan_to_null(df)
     names = [name for name in _FIGURES if name != "day" or has(df, "invoice_date")]
     known = figures(df, names, order)
     out = price_manipulation(duplicates(df, order, known), s, known)
@@ -303,14 +309,19 @@ def analyze(df: DataFrame, s: FraudSettings = DEFAULTS, order: list[str] | None
     return classify(score(out), s)
 
 
+def _most_common(counts: dict[str, str]) -> Column:
+    """Label of the largest of the named count columns, ties by order; 'None' without any."""
+    best = F.greatest(*[F.col(c) for c in counts])
+    chain = F.when(best == 0, "None")
+    for name, text in counts.items():
+        chain = chain.when(F.col(name) == best, text)
+    return F.coalesce(chain, F.lit("None"))
+
+
 def most_common_indicator(detail: DataFrame) -> DataFrame:
     """Most frequent indicator, ties by indicator order; 'None' without any."""
     counts = detail.agg(*[F.count_if(F.col(c)).alias(c) for c in INDICATORS])
-    best = F.greatest(*[F.col(c) for c in INDICATORS])
-    chain = F.when(best == 0, "None")
-    for name, text in INDICATORS.items():
-        chain = chain.when(F.col(name) == best, text)
-    return counts.select(F.coalesce(chain, F.lit("None")).alias("most_common_indicator"))
+    return counts.select(_most_common(INDICATORS).alias("most_common_indicator"))
 
 
 def summary(detail: DataFrame) -> DataFrame:
@@ -328,8 +339,10 @@ def summary(detail: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(risk == "High", F.col("amount"))), F.lit(0.0)).alias("total_fraud_exposure"),
         F.avg("fraud_score").alias("average_fraud_score"),
         F.count_if("requires_investigation").alias("transactions_requiring_investigation"),
+        *[F.count_if(F.col(c)).alias(f"_{c}") for c in INDICATORS],
     )
-    return with_scalars(base, most_common_indicator(detail))
+    label = _most_common({f"_{c}": text for c, text in INDICATORS.items()})
+    return base.withColumn("most_common_indicator", label).drop(*[f"_{c}" for c in INDICATORS])
 
 
 def result(detail: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def analyze(df: DataFrame, s: NegotiationSettings = DEFAULTS, defaults: dict | N
     return strategy(negotiation_risk(success_odds(chain)), s)
 
 
-def market_benchmark(df: DataFrame, max_group: int | None = None) -> DataFrame:
+def market_benchmark(df: DataFrame) -> DataFrame:
     price = F.col("current_price")
     spread = F.try_divide(F.max(price) - F.min(price), F.avg(price)) * 100
     base = [
@@ -143,7 +143,7 @@ def market_benchmark(df: DataFrame, max_group: int | None = None) -> DataFrame:
         F.max(price).alias("highest_price"),
         spread.alias("price_range_pct"),
     ]
-    return group_quantiles(df, "current_price", {"market_median": 0.5}, None, max_group, base)
+    return group_quantiles(df, "current_price", {"market_median": 0.5}, None, base)
 
 
 def result(detail: DataFrame) -> DataFrame:
@@ -178,6 +178,6 @@ RULES = [
 ]
 
 
-def recommendations(detail: DataFrame, max_group: int | None = None) -> DataFrame:
-    q75 = group_quantiles(detail, "potential_savings", {"_q75": 0.75}, None, max_group)
+def recommendations(detail: DataFrame) -> DataFrame:
+    q75 = group_quantiles(detail, "potential_savings", {"_q75": 0.75}, None)
     return recommend(with_scalars(detail, q75), RULES)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.functions.expr import any_true, count_true, flag, has, last_match, require
+from bidloom.functions.expr import any_true, count_true, flag, has, last_match, nan_to_null, require
 from bidloom.operators.outliers import summary
 from bidloom.operators.recommend import Rule
 from bidloom.operators.rules import differs
@@ -33,12 +33,11 @@ def price_statistics(
     df: DataFrame,
     by: list[str] | None = None,
     s: BidSettings = DEFAULTS,
-    max_group: int | None = None,
     also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Mean, median, population deviation, extremes, quartiles and fences."""
     also = also or {}
-    stats = summary(df, "quoted_price", by, max_group, [c.alias(name) for name, c in also.items()])
+    stats = summary(df, "quoted_price", by, [c.alias(name) for name, c in also.items()])
     return stats.select(
         *(by or []),
         "mean",
@@ -55,23 +54,24 @@ def price_statistics(
     )
 
 
-def _with_baseline(df: DataFrame, by: list[str] | None, s: BidSettings, max_group: int | None) -> DataFrame:
+def _with_baseline(df: DataFrame, by: list[str] | None, s: BidSettings) -> DataFrame:
     also = {"delivery": F.avg("delivery_days")} if has(df, "delivery_days") else {}
-    stats = price_statistics(df, by, s, max_group, also)
+    stats = price_statistics(df, by, s, also)
     names = ["mean", "std", "lower_bound", "upper_bound", *also]
     stats = stats.select(*(by or []), *[F.col(n).alias(f"_{n}") for n in names])
     return attach(df, stats, by, "bid-stats") if by else with_scalars(df, stage_table(stats, "bid-stats"))
 
 
 def detect(
-    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS, max_group: int | None = None
+    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS
 ) -> DataFrame:
     """All anomaly flags, counts and severities in one projection over the bids."""
+    df = nan_to_null(df)
     require(df, *REQUIRED)
     price, mean = F.col("quoted_price"), F.col("_mean")
     deviation = F.try_divide(price - mean, mean) * 100
     z = F.try_divide(price - mean, F.col("_std"))
-    out = _with_baseline(df, by, s, max_group).withColumns(
+    out = _with_baseline(df, by, s).withColumns(
         {
             "price_deviation_pct": deviation,
             "price_too_high": flag(deviation > s.price_high_pct),
@@ -120,9 +120,9 @@ def classify(df: DataFrame) -> DataFrame:
 
 
 def analyze(
-    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS, max_group: int | None = None
+    df: DataFrame, by: list[str] | None = None, s: BidSettings = DEFAULTS
 ) -> DataFrame:
-    return classify(detect(df, by, s, max_group))
+    return classify(detect(df, by, s))
 
 
 def bid_set_result(detail: DataFrame, by: list[str] | None = None) -> DataFrame:

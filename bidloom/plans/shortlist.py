@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions.expr import band, clip, count_true, has, label_text, require, round_scaled, with_defaults
@@ -87,8 +87,8 @@ def shortlist(checked: DataFrame, count: int = 10, s: ShortlistSettings = DEFAUL
         "vendor_id", "vendor_name", "final_score", "category", "delivery_score", "quality_score",
         "cost_competitiveness", "payment_compliance", "dispute_history", "dispute_count",
     ]
-    # the rows are already in order on one partition of at most ``count`` rows
-    placed = best.withColumn("rank", F.monotonically_increasing_id() + 1)
+    # a window over at most ``count`` rows
+    placed = best.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())).cast("bigint"))
     placed = placed.withColumn("category", category(F.col("final_score")))
     return risk_flags(placed.select("rank", *[c for c in columns if c in placed.columns]), s)
 

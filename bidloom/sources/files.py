@@ -11,27 +11,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidloom.functions import patterns as P
+from bidloom.sources.staging import stage_table
 
 CORRUPT = "_corrupt_record"
 
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Header CSV as UTF-8, or as Latin-1 when any line is not valid UTF-8.
+    """Header CSV; a line that is not valid UTF-8 is read as Latin-1, in the same scan.
 
-    Give a schema for large inputs; without one the types are inferred, which
-    reads the files an extra time. Missing, empty or row-less input is an error.
+    Every file begins with the same header line. Give a schema for large inputs;
+    without one the types are inferred, which reads the files an extra time. A line
+    that does not fit keeps its text in the corrupt-record column. Missing, empty
+    or row-less input is an error.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    raw = spark.read.text(path)
-    broken = raw.where(~F.is_valid_utf8("value")).limit(1).count() > 0
-    reader = spark.read.option("header", True).option("encoding", "ISO-8859-1" if broken else "UTF-8")
+    lines = spark.read.text(path)
+    first = lines.first()
+    if first is None:
+        raise ValueError(f"no rows in {path}")
     if schema is None:
-        df = reader.option("inferSchema", True).csv(path)
+        kind = spark.read.option("header", True).option("inferSchema", True).csv(path).schema
     else:
-        with_bad = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-        df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(with_bad).csv(path)
-    if not df.columns or df.limit(1).count() == 0:
+        kind = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(latin)
+    body = lines.where((F.col("value") != first["value"]) & (F.trim("value") != "")).select(text.alias("value"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind)
+    df = body.select(F.from_csv("value", ddl, options).alias("row")).select("row.*")
+    if df.limit(1).count() == 0:
         raise ValueError(f"no rows in {path}")
     return df
 
@@ -129,17 +138,18 @@ _RUN = (
 def run_stage(df: DataFrame, stage_number: int, stage_name: str, transform, sink: str, runs: str) -> DataFrame:
     """Run a stage into ``sink`` and append one record to the ``runs`` table.
 
-    Counting the input reads no columns of a table scan. A failed stage is recorded
-    too, and its error raised again.
+    The input is written once, so that counting it does not run what made it twice.
+    A failed stage is recorded too, and its error raised again.
     """
     spark = df.sparkSession
     started, clock = dt.datetime.now(), time.monotonic()
     status, error, rows = "completed", None, None
     try:
+        df = stage_table(df, "stage-input")
         rows = df.count()
         write_result(transform(df), sink)
     except Exception as problem:
-        status, error = "failed", str(problem)[:2000]
+        status, error = "failed", str(problem)
         raise
     finally:
         record = [

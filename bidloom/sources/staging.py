@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,20 +34,32 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Spread a file scan that has fewer splits than the cluster has cores.
+_RUN: ContextVar[str] = ContextVar("run", default="bidloom")
 
-    For CPU-heavy narrow work on few row groups. A large table has more splits
-    than cores and passes through untouched. Meant for plain scans: looking at
-    the splits of a plan with shuffles would run them.
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str | None = None) -> Iterator[str]:
+    """Keep the tables staged inside the block in one folder; yields its path.
+
+    The tables outlive the block, since lazy results read them. ``drop_folder``
+    removes them once the results are written.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    token = _RUN.set(f"bidloom/{name or uuid.uuid4().hex}")
+    try:
+        yield f"{shared_folder(spark).rstrip('/')}/{_RUN.get()}"
+    finally:
+        _RUN.reset(token)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a run folder with all its tables."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A folder of its own below the shared one."""
-    return f"{shared_folder(spark).rstrip('/')}/bidloom/{label}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{_RUN.get()}/{label}-{uuid.uuid4().hex}"
 
 
 def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -60,7 +75,7 @@ def stage_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     if not tables:
         return {}
     with ThreadPoolExecutor(max_workers=min(len(tables), 8)) as pool:
-        jobs = {name: pool.submit(stage_table, df, name) for name, df in tables.items()}
+        jobs = {name: pool.submit(copy_context().run, stage_table, df, name) for name, df in tables.items()}
         return {name: job.result() for name, job in jobs.items()}
 
 

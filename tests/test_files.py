@@ -21,6 +21,26 @@ def test_csv(spark, tmp_path):
         files.load_csv(spark, str(tmp_path / "missing.csv"))
 
 
+def test_csv_folder_of_two_encodings(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("vendor_id,name\n1,Zoë\n2,b\n", encoding="utf-8")
+    (tmp_path / "l.csv").write_bytes("vendor_id,name\n3,Zoë\n4,é\n".encode("latin-1"))
+    out = files.load_csv(spark, str(tmp_path), "vendor_id int, name string")
+    assert sorted(rows(out, "vendor_id", "name")) == [(1, "Zoë"), (2, "b"), (3, "Zoë"), (4, "é")]
+
+
+def test_run_folder_can_be_dropped(spark):
+    df = spark.range(10)
+    with staging.run_folder(spark) as path:
+        inside = staging.stage_tables({"a": df, "b": df})
+    outside = staging.stage_table(df)
+    assert all(path.rsplit("/", 1)[1] in t.inputFiles()[0] for t in inside.values())
+    assert inside["a"].count() == 10
+    staging.drop_folder(spark, path)
+    assert outside.count() == 10
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(path).count()
+
+
 def test_bad_csv_rows_are_kept(spark, tmp_path):
     (tmp_path / "b.csv").write_text("vendor_id,amount\n1,5.5\nx,abc\n")
     out = files.load_csv(spark, str(tmp_path / "b.csv"), "vendor_id int, amount double")

@@ -48,7 +48,7 @@ def test_weighted_metrics_by_hand(spark):
         [(False, 1.0, 1.0)] * 3 + [(False, 1.0, 0.0)] + [(False, 0.0, 0.0)] * 2 + [(False, 0.0, 1.0)] * 2 + [(True, 0.0, 0.0)],
         "_train boolean, y double, prediction double",
     )
-    got = models._classification_metrics(df, "y")
+    got = models.classification_metrics(df, "y")
     assert got["test_accuracy"] == pytest.approx(5 / 8)
     assert got["precision"] == pytest.approx(0.5 * 3 / 5 + 0.5 * 2 / 3)
     assert got["recall"] == pytest.approx(0.5 * 3 / 4 + 0.5 * 2 / 4)
@@ -93,3 +93,12 @@ def test_scores_do_not_depend_on_layout(spark):
 def test_mean_path():
     assert isolation.mean_path(np.array([1.0, 2.0])).tolist() == [0.0, 1.0]
     assert float(isolation.mean_path(256.0)) == pytest.approx(10.2448, abs=1e-3)
+
+
+def test_forest_of_a_table_with_few_keys(spark):
+    rows = spark.range(400_000, numPartitions=8).select(
+        F.lit("same").alias("key"), (F.col("id") % 7).cast("double").alias("a"), F.lit(1.0).alias("b")
+    )
+    forest, size = isolation.fit_forest(rows, "key", ["a", "b"], n_trees=5)
+    assert len(forest) == 5 and size == isolation.SAMPLE
+    assert all((t["feature"] >= 0).any() for t in forest)

@@ -42,11 +42,10 @@ def test_combined(spark):
     assert rows(out.where("is_outlier").orderBy("v"), "v", "detection_method") == [(5.0, "iqr_only"), (400.0, "iqr_only")]
 
 
-@pytest.mark.parametrize("limit", [None, 3])
-def test_bid_prices(spark, limit):
+def test_bid_prices(spark):
     prices = [250000, 260000, 255000, 258000, 450000, 150000, 252000]
     df = spark.createDataFrame([(f"V{i:03d}", float(p)) for i, p in enumerate(prices, 1)], "vendor_id string, quoted_price double")
-    out = outliers.bid_price_analysis(df, max_group=limit)
+    out = outliers.bid_price_analysis(df)
     assert out.first()["price_std"] == pytest.approx(89406.24, abs=0.01)
     assert sorted(
         rows(out.where("is_price_outlier"), "vendor_id", "outlier_type", "outlier_severity", "detection_method")
@@ -59,3 +58,11 @@ def test_vendor_metric(spark):
     )
     out = outliers.vendor_metric_analysis(df)
     assert rows(out.where("is_performance_outlier"), "vendor_id") == [("V004",)]
+
+
+def test_nan_is_missing_not_an_outlier(spark):
+    df = _column(spark, [100, 105, 110, 115, 120, 125, 130, 135, 400, float("nan")])
+    for found in (outliers.combined_outliers(df, "v"), outliers.iqr_outliers(df, "v"), outliers.zscore_outliers(df, "v")):
+        flag = next(c for c in ("is_outlier", "is_outlier_iqr", "is_outlier_zscore") if c in found.columns)
+        assert rows(found.where("v is null"), flag) == [(False,)]
+    assert rows(outliers.combined_outliers(df, "v").where("is_outlier"), "v") == [(400.0,)]

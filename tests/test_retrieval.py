@@ -104,7 +104,30 @@ def test_context_sources_prompts(spark):
     sources = retrieval.source_list(hits)
     assert {len(r["content"]) for r in sources.collect()} == {203, 9}
     assert tuple(retrieval.confidence_band(sources).first())[1:] == (pytest.approx(0.6), "Medium")
-    asked = spark.createDataFrame([("C {question}", "Why?", "t" * 7000)], "context string, question string, text string")
+    asked = spark.createDataFrame(
+        [(1, "C {question}", "Why?", "t" * 7000), (2, "", "", "")],
+        "doc_id int, context string, question string, text string",
+    )
     prompt = retrieval.answer_prompts(asked).first()["prompt"]
     assert "Context:\nC {question}\n\nQuestion: Why?\n\n" in prompt
-    assert retrieval.summary_prompts(asked, style="short").first()["prompt"].count("t" * 6000) == 1
+    parts = retrieval.summary_prompts(asked, style="short").orderBy("doc_id", "part").collect()
+    assert [(r["doc_id"], r["part"], r["n_parts"]) for r in parts] == [(1, 1, 2), (1, 2, 2), (2, 1, 1)]
+    assert ["t" * n in r["prompt"] and "t" * (n + 1) not in r["prompt"] for n, r in zip((6000, 1000), parts)] == [True] * 2
+    summaries = spark.createDataFrame([(1, 2, "second"), (1, 1, "first")], "doc_id int, part int, summary string")
+    assert "first\n\nsecond" in retrieval.joined_summary_prompts(summaries).first()["prompt"]
+
+
+def test_many_questions_and_the_approximate_form(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(900, 16)).astype(np.float32)
+    asked = vectors[:300] + rng.normal(scale=0.05, size=(300, 16)).astype(np.float32)
+    rows = lambda m: [(f"v{i:04d}", [float(x) for x in v]) for i, v in enumerate(m)]
+    chunks = spark.createDataFrame(rows(vectors), "vec_id string, embedding array<float>")
+    questions = spark.createDataFrame(rows(asked), "question_id string, question_embedding array<float>")
+    exact = retrieval.nearest_chunks(chunks, questions, 3, block=64)
+    d = ((asked[:, None].astype(float) - vectors[None].astype(float)) ** 2).sum(axis=2)
+    want = {(f"v{q:04d}", f"v{v:04d}") for q in range(300) for v in np.argsort(d[q], kind="stable")[:3]}
+    assert {(r["question_id"], r["vec_id"]) for r in exact.collect()} == want
+    near = retrieval.nearest_chunks_lsh(chunks, questions, 3, width=16, tables=24, bits=6)
+    found = {(r["question_id"], r["vec_id"]) for r in near.collect()}
+    assert len(found & want) >= 0.9 * len(want)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +37,7 @@ from bidloom.plans import (
     risk,
     shortlist,
 )
+from bidloom.operators.scalars import with_scalars
 from bidloom.sources import files, staging
 from workloads.oracle import inr, recommendation, western
 from workloads.shape import shape, twin
@@ -119,7 +120,73 @@ add(
 
 def _fresh(spark, label: str) -> str:
     """A new folder in the shared one; nothing is overwritten."""
-    return f"{staging.shared_folder(spark).rstrip('/')}/bidloom/{label}-{uuid.uuid4().hex}"
+    return staging.new_path(spark, label)
+
+
+def _written_corpus(s, d):
+    """The documents as one text file each, in a folder for each source."""
+    path = _fresh(s, "corpus")
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    docs = view(s, d, "v_text").where("length(text) > 0").select("folder", name.alias("name"), "text")
+    docs.repartition("name").write.partitionBy("folder", "name").option("lineSep", "\n").text(path)
+    loaded = files.load_corpus(s, path)
+    # .../folder=src1/name=doc7/part-0.txt
+    part = lambda key: F.regexp_extract("source", f"{key}=([^/]+)", 1)
+    return loaded.withColumns({"folder": part("folder"), "filename": F.concat(part("name"), F.lit(".txt"))}), path
+
+
+def _corpus_files(s, d):
+    loaded, _ = _written_corpus(s, d)
+    # the writer ends each row with a line end
+    return loaded.withColumn("size", F.col("size") - 1)
+
+
+add(
+    "corpus_files", "folder filename size:i",
+    "(SELECT source AS folder, 'doc' || doc_id || '.txt' AS filename, length(text) AS size FROM documents "
+    "WHERE length(text) > 0) m",
+    _corpus_files,
+)
+add(
+    "corpus_file_admission", "folder n_files:i accepted:i",
+    "(SELECT source AS folder, count(*) AS n_files, 0 AS accepted FROM documents WHERE length(text) > 0 GROUP BY source) m",
+    lambda s, d: files.file_admission(s, _written_corpus(s, d)[1])
+    .groupBy(F.regexp_extract("path", "folder=([^/]+)", 1).alias("folder"))
+    .agg(F.count("*").alias("n_files"), F.count_if("accepted").alias("accepted")),
+)
+
+
+def _answer_from_files(s, d):
+    """Load, chunk, embed, search and prompt; every chunk is embedded once."""
+    corpus, _ = _written_corpus(s, d)
+    chunks = retrieval.chunk_documents(corpus, "source")
+    named = chunks.join(corpus.select("source", "folder", "filename"), "source")
+    chunks = staging.stage_table(
+        named.withColumn("vec_id", F.concat_ws("#", "folder", "filename", "chunk_no")), "chunks"
+    )
+    model = retrieval.fit_embedding(chunks)
+    asked = view(s, d, "v_text").groupBy("folder").agg(F.min(F.struct("doc_id", "text")).alias("d")).select(
+        F.col("folder").alias("question_id"), F.element_at(F.split("d.text", "[.]"), 1).alias("chunk_text"))
+    questions = retrieval.embed(model, asked, "question_embedding").withColumnRenamed("chunk_text", "question")
+    questions = staging.stage_table(questions, "questions")
+    vectors = staging.stage_table(retrieval.embed(model, chunks).select("vec_id", "embedding"), "vectors")
+    hits = retrieval.with_chunks(retrieval.nearest_chunks(vectors, questions), chunks)
+    context = retrieval.pack_context(hits)
+    return retrieval.answer_prompts(context.join(questions.select("question_id", "question"), "question_id")).select(
+        "question_id", "context", "prompt")
+
+
+add("answer_from_files", None, None, _answer_from_files)
+add(
+    "answer_from_files_check", "question_id blocks:i bounded:i",
+    "(SELECT DISTINCT source AS question_id, 4 AS blocks, 1 AS bounded FROM documents WHERE source IS NOT NULL) m",
+    lambda s, d: _answer_from_files(s, d).select(
+        "question_id",
+        F.size(F.regexp_extract_all("context", F.lit(r"\[doc[0-9]+\.txt\]\n"), F.lit(0))).alias("blocks"),
+        # four blocks of at most a chunk each, with names and blank lines
+        (F.length("context") <= 4 * (retrieval.CHUNK_SIZE + 40)).cast("int").alias("bounded"),
+    ),
+)
 
 
 _CHANGE = "change_order_id:i contract_id:i change_cost:2 change_reason"
@@ -486,15 +553,15 @@ add(
 )
 add(
     "forest_classifier_metrics", None, None,
-    lambda s, d: models.train_model(_vendor_features(s, d), "label", "key", n_estimators=20).metrics_table(),
+    lambda s, d: models.train_model(_vendor_features(s, d), "label", "key").metrics_table(),
 )
 add(
     "forest_classifier_importance", None, None,
-    lambda s, d: models.train_model(_vendor_features(s, d), "label", "key", n_estimators=20).feature_importance(),
+    lambda s, d: models.train_model(_vendor_features(s, d), "label", "key").feature_importance(),
 )
 add(
     "forest_classifier_predictions", None, None,
-    lambda s, d: models.train_model(_vendor_features(s, d), "label", "key", n_estimators=20)
+    lambda s, d: models.train_model(_vendor_features(s, d), "label", "key")
     .predict(_vendor_features(s, d), ("key",)).select("key", "prediction"),
 )
 add(
@@ -505,17 +572,100 @@ add(
 add(
     "forest_regressor_metrics", None, None,
     lambda s, d: models.train_model(
-        _ols_items(s, d), "label", "item_id", "random_forest", "regression", n_estimators=20
+        _ols_items(s, d), "label", "item_id", "random_forest", "regression"
     ).metrics_table(),
 )
 add(
     "isolation_forest", None, None,
     lambda s, d: isolation.detect_anomalies(
-        view(s, d, "v_transactions", heavy=True).select("transaction_id", "amount", "unit_price", "payment_hour"),
+        view(s, d, "v_transactions").select("transaction_id", "amount", "unit_price", "payment_hour"),
         "transaction_id", ["amount", "unit_price", "payment_hour"],
     ),
 )
 
+# properties of the models above that SQL can state
+add(
+    "forest_prediction_check", "n_rows:i n_keys:i n_classes:i",
+    "(SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice)) AS n_keys, "
+    "0 AS n_classes FROM lineitem) a",
+    lambda s, d: models.train_model(_vendor_features(s, d), "label", "key")
+    .predict(_vendor_features(s, d), ("key",))
+    .agg(F.count("*").alias("n_rows"), F.countDistinct("key").alias("n_keys"),
+         F.count_if(~F.col("prediction").isin(0.0, 1.0)).alias("n_classes")),
+)
+add(
+    "forest_importance_check", "total:6 negative:i",
+    "(SELECT 1 AS total, 0 AS negative) a",
+    lambda s, d: models.train_model(_vendor_features(s, d), "label", "key").feature_importance()
+    .agg(F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("negative")),
+)
+add(
+    "logistic_regression_check", "slopes_at_rest:i out_of_range:i",
+    "(SELECT 1 AS slopes_at_rest, 0 AS out_of_range) a",
+    lambda s, d: _logistic_at_rest(s, d),
+)
+add(
+    "forest_regressor_check", "metric in_range:i",
+    "(SELECT unnest(['train_r2', 'test_r2', 'train_rmse', 'test_rmse']) AS metric, 1 AS in_range) a",
+    lambda s, d: models.train_model(_ols_items(s, d), "label", "item_id", "random_forest", "regression").metrics_table()
+    .where(F.col("metric").like("%_r%"))
+    .select("metric", F.when(F.col("metric").endswith("_r2"), F.col("value").between(-1, 1))
+            .otherwise(F.col("value") >= 0).cast("int").alias("in_range")),
+)
+add(
+    "classification_metrics", "metric value:6",
+    """(SELECT unnest(['train_accuracy', 'test_accuracy', 'precision', 'recall', 'f1_score']) AS metric,
+        unnest([tr_hit / tr_n, te_hit / te_n, (pos * prec1 + neg * prec0) / te_n, (pos * rec1 + neg * rec0) / te_n,
+            (pos * 2 * prec1 * rec1 / (prec1 + rec1) + neg * 2 * prec0 * rec0 / (prec0 + rec0)) / te_n]) AS value
+      FROM (SELECT *, tp / pp AS prec1, tp / pos AS rec1, tn / pn AS prec0, tn / neg AS rec0 FROM (
+        SELECT count(*) FILTER (tr) AS tr_n, count(*) FILTER (NOT tr) AS te_n,
+               count(*) FILTER (tr AND y = p) AS tr_hit, count(*) FILTER (NOT tr AND y = p) AS te_hit,
+               count(*) FILTER (NOT tr AND y = 1 AND p = 1) AS tp, count(*) FILTER (NOT tr AND y = 0 AND p = 0) AS tn,
+               count(*) FILTER (NOT tr AND p = 1) AS pp, count(*) FILTER (NOT tr AND p = 0) AS pn,
+               count(*) FILTER (NOT tr AND y = 1) AS pos, count(*) FILTER (NOT tr AND y = 0) AS neg
+        FROM (SELECT quality AS y, CASE WHEN toxic = 0 AND doc_id % 7 > 0 THEN 1 ELSE 0 END AS p, doc_id % 3 > 0 AS tr
+              FROM labels WHERE quality IS NOT NULL) l) c) r) a""",
+    lambda s, d: _rule_metrics(s, d),
+)
+add(
+    "isolation_forest_check", "n_rows:i out_of_range:i flag_share_ok:i high_share_ok:i",
+    "(SELECT count(*) AS n_rows, 0 AS out_of_range, 1 AS flag_share_ok, 1 AS high_share_ok FROM v_transactions) a",
+    lambda s, d: CATALOG["isolation_forest"].run(s, d).agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(~F.col("anomaly_score").between(-1, 0)).alias("out_of_range"),
+        # scores tie, so the flagged share stays at or below the contamination
+        F.avg(F.col("is_anomaly").cast("double")).between(0.02, 0.1).cast("int").alias("flag_share_ok"),
+        F.avg((F.col("anomaly_severity") == "high").cast("double")).between(0.01, 0.05).cast("int").alias("high_share_ok"),
+    ),
+)
+
+
+def _logistic_at_rest(s, d):
+    """Slope of the penalised loss at the fitted coefficients, which is zero at the optimum."""
+    rows = _vendor_features(s, d)
+    model = models.train_model(rows, "label", "key", "logistic_regression")
+    fitted = model.pipeline.stages[-1]
+    train = rows.where(models.train_share("key"))
+    z = reduce(lambda a, b: a + b, [F.col(c) * float(w) for c, w in zip(model.features, fitted.coefficients, strict=True)])
+    residual = F.lit(1.0) / (1 + F.exp(-(z + float(fitted.intercept)))) - F.col("label")
+    scale = [F.stddev_pop(c) for c in model.features]
+    slopes = [F.sum(residual * F.col(c)) + float(w) for c, w in zip(model.features, fitted.coefficients, strict=True)]
+    at_rest = [F.abs(g) / F.count("*") <= 1e-3 * F.greatest(F.lit(1.0), sd + F.abs(F.avg(c)))
+               for g, sd, c in zip(slopes, scale, model.features, strict=True)]
+    checked = train.agg(reduce(lambda a, b: a & b, at_rest).cast("int").alias("slopes_at_rest"))
+    odds = model.predict_proba(rows, ("key",)).agg(
+        F.count_if(~F.col("probability")[1].between(0, 1)).alias("out_of_range"))
+    return with_scalars(checked, odds)
+
+
+def _rule_metrics(s, d):
+    guess = F.when((F.col("toxic") == 0) & (F.col("doc_id") % 7 > 0), 1.0).otherwise(0.0)
+    scored = table(s, d, "labels").where("quality is not null").select(
+        F.col("quality").alias("label"), guess.alias("prediction"), (F.col("doc_id") % 3 > 0).alias("_train"))
+    found = models.classification_metrics(scored, "label")
+    return s.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
+
+
 # ---- forecasts -----------------------------------------------------------------
 _FC = "series_id{} step:i ts:d forecast:2 method last_value:2"
 add("forecast_moving_average", _FC.format(":i"), "o_moving_average",
@@ -529,6 +679,36 @@ add("forecast_result", "series_id method periods:i last_historical_value:2 first
         arg_min(forecast, step) AS first_forecast_value, arg_max(forecast, step) AS last_forecast_value
         FROM o_smoothing GROUP BY series_id) a""",
     on("v_series", lambda df: forecast.forecast_result(forecast.forecast(df, 12, "exponential_smoothing"))))
+_STEPS = {"week": None, "quarter_start": 3, "quarter_end": 3, "year_start": 12, "year_end": 12}
+
+
+def _frequencies(df):
+    ahead = [
+        forecast.forecast(df, 3, "moving_average", f).select("series_id", F.lit(f).alias("freq"), "step", "ts") for f in _STEPS
+    ]
+    return reduce(DataFrame.unionByName, ahead)
+
+
+def _next_in_sql(freq: str, months: int | None) -> str:
+    unit, _, side = freq.partition("_")
+    if months is None:
+        return "last + CAST(7 * step AS INT)"
+    start = f"date_trunc('{unit}', last)"
+    if side == "start":
+        return f"CAST({start} + to_months(CAST(step * {months} AS INT)) AS DATE)"
+    end = f"CAST({start} + INTERVAL {months} MONTH AS DATE) - 1"
+    ahead = f"(step + CASE WHEN last = {end} THEN 1 ELSE 0 END)"
+    return f"CAST({start} + to_months(CAST({ahead} * {months} AS INT)) AS DATE) - 1"
+
+
+add("forecast_frequencies", "series_id freq step:i ts:d",
+    "(" + " UNION ALL ".join(
+        f"SELECT series_id, '{f}' AS freq, step, {_next_in_sql(f, m)} AS ts FROM (SELECT series_id, max(CAST(ts AS DATE)) AS last, "
+        f"unnest([1, 2, 3]) AS step FROM v_series GROUP BY series_id HAVING count(*) >= 3) a" for f, m in _STEPS.items()
+    ) + ") u",
+    on("v_series", _frequencies))
+add("forecast_inferred", "series_id step:i ts:d", "(SELECT series_id, step, ts FROM o_smoothing) a",
+    on("v_series", lambda df: forecast.forecast(df, 12, "exponential_smoothing", "infer")))
 add("forecast_short_series", "series_id:i n_points:i",
     "(SELECT series_id, count(*) AS n_points FROM v_customer_series GROUP BY series_id HAVING count(*) < 3) a",
     on("v_customer_series", forecast.short_series))
@@ -549,11 +729,7 @@ def _hits(s, d):
 
 
 def _hit_texts(s, d):
-    docs = view(s, d, "v_text").select(
-        F.col("doc_id").alias("vec_id"), "folder", F.col("text").alias("chunk_text"),
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
-    )
-    return retrieval.with_chunks(_hits(s, d), docs)
+    return retrieval.with_chunks(_hits(s, d), view(s, d, "v_chunks"))
 
 
 _HITS = """(SELECT question_id, vec_id, distance, rank FROM (
@@ -563,15 +739,53 @@ _HITS = """(SELECT question_id, vec_id, distance, rank FROM (
               unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) a GROUP BY label, pos) q
       JOIN (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(1, len(embedding) + 1)) AS pos
             FROM embeddings) e ON e.pos = q.pos GROUP BY q.label, e.vec_id) b) c WHERE rank <= 4)"""
-_SOURCES = f"""(SELECT question_id, rank, 'doc' || doc_id || '.txt' AS filename, d.source AS folder,
-    left(d.text, 200) || '...' AS content, distance AS score, d.text FROM {_HITS} h JOIN documents d ON d.doc_id = h.vec_id)"""
+_SOURCES = f"""(SELECT question_id, rank, filename, folder, left(chunk_text, 200) || '...' AS content,
+    distance AS score, chunk_text AS text FROM {_HITS} h JOIN v_chunks USING (vec_id))"""
 add("chunk_documents", None, None,
     on("v_text", retrieval.chunk_documents))
-add("embed_chunks", None, None,
-    lambda s, d: retrieval.embed(
-        retrieval.fit_embedding(retrieval.chunk_documents(view(s, d, "v_text"))),
-        retrieval.chunk_documents(view(s, d, "v_text")),
-    ).drop("chunk_text"))
+
+
+def _embedded(s, d):
+    chunks = staging.stage_table(retrieval.chunk_documents(view(s, d, "v_text")), "chunks")
+    return retrieval.embed(retrieval.fit_embedding(chunks), chunks)
+
+
+add("embed_chunks", None, None, lambda s, d: _embedded(s, d).drop("chunk_text"))
+add(
+    "embedding_check", "doc_id:i n_vectors:i width:i off_length:i",
+    "(SELECT doc_id, 1 AS n_vectors, 384 AS width, 0 AS off_length FROM documents WHERE trim(text) <> '') a",
+    lambda s, d: _embedded(s, d)
+    .withColumn("norm", F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    .groupBy("doc_id")
+    .agg(
+        F.countDistinct("chunk_no").alias("_chunks"), F.max(F.size("embedding")).alias("width"),
+        F.count_if((F.abs(F.col("norm") - 1) > 1e-4) & (F.col("norm") != 0)).alias("off_length"),
+        F.count("*").alias("_rows"),
+    )
+    .withColumn("n_vectors", F.col("_rows") / F.col("_chunks")),
+)
+add(
+    "chunk_cover", "doc_id:i first:i gaps:i short:i",
+    # every letter of a text lies in a chunk, in order: checked as counts of what is missing
+    "(SELECT doc_id, 1 AS first, 0 AS gaps, 0 AS short FROM documents WHERE trim(text) <> '') a",
+    lambda s, d: _chunk_cover(s, d),
+)
+
+
+def _chunk_cover(s, d):
+    docs = view(s, d, "v_text")
+    letters = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
+    chunks = retrieval.chunk_documents(docs)
+    per_doc = chunks.groupBy("doc_id").agg(
+        F.min("chunk_no").alias("first"), (F.max("chunk_no") - F.count("*")).alias("gaps"),
+        F.sum(letters("chunk_text")).alias("_in_chunks"),
+    )
+    whole = docs.select("doc_id", letters("text").alias("_in_text"))
+    return per_doc.join(whole, "doc_id").withColumn(
+        "short", (F.col("_in_chunks") < F.col("_in_text")).cast("int")
+    )
+
+
 add("nearest_chunks", "question_id:i vec_id:i distance:6 rank:i", f"{_HITS} h", _hits)
 add("source_list", "question_id:i rank:i filename folder content score:6", f"{_SOURCES} s",
     lambda s, d: retrieval.source_list(_hit_texts(s, d)))
@@ -592,16 +806,25 @@ add(
         )
     ),
 )
+_PART = "left(substr(text, (part - 1) * 6000 + 1), 6000)"
 add(
-    "summary_prompts", "doc_id:i prompt",
-    """(SELECT doc_id, 'You are summarizing content for a procurement and contracts dashboard.' || chr(10) || chr(10)
-        || 'Text to summarize:' || chr(10) || left(text, 6000) || chr(10) || chr(10) || 'Style: bullet' || chr(10)
+    "summary_prompts", "doc_id:i part:i n_parts:i prompt",
+    f"""(SELECT doc_id, part, n_parts,
+        'You are summarizing content for a procurement and contracts dashboard.' || chr(10) || chr(10)
+        || 'Text to summarize:' || chr(10) || {_PART} || chr(10) || chr(10) || 'Style: bullet' || chr(10)
         || chr(10) || 'Instructions:' || chr(10) || '- Preserve key numbers, risk indicators, and decisions.' || chr(10)
         || '- For ''bullet'', return 3-7 bullets.' || chr(10) || '- For ''short'', return 2-3 concise sentences.'
         || chr(10) || '- For ''detailed'', return a structured explanation with headings.' || chr(10) || chr(10)
-        || 'Summary:' AS prompt FROM v_text) a""",
+        || 'Summary:' AS prompt FROM (SELECT *, unnest(range(1, n_parts + 1)) AS part FROM (
+            SELECT doc_id, text, greatest(1, ceil(length(text) / 6000))::BIGINT AS n_parts FROM v_text) p) q) a""",
     on("v_text", retrieval.summary_prompts),
 )
+add(
+    "summary_prompt_characters", "doc_id:i n_chars:i",
+    "(SELECT doc_id, length(text) AS n_chars FROM documents) a",
+    on("v_text", lambda df: retrieval.summary_prompts(df).groupBy("doc_id").agg(
+        F.sum(F.length("prompt") - len(retrieval.SUMMARY_PROMPT) + len("{text}{style}") - len("bullet")).alias("n_chars"))),
+)
 add(
     "retrieval_confidence", "question_id:i mean_score:6 confidence",
     f"""(SELECT *, CASE WHEN mean_score > 0.7 THEN 'High' WHEN mean_score > 0.5 THEN 'Medium' ELSE 'Low' END AS confidence

@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidloom.sources.staging import spread_scan
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings"]
 
@@ -217,6 +216,12 @@ VIEWS = {
                cast(o_orderdate AS date) + cast(o_orderkey % 40 - 10 AS int) AS end_date
         FROM {orders}""",
     "v_text": "SELECT doc_id, source AS folder, text FROM {documents}",
+    # the table of vectors has one for each document: that of one piece of its text
+    "v_chunks": """
+        SELECT doc_id AS vec_id, source AS folder, 'doc' || cast(doc_id AS string) || '.txt' AS filename,
+               substring(text, cast(doc_id % greatest(1, ceil(length(text) / 1500e0)) AS int) * 1500 + 1, 1500)
+               AS chunk_text
+        FROM {documents}""",
     "v_drops": """
         SELECT 'drop/file' || cast(o_orderkey AS string)
                || CASE o_orderkey % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.XLSX' WHEN 2 THEN '.xls' WHEN 3 THEN '.pdf'
@@ -229,20 +234,22 @@ VIEWS = {
                cast(o_orderdate AS date) AS negotiation_date
         FROM {orders}""",
     "v_projects": """
-        SELECT o_orderkey AS project_id, 'V' || lpad(cast(o_custkey % 130 AS string), 5, '0') AS vendor_id,
+        SELECT o_orderkey AS project_id,
+               CASE WHEN o_orderstatus = 'F' THEN 'V' ELSE 'P' END
+               || lpad(cast(o_custkey % 130 AS string), 5, '0') AS vendor_id,
                o_totalprice * 50 AS project_value, cast(1 + o_orderkey % 5 AS double) AS performance_rating
-        FROM {orders} WHERE o_orderstatus = 'F'""",
+        FROM {orders}""",
     "v_scores": """
-        SELECT 'V' || lpad(cast(s_suppkey AS string), 5, '0') AS vendor_id,
+        SELECT CASE WHEN s_nationkey = 3 THEN 'U' ELSE 'V' END || lpad(cast(s_suppkey AS string), 5, '0') AS vendor_id,
                cast((s_suppkey * 7) % 100 AS double) AS risk_score,
                cast(40 + (s_suppkey * 11) % 60 AS double) AS predicted_performance
-        FROM {supplier} WHERE s_nationkey <> 3""",
+        FROM {supplier}""",
     "v_master_changes": """
-        SELECT 'V' || lpad(cast(s_suppkey AS string), 5, '0') AS vendor_id,
+        SELECT CASE WHEN s_acctbal > 0 THEN 'V' ELSE 'N' END || lpad(cast(s_suppkey AS string), 5, '0') AS vendor_id,
                CASE WHEN s_suppkey % 3 = 0 THEN 'APPROVED' ELSE NULL END AS status,
                CASE WHEN s_suppkey % 4 = 3 THEN 'A' ELSE NULL END AS empanelment_tier,
                CASE WHEN s_suppkey % 5 = 0 THEN date '2003-05-05' ELSE NULL END AS registration_date
-        FROM {supplier} WHERE s_acctbal > 0""",
+        FROM {supplier}""",
 }
 
 
@@ -250,14 +257,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Views whose operators are CPU-heavy per row.
-HEAVY = {"v_contract_docs", "v_text"}
-
-
-def view(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     used = set(re.findall(r"\{(\w+)\}", text))
-    scans = {t: table(spark, sf_dir, t) for t in used}
-    if heavy or name in HEAVY:
-        scans = {t: spread_scan(scan) for t, scan in scans.items()}
-    return spark.sql(text, **scans)
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
