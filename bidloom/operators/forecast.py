@@ -6,7 +6,7 @@ hold any share of the rows; every forecast is then a plain aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.operators.ordering import row_positions
@@ -29,7 +29,7 @@ def short_series(df: DataFrame, series: str = "series_id") -> DataFrame:
 
 #: months in one step of a calendar frequency
 _MONTHS = {"month": 1, "quarter": 3, "year": 12}
-#: days in one step, and the mean gaps in days taken for it
+#: gaps in days that are taken for one step
 _GAPS = {"day": (0.0, 2.0), "week": (5.0, 9.0), "month": (26.0, 33.0), "quarter": (80.0, 100.0), "year": (340.0, 390.0)}
 FREQUENCIES = ("day", "week", *[f"{unit}_{side}" for unit in _MONTHS for side in ("start", "end")])
 
@@ -53,30 +53,26 @@ def _next_dates(last: Column, step: Column, freq: str) -> Column:
     return _period_end(F.add_months(F.trunc(last, unit), ahead * _MONTHS[unit]), unit)
 
 
-def _frequency(first: Column, last: Column, points: Column, all_first: Column) -> Column:
-    """Name of the frequency whose step the mean gap is nearest to; null where none is."""
-    gap = F.try_divide(F.datediff(last, first), points - 1)
-    chain = F
-    for unit, (low, high) in _GAPS.items():
-        name = F.when(all_first, f"{unit}_start").otherwise(f"{unit}_end") if unit in _MONTHS else F.lit(unit)
-        chain = chain.when(gap.between(low, high), name)
-    return chain
-
-
 def infer_frequency(df: DataFrame, series: str = "series_id", ts: str = "ts") -> DataFrame:
-    """(series, frequency): from the mean gap of each series and whether all points are first days."""
-    day = F.to_date(ts)
-    # points on one day count once
-    points = df.select(series, day.alias("_ts")).where("_ts is not null").distinct().groupBy(series)
-    figures = points.agg(
-        F.min("_ts").alias("_first"),
-        F.max("_ts").alias("_last"),
-        F.count("*").alias("_n"),
-        F.bool_and(F.dayofmonth("_ts") == 1).alias("_starts"),
-    )
-    return figures.select(
-        series, _frequency(F.col("_first"), F.col("_last"), F.col("_n"), F.col("_starts")).alias("frequency")
+    """(series, frequency): from the most frequent gap of each series, the shorter one of two as frequent.
+
+    A calendar frequency is that of period starts if all points are first days of a
+    month, else of period ends. Null where no frequency has such a gap.
+    """
+    # one row a day at most: a series is as long as its calendar, however many points it has
+    days = df.select(series, F.to_date(ts).alias("_ts")).where("_ts is not null").distinct()
+    before = F.lag("_ts").over(Window.partitionBy(series).orderBy("_ts"))
+    gaps = days.withColumn("_gap", F.datediff("_ts", before))
+    counted = gaps.groupBy(series, "_gap").agg(
+        F.count("*").alias("_n"), F.bool_and(F.dayofmonth("_ts") == 1).alias("_starts")
     )
+    usual = F.min(F.when(F.col("_gap").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_gap").alias("gap"))))
+    found = counted.groupBy(series).agg(usual.getField("gap").alias("_gap"), F.bool_and("_starts").alias("_starts"))
+    chain = F
+    for unit, (low, high) in _GAPS.items():
+        side = F.when(F.col("_starts"), f"{unit}_start").otherwise(f"{unit}_end")
+        chain = chain.when(F.col("_gap").between(low, high), side if unit in _MONTHS else F.lit(unit))
+    return found.select(series, chain.alias("frequency"))
 
 
 def forecast(

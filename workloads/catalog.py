@@ -608,7 +608,7 @@ add(
     "forest_regressor_check", "metric in_range:i",
     "(SELECT unnest(['train_r2', 'test_r2', 'train_rmse', 'test_rmse']) AS metric, 1 AS in_range) a",
     lambda s, d: models.train_model(_ols_items(s, d), "label", "item_id", "random_forest", "regression").metrics_table()
-    .where(F.col("metric").like("%_r%"))
+    .where(F.col("metric").rlike("_(r2|rmse)$"))
     .select("metric", F.when(F.col("metric").endswith("_r2"), F.col("value").between(-1, 1))
             .otherwise(F.col("value") >= 0).cast("int").alias("in_range")),
 )
@@ -679,12 +679,12 @@ add("forecast_result", "series_id method periods:i last_historical_value:2 first
         arg_min(forecast, step) AS first_forecast_value, arg_max(forecast, step) AS last_forecast_value
         FROM o_smoothing GROUP BY series_id) a""",
     on("v_series", lambda df: forecast.forecast_result(forecast.forecast(df, 12, "exponential_smoothing"))))
-_STEPS = {"week": None, "quarter_start": 3, "quarter_end": 3, "year_start": 12, "year_end": 12}
+_AHEAD = {"week": None, "quarter_start": 3, "quarter_end": 3, "year_start": 12, "year_end": 12}
 
 
 def _frequencies(df):
     ahead = [
-        forecast.forecast(df, 3, "moving_average", f).select("series_id", F.lit(f).alias("freq"), "step", "ts") for f in _STEPS
+        forecast.forecast(df, 3, "moving_average", f).select("series_id", F.lit(f).alias("freq"), "step", "ts") for f in _AHEAD
     ]
     return reduce(DataFrame.unionByName, ahead)
 
@@ -704,11 +704,22 @@ def _next_in_sql(freq: str, months: int | None) -> str:
 add("forecast_frequencies", "series_id freq step:i ts:d",
     "(" + " UNION ALL ".join(
         f"SELECT series_id, '{f}' AS freq, step, {_next_in_sql(f, m)} AS ts FROM (SELECT series_id, max(CAST(ts AS DATE)) AS last, "
-        f"unnest([1, 2, 3]) AS step FROM v_series GROUP BY series_id HAVING count(*) >= 3) a" for f, m in _STEPS.items()
+        f"unnest([1, 2, 3]) AS step FROM v_series GROUP BY series_id HAVING count(*) >= 3) a" for f, m in _AHEAD.items()
     ) + ") u",
     on("v_series", _frequencies))
-add("forecast_inferred", "series_id step:i ts:d", "(SELECT series_id, step, ts FROM o_smoothing) a",
-    on("v_series", lambda df: forecast.forecast(df, 12, "exponential_smoothing", "infer")))
+add("forecast_inferred_frequency", "series_id frequency",
+    """(SELECT series_id, CASE WHEN gap BETWEEN 0 AND 2 THEN 'day' WHEN gap BETWEEN 5 AND 9 THEN 'week'
+          WHEN gap BETWEEN 26 AND 33 THEN 'month' || side WHEN gap BETWEEN 80 AND 100 THEN 'quarter' || side
+          WHEN gap BETWEEN 340 AND 390 THEN 'year' || side END AS frequency
+        FROM (SELECT series_id, CASE WHEN starts THEN '_start' ELSE '_end' END AS side,
+                CASE WHEN g.gap IS NOT NULL THEN g.gap END AS gap
+              FROM (SELECT series_id, bool_and(day(ts) = 1) AS starts FROM v_series GROUP BY series_id) a
+              LEFT JOIN (SELECT series_id, gap, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, gap) AS nth
+                FROM (SELECT series_id, gap, count(*) AS n FROM (SELECT series_id,
+                        ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS gap
+                        FROM (SELECT DISTINCT series_id, CAST(ts AS DATE) AS ts FROM v_series) t) l
+                      WHERE gap IS NOT NULL GROUP BY ALL) c) g USING (series_id) WHERE coalesce(nth, 1) = 1) f) u""",
+    on("v_series", forecast.infer_frequency))
 add("forecast_short_series", "series_id:i n_points:i",
     "(SELECT series_id, count(*) AS n_points FROM v_customer_series GROUP BY series_id HAVING count(*) < 3) a",
     on("v_customer_series", forecast.short_series))
