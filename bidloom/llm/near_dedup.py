@@ -34,6 +34,8 @@ from bidloom.sources.staging import stage_table
 CHUNK = 5
 ERRORS = 1
 BLOCK = 256
+#: bins of the second, finer sketch that is compared before full sets are; a power of two
+BINS = 512
 #: share of pairs exactly at the similarity whose signatures may differ in more values than the index allows
 MISSED = 1e-6
 
@@ -118,9 +120,35 @@ def signatures(hashes: np.ndarray, ends: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def _as_matrix(column: pa.Array) -> np.ndarray:
+def binned(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``BINS`` values of 8 bits for each sorted set: the smallest hash of each bin, 0 for an empty bin."""
+    out = np.zeros((len(ends) - 1, BINS), np.uint8)
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    bins = (hashes >> U64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.ones(len(hashes), bool)
+    first[1:] = (bins[1:] != bins[:-1]) | (row[1:] != row[:-1])
+    out[row[first], bins[first]] = mix(hashes[first]) % U64(255) + U64(1)
+    return out
+
+
+def bin_limit(filled: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the ``filled`` bins may differ in a pair that is similar enough.
+
+    ``sizes`` are the sums of both set sizes, which bound the union. The smallest
+    elements of the filled bins are drawn from the union without replacement, so
+    their differences are hypergeometric; five deviations and two more are above
+    all but one in a million. More filled bins than the union holds rule a pair out.
+    """
+    apart = 1 - percent / 100
+    union = np.floor(sizes * 100 / (100 + percent))
+    left = np.maximum(union - filled, 0) / np.maximum(union - 1, 1)
+    most = np.floor(filled * apart + 5 * np.sqrt(filled * apart * (1 - apart) * left) + 2)
+    return np.where(filled <= union, most, -1)
+
+
+def _as_matrix(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
     data, at = flat(column)
-    return data.view(np.uint16).reshape(len(at) - 1, -1)
+    return data.view(kind).reshape(len(at) - 1, -1)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -130,7 +158,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, width: int, parts: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, sig) of every document."""
+    """(id, n, digest, sig, bins) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -147,12 +175,13 @@ def sketch(docs: DataFrame, width: int, parts: int, id_col: str, text_col: str)
                         pa.array(np.diff(ends), pa.int64()),
                         pa.array(digests, pa.binary()),
                         _binary(signatures(hashes, ends, parts)),
+                        _binary(binned(hashes, ends)),
                     ],
-                    ["id", "n", "digest", "sig"],
+                    ["id", "n", "digest", "sig", "bins"],
                 )
 
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"cast(`{text_col}` as string) as text")
-    return rows.mapInArrow(run, "id bigint, n bigint, digest binary, sig binary")
+    return rows.mapInArrow(run, "id bigint, n bigint, digest binary, sig binary, bins binary")
 
 
 def _keys_of(layout: Layout, which: list[int]):
@@ -217,14 +246,23 @@ def _nearest(layout: Layout):
     return run
 
 
-def _remaining(layout: Layout):
-    """Pairs of different components under the distance, each in the first bucket that has both."""
+def _remaining(layout: Layout, percent: int):
+    """Pairs of different components under both distances, each in the first bucket that has both."""
     kept = layout.kept()
 
+    def alike(one: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(one), bool)
+        for start in range(0, len(one), 16384):
+            a, b = one[start : start + 16384], other[start : start + 16384]
+            most = bin_limit(((a | b) != 0).sum(axis=1), sizes[start : start + 16384], percent)
+            out[start : start + 16384] = (a != b).sum(axis=1) <= most
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, edges in grouped(batches, ["key", "block", "probe"]):
             rep, root, role = (batch.column(c).to_numpy() for c in ("rep", "root", "role"))
             k, sig = batch.column("k").to_numpy(), _as_matrix(batch.column("sig"))
+            bins, n = _as_matrix(batch.column("bins"), np.uint8), batch.column("n").to_numpy()
             found = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 own, probes = (a + np.flatnonzero(role[a:b] == r) for r in (0, 1))
@@ -239,6 +277,8 @@ def _remaining(layout: Layout):
                         break
                     seen = (sig[x][:, earlier] == sig[y][:, earlier]).all(axis=1)
                     x, y = x[~seen], y[~seen]
+                near = alike(bins[x], bins[y], n[x] + n[y])
+                x, y = x[near], y[near]
                 found.append((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
@@ -325,7 +365,7 @@ def near_components(
     classes = full.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = stage_table(
         full.join(classes.select(F.col("digest").alias("_d"), "rep"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")))
-        .select("rep", "sig", "digest", "n")
+        .select("rep", "sig", "bins", "digest", "n")
         .dropDuplicates(["rep"]),
         "near-classes",
     )
@@ -357,7 +397,7 @@ def near_components(
         .select("key", "main", (F.col("size") - F.col("most")).alias("others"))
     )
     mixed = stage_table(mixed, "near-mixed")
-    open_rows = members.join(mixed, "key").join(signed, "rep")
+    open_rows = members.join(mixed, "key").join(reps.select("rep", "sig", "bins", "n"), "rep")
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     n_probes = F.ceil(F.col("others") / (8 * BLOCK)).cast("int")
     own_block = F.pmod(F.xxhash64("rep", "key"), n_blocks).cast("long")
@@ -366,11 +406,11 @@ def near_components(
     cells = F.transform(many(n_probes), lambda p: F.struct(own_block.alias("block"), p.alias("probe"), F.lit(0).alias("role")))
     probes = F.transform(many(n_blocks), lambda b: F.struct(b.alias("block"), own_probe.alias("probe"), F.lit(1).alias("role")))
     placed = open_rows.select(
-        "key", "k", "rep", "root", "sig",
+        "key", "k", "rep", "root", "sig", "bins", "n",
         F.explode(F.when(F.col("root") == F.col("main"), cells).otherwise(F.concat(cells, probes))).alias("_c"),
-    ).select("key", "_c.*", "k", "rep", "root", "sig")
+    ).select("key", "_c.*", "k", "rep", "root", "sig", "bins", "n")
     laid = placed.repartition("key", "block", "probe").sortWithinPartitions("key", "block", "probe")
-    links.confirm(laid.mapInArrow(_remaining(layout), "a bigint, b bigint"))
+    links.confirm(laid.mapInArrow(_remaining(layout, percent), "a bigint, b bigint"))
 
     named = links.rooted(reps.select("rep", "digest")).select("digest", F.col("root").alias("component_id"))
     plain = sketched.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
