@@ -80,9 +80,7 @@ def classes(
     schema = "_digest string, _norm string, _rank decimal(38,0), group_size long, _clash boolean"
     staged = spark.read.schema(schema).parquet(path)
     single = staged.where(~F.col("_clash")).select("_digest", "_rank", "group_size")
-    several = staged.where("_clash").select(
-        "_digest", "_norm", F.col("_rank").alias("_rank2"), F.col("group_size").alias("_size2")
-    )
+    several = staged.where("_clash").select("_digest", "_norm", "_rank", "group_size")
     members = own.select(
         "_id",
         digest(F.col("_norm")).alias("_digest"),
@@ -91,20 +89,14 @@ def classes(
         # compared where a digest has several texts; this side of the join is a projection of the scan
         F.col("_norm").alias("_norm_text"),
     )
-    plain = members.drop("_norm_text").join(single, "_digest")
-    clashing = (
-        members.withColumnRenamed("_norm_text", "_norm")
-        .join(several, ["_digest", "_norm"])
-        .select("_id", "_digest", "text_sha256", "_own_rank", "_rank2", "_size2")
-    )
-    both = plain.select("_id", "text_sha256", "_own_rank", "_rank", "group_size").unionByName(
-        clashing.select(
-            "_id", "text_sha256", "_own_rank", F.col("_rank2").alias("_rank"), F.col("_size2").alias("group_size")
-        )
-    )
+    columns = ["_id", "text_sha256", "_own_rank", "_rank", "group_size"]
+    found = members.join(single, "_digest").select(*columns)
+    if not several.isEmpty():
+        clashing = members.withColumnRenamed("_norm_text", "_norm").join(several, ["_digest", "_norm"])
+        found = found.unionByName(clashing.select(*columns))
     winner = F.col("_rank") % F.lit(str(10**20)).cast(_RANK)
     keep_id = F.when(winner != 0, (F.lit(str(2**63)).cast(_RANK) - winner).cast("long"))
-    return both.select(
+    return found.select(
         F.col("_id").alias(id_col),
         keep_id.alias("keep_id"),
         "group_size",
