@@ -132,13 +132,13 @@ class Levels:
 
     def scan(self, batch: DataFrame) -> DataFrame:
         """Merge a batch's keys with those of all levels; what comes together with another is a seed."""
-        inside = batch.groupBy("key").agg(F.count("*").alias("n"))
-        met = inside
-        for table in self.tables.values():
-            met = met.unionByName(
-                table.join(inside.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-            )
-        return met.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+        met = None
+        for table, new in [(batch, True), *[(t, False) for t in self.tables.values()]]:
+            # counted inside each split first: a key that a third of all suffixes share moves as a few rows
+            counts = table.groupBy("key").agg(F.count("*").alias("n")).withColumn("new", F.lit(new))
+            met = counts if met is None else met.unionByName(counts)
+        merged = met.groupBy("key").agg(F.sum("n").alias("n"), F.bool_or("new").alias("new"))
+        return merged.where("n > 1 and new").select("key")
 
 
 def _cut_contexts(length: int):
