@@ -9,7 +9,8 @@ tokens of a word are read back from its last node.
 
 The texts stay where Spark has them: a narrow map over the scan, without a
 shuffle. A task remembers the words it has met and starts afresh beyond
-``most_words``, so memory is bounded whatever the number of distinct words.
+``most_words``, so memory is bounded whatever the number of distinct words, and
+forgets them when it ends.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from bidloom.llm.spans import slices
 
 END = "</w>"
-MOST_WORDS = 200_000
+MOST_WORDS = 60_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
@@ -244,7 +245,7 @@ def encode_decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tokenizer, most_words)
         for whole in batches:
-            for batch in slices(whole, "_text", 4 << 20):
+            for batch in slices(whole, "_text", 1 << 20):
                 rows = list(codec(batch.column("_text").to_pylist()))
                 columns = [
                     batch.column("_id"),
@@ -258,6 +259,9 @@ def encode_decode(
                         pa.array([d for _, d, _ in rows], pa.string()),
                     ]
                 yield pa.RecordBatch.from_arrays(columns, [n for n, _ in kind])
+        # the process outlives the task: only the vocabulary stays in it
+        codec.trie.clear()
+        codec.vocabulary.known.clear()
 
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as _id", f"cast(`{text_col}` as string) as _text")
     coded = rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in kind))
