@@ -86,8 +86,8 @@ def fit_arrays(
     bits: int = BITS,
     rounds: int = 1000,
     rate: float = 0.05,
-    ridge: float = 2e-6,
-    apart: float = 3.5,
+    ridge: float = 2e-5,
+    apart: float = 5.0,
 ) -> OrdinalModel:
     """Maximum likelihood with a ridge, by gradient steps with per-weight scaling.
 
