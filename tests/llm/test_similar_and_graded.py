@@ -129,6 +129,29 @@ def test_classifier_on_held_out_documents(spark):
     assert share[0][1] < share[1][1] < share[2][1]
 
 
+def test_classifier_finds_rare_toxic_words(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(rated(spark, folder), "doc_id").cache()
+    held = docs.where("doc_id % 3 = 0")
+
+    def kept(ratings):
+        model = ordinal_quality.fit(docs, ratings)
+        found = ordinal_quality.grade_documents(held, model).join(held.select("doc_id", "grade"), "doc_id")
+        return {r.grade: r.kept for r in found.groupBy("grade").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+
+    ratings = docs.select("doc_id", "grade")
+    share = kept(ratings.where("doc_id % 3 <> 0"))
+    assert share[2] > 0.99 and share[0] < 0.03 and share[1] < 0.15
+    # an eighth of the ratings: some of the toxic documents go, and few clean ones
+    few = kept(ratings.where("doc_id % 3 <> 0 and doc_id % 8 = 1"))
+    assert few[2] > 0.97 and few[0] < 0.1 and few[1] < 0.4
+
+
+def test_classifier_sample_is_shared_by_grades():
+    assert ordinal_quality.shared_out({0: 2766, 1: 2162, 2: 15670}, 8000) == {1: 2162, 0: 2766, 2: 3072}
+    assert ordinal_quality.shared_out({0: 9, 2: 4}, 100) == {0: 9, 2: 4} and ordinal_quality.shared_out({}, 9) == {}
+
+
 def test_classifier_gradient_orders_grades():
     rng = np.random.default_rng(0)
     texts, grades = [], []
