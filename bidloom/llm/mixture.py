@@ -94,16 +94,14 @@ def mix(
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     table = stage_table(targets(sizes, weights, share, most), "mixture-targets")
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
-    coin = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    rate, copies = _taken(F.col("_id"), F.col("target"), F.col("source_size"), seed)
     same = F.col("d.source").eqNullSafe(F.col("s.source"))
     return (
         rows.alias("d")
         .join(table.alias("s"), same, "left")
         .select("d._id", "d.source", "d.size", "s.source_size", "s.target")
         .withColumn("rate", rate)
-        .withColumn("copies", (F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+        .withColumn("copies", copies)
         .select(
             F.col("_id").alias(id_col),
             "source",
@@ -117,13 +115,36 @@ def mix(
     )
 
 
-def emit(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of the mix: every document as often as it is taken, all columns kept.
+def _taken(own_id: Column, target: Column, source_size: Column, seed: str) -> tuple[Column, Column]:
+    """Rate and copies of a row."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(own_id.cast("string"), F.lit("null"))))
+    coin = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    rate = F.coalesce(F.try_divide(target, source_size), F.lit(0.0))
+    return rate, (F.floor(rate) + (coin < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def emit(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    seed: str = "mixture-1",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The rows of the mix: every row as often as it is taken, all columns kept.
 
-    Ids should be unique. A null id is never taken.
+    Copies are counted on the row itself, as ``mix`` counts them: rows that
+    repeat an id and rows with a null id are each taken by their own number.
     """
-    plan = mix(docs, id_col=id_col, **options)
-    copies = plan.where("copies > 0").select(F.col(id_col).alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    joined = docs.join(copies, docs[id_col] == copies["_mix_id"])
+    sizes = docs.select(F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    sizes = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    table = stage_table(targets(sizes, weights, share, most), "mixture-targets").select(
+        F.col("source").alias("_mix_source"), F.col("target").alias("_mix_target"), F.col("source_size").alias("_mix_size")
+    )
+    _, copies = _taken(docs[id_col].cast("long"), F.col("_mix_target"), F.col("_mix_size"), seed)
+    joined = docs.join(table, docs[source_col].cast("string").eqNullSafe(table["_mix_source"]))
+    taken = joined.withColumn("_mix_copies", copies).where("_mix_copies > 0")
     times = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))
-    return joined.withColumn("_mix_copy", times).select(*[docs[c] for c in docs.columns])
+    return taken.withColumn("_mix_copy", times).select(*[docs[c] for c in docs.columns])

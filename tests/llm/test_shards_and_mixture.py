@@ -108,3 +108,13 @@ def test_mixture_awkward(spark):
     one = mixture.mix(table(spark, [(1, "a b", "only"), (1, "a b", "only"), (None, "c", "only")])).collect()
     assert len(one) == 3 and all(math.isclose(r.target, 7.5) for r in one)
     assert len({r.taken for r in one if r.doc_id == 1}) == 1
+
+
+def test_emit_repeated_and_null_ids(spark):
+    data = [(7, "same words here", "a")] * 50 + [(8, f"other {k}", "a") for k in range(5)] + [(None, f"none {k}", "b") for k in range(9)]
+    docs = table(spark, data)
+    want = Counter()
+    for r in mixture.mix(docs).collect():
+        want[r.doc_id] += r.copies
+    got = Counter(r.doc_id for r in mixture.emit(docs).select("doc_id").collect())
+    assert got == +want and got[None] > 0 and got[7] <= 2 * 50
