@@ -9,7 +9,7 @@ salt, and the third stage as at most ``salts`` rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ def classes(
     text_col: str = "text",
     salts: int = 16,
     digest: Callable[[Column], Column] = sha256_digest,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``docs`` with its class of equal texts.
 
@@ -45,9 +46,12 @@ def classes(
     Rows that repeat an id and text are one document: each counts in
     ``group_size`` and all share the verdict. An empty table gives no rows.
     Columns other than the two named ones are not read, so their names cannot
-    clash.
+    clash; those named in ``also`` are returned behind the others.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    carried = [F.col(c).alias(f"_also_{k}") for k, c in enumerate(also)]
+    own = docs.select(
+        F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *carried
+    )
     own = own.withColumn("_norm", F.translate("_text", BLANKS, ""))
     # longest text first, then smallest id: one number per row, so that the combine is a hash aggregate
     by_id = F.when(F.col("_id").isNull(), F.lit(0).cast(_RANK)).otherwise(
@@ -88,8 +92,9 @@ def classes(
         rank.alias("_own_rank"),
         # compared where a digest has several texts; this side of the join is a projection of the scan
         F.col("_norm").alias("_norm_text"),
+        *[f"_also_{k}" for k in range(len(also))],
     )
-    columns = ["_id", "text_sha256", "_own_rank", "_rank", "group_size"]
+    columns = ["_id", "text_sha256", "_own_rank", "_rank", "group_size", *[f"_also_{k}" for k in range(len(also))]]
     found = members.join(single, "_digest").select(*columns)
     if not several.isEmpty():
         clashing = members.withColumnRenamed("_norm_text", "_norm").join(several, ["_digest", "_norm"])
@@ -102,6 +107,7 @@ def classes(
         "group_size",
         (F.col("_own_rank") == F.col("_rank")).alias("kept"),
         "text_sha256",
+        *[F.col(f"_also_{k}").alias(c) for k, c in enumerate(also)],
     )
 
 

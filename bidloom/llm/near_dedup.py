@@ -90,7 +90,7 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     # the whole sequence of a short text differs from any shingle of full width by its length
     total = len(words)
     rolled = np.full(total, U64(width))
-    for k in range(width):
+    for k in range(min(width, total)):
         rolled[: total - k] = mix(rolled[: total - k] * U64(0x9FB21C651E98DF25) + words[k:])
     sets, ends = [], [0]
     for row in range(len(per_row)):

@@ -41,3 +41,19 @@ def test_stages_take_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, SF_DIR).collect()
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def test_stages_judge_rows_not_ids(spark):
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    long = " ".join(f"w{k}" for k in range(60))
+    texts = [(None, "one"), (5, "one"), (None, "alone"), (6, "same"), (6, "same"), (6, "other"), (None, long), (9, long + " x"), (9, "apart")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], kind).repartition(3)
+    exact = corpus_pipeline.drop_exact(spark, docs, SF_DIR).cache()
+    got = sorted((str(r.doc_id), r.text) for r in exact.collect())
+    assert got == sorted(
+        [("5", "one"), ("None", "alone"), ("6", "same"), ("6", "other"), ("None", long), ("9", long + " x"), ("9", "apart")]
+    )
+    near = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near(spark, exact, SF_DIR).collect())
+    assert near == [x for x in got if x != ("None", long)]
+    # nothing speaks against these: each row stays, whatever its id
+    assert corpus_pipeline.keep_quality(spark, docs, SF_DIR).count() == len(texts)
