@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from bidloom.llm import (
     bpe_trie,
+    collocations,
     exact_dedup,
     license_scan,
     line_windows,
     mixture,
     near_dedup,
     ordinal_quality,
+    periodic_runs,
     rule_filter,
     shards,
     suffix_levels,
+    super_kmers,
 )
 
 TOKENIZER = "word_bpe_49k.json"
@@ -96,6 +99,33 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by a digest of the id, with their last words made periodic."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, a, p = F.size("_words"), F.col("_a"), F.col("_p")
+    chosen = (h % 10 == 0) & (F.size(words) > 0)
+    marked = docs.withColumn("_words", F.when(chosen, words)).withColumn("_a", (g % n).cast("int"))
+    marked = marked.withColumn("_p", (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+    turned = F.transform("_words", lambda w, i: F.when(i < a, w).otherwise(F.get("_words", a + (i - a) % p)))
+    text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(turned, " "))
+    return marked.withColumn("text", text).drop("_words", "_a", "_p")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.collapse_runs(with_planted_runs(docs), texts=False).drop("n_words")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_kmers.remove_earlier_passages(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -109,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixture,
         op9_near_dedup,
         op10_license_scan,
+        op11_periodic_runs,
+        op12_collocations,
+        op13_substring_dedup,
     )
 }
 
@@ -209,4 +242,52 @@ ORACLES: dict[str, str] = {
                ((floor(rate) + (coin < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM c""".replace(
         "WORDS", _WORDS
     ),
+    "op12_collocations": r"""
+        WITH p AS (
+            SELECT row_number() OVER () AS piece, lang, words FROM (
+                SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS words FROM (
+                    SELECT coalesce(lang, 'und') AS lang,
+                           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                               'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                    FROM documents))),
+        n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM p GROUP BY lang),
+        g AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM p),
+        o AS (SELECT lang, k, words[i:i + k - 1] AS words FROM g, range(1, 6) AS t(k) WHERE i + k - 1 <= len(words)),
+        f AS (SELECT lang, k, words, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, words, k, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+        s AS (
+            SELECT c.lang, c.words, c.k, c.a, c.cut, x.f AS l, y.f AS r, n.n,
+                   (1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f) AS score
+            FROM c JOIN f x ON x.lang = c.lang AND x.words = c.words[1:c.cut]
+            JOIN f y ON y.lang = c.lang AND y.words = c.words[c.cut + 1:] JOIN n ON n.lang = c.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
+        i AS (
+            SELECT lang, words[j:j + m - 1] AS words, max(f) AS around
+            FROM (SELECT lang, words, f, k, unnest(range(2, k)) AS m FROM f WHERE k > 2), range(1, 5) AS t(j)
+            WHERE j + m - 1 <= k GROUP BY ALL),
+        r AS (
+            SELECT b.*, array_to_string(b.words, ' ') AS phrase
+            FROM b LEFT JOIN i ON i.lang = b.lang AND i.words = b.words
+            WHERE i.around IS NULL OR i.around < b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n, score::BIGINT AS score
+        FROM r QUALIFY rank <= 2000""",
+    "op13_substring_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(WORDS, lambda w: w <> '') AS words FROM documents),
+        s AS (
+            SELECT r, doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM d WHERE len(words) >= 50),
+        w AS (
+            SELECT r, i,
+                   coalesce(doc_id > min(doc_id) OVER same, FALSE)
+                       OR doc_id IS NULL AND min(doc_id) OVER same IS NOT NULL AS later
+            FROM s WINDOW same AS (PARTITION BY array_to_string(words[i:i + 49], ' '))),
+        p AS (SELECT r, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM d),
+        c AS (
+            SELECT p.r, p.i, word,
+                   coalesce(max(w.later::INT) OVER (PARTITION BY p.r ORDER BY p.i ROWS 49 PRECEDING), 0) AS gone
+            FROM p LEFT JOIN w ON w.r = p.r AND w.i = p.i)
+        SELECT d.doc_id, count(c.i) AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY c.i) FILTER (gone = 0), '')) AS kept_sha256
+        FROM d LEFT JOIN c ON c.r = d.r GROUP BY d.r, d.doc_id""".replace("WORDS", _WORDS),
 }

@@ -58,12 +58,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of spans ``[start, end)`` of one flat byte array."""
+    """Hashes of spans ``[start, end)`` of one flat array of bytes, or of 64-bit hashes taken as they are."""
 
     def __init__(self, data: np.ndarray) -> None:
         up, self._down = _powers.get(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=self._sums[1:])
+        np.cumsum((data if data.dtype == U64 else _TABLE[data]) * up[: len(data)], out=self._sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sums[end] - self._sums[start]) * self._down[start])
