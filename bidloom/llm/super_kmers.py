@@ -257,8 +257,10 @@ def remove_earlier_passages(
     )
     places = stage_table(rows.select("r1", "r2", "ord", "text").mapInArrow(_split(width, gram), _PLACES), "super-kmers")
     # a bucket of one id alone removes nothing; most of a corpus ends here
-    shared = places.groupBy("bucket").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high")
-    hits = stage_table(places.join(shared.select("bucket"), "bucket", "left_semi"), "super-kmer-hits")
+    spread = places.groupBy("bucket").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high")
+    # written, so that the join reads two plain sides and a hot bucket is split
+    shared = stage_table(spread.select("bucket"), "super-kmer-shared")
+    hits = stage_table(places.join(shared, "bucket", "left_semi"), "super-kmer-hits")
 
     named = ["bucket", "digest", "n"]
     variants = hits.groupBy(*named).agg(
@@ -267,7 +269,7 @@ def remove_earlier_passages(
         F.min_by(F.struct("r1", "r2", "start"), F.xxhash64("r1", "r2", "start")).alias("at"),
     )
     variants = stage_table(variants, "super-kmer-variants")
-    sizes = variants.groupBy("bucket").agg(F.count("*").alias("variants"))
+    sizes = stage_table(variants.groupBy("bucket").agg(F.count("*").alias("variants")), "super-kmer-sizes")
     salts = F.ceil(F.col("variants") / TOGETHER).cast("long")
     sized = variants.join(sizes, "bucket").withColumn("salts", salts)
     # the windows of a bucket's only super-k-mer occur where it does
