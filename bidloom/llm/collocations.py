@@ -14,54 +14,133 @@ occurrences that are left.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.llm.spans import U64, Hasher, flat, mix, slices, word_spans
 from bidloom.sources.staging import stage_table, stage_tables
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
+#: the bit set of frequent pairs has 2 ** BITS places: 8 MB
+BITS = 26
 #: rows of one language are ranked in this many parts first
 PARTS = 64
 
-#: characters that end a piece; space and tab part words
-BREAKS = ".,;:!?\x0a\x0b\x0c\x0d"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: bytes that end a piece; space and tab part words
+BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 UNKNOWN = "und"
 
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PLAIN = bytes.maketrans(_CAPITALS + BREAKS, _CAPITALS.lower() + b"\n" * len(BREAKS))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each piece that has a word, its words joined by one space."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            data, at = flat(batch.column("text"))
+            plain = data.tobytes().translate(_PLAIN)
+            found, row = [], []
+            for k in range(batch.num_rows):
+                # line ends are gone by then, so split() parts words at spaces and tabs alone
+                own = [b" ".join(w) for w in map(bytes.split, plain[at[k] : at[k + 1]].split(b"\n")) if w]
+                found += own
+                row += [k] * len(own)
+            lang = batch.column("lang").take(pa.array(row, pa.int32()))
+            yield pa.RecordBatch.from_arrays([lang, pa.array(found, pa.binary()).cast(pa.string())], ["lang", "text"])
+
 
 def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(piece, lang, words, copies): the distinct pieces of each language that have a word."""
-    plain = F.translate(
-        F.col(text_col).cast("string"), _CAPITALS + BREAKS + "\t", _CAPITALS.lower() + "\n" * len(BREAKS) + " "
-    )
+    """(piece, lang, text, copies): the distinct pieces of each language that have a word."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
-    cut = docs.select(lang.alias("lang"), F.explode(F.split(plain, "\n")).alias("text"))
-    cut = cut.select("lang", F.trim(F.regexp_replace("text", "  +", " ")).alias("text")).where("text <> ''")
+    rows = docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    cut = rows.mapInArrow(_cut, "lang string, text string")
     same = cut.groupBy("lang", "text").agg(F.count("*").alias("copies"))
-    return same.select(
-        F.monotonically_increasing_id().alias("piece"), "lang", F.split("text", " ").alias("words"), "copies"
-    )
+    return same.select(F.monotonically_increasing_id().alias("piece"), "lang", "text", "copies")
 
 
 def _counted(relation: DataFrame, least: int) -> DataFrame:
     return relation.groupBy("lang", "phrase").agg(F.sum("copies").alias("f")).where(F.col("f") >= least)
 
 
-def _pairs(parts: DataFrame, least: int) -> DataFrame:
-    """``R_2``: occurrences of pairs whose hash is frequent."""
-    adjacent = F.transform(
-        F.slice("words", 1, F.size("words") - 1),
-        lambda w, i: F.struct(i.alias("pos"), F.concat(w, F.lit(" "), F.get("words", i + 1)).alias("phrase")),
+class _Adjacent:
+    """Neighbouring words of the pieces of a batch: their row, place, bytes and a hash of both and the language."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.data, at = flat(batch.column("text"))
+        start, end, per_row = word_spans(self.data, at)
+        words = Hasher(self.data)(start, end)
+        row = np.repeat(np.arange(batch.num_rows), per_row)
+        first = np.flatnonzero(row[1:] == row[:-1])
+        self.row, self.start, self.end = row[first], start[first], end[first + 1]
+        self.pos = first - (np.cumsum(per_row) - per_row)[self.row]
+        lang = batch.column("lang_hash").to_numpy().view(U64)[self.row]
+        self.hash = mix(words[first] * U64(0xD6E8FEB86659FD93) + mix(words[first + 1] + lang))
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of pairs with their numbers of copies, equal ones of a slice added up."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            pairs = _Adjacent(batch)
+            value, inverse = np.unique(pairs.hash, return_inverse=True)
+            copies = np.zeros(len(value), np.int64)
+            np.add.at(copies, inverse, batch.column("copies").to_numpy()[pairs.row])
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(copies)], ["hash", "copies"])
+
+
+def _frequent_bits(frequent: DataFrame, bits: int) -> np.ndarray:
+    """A bit set of 2 ** ``bits`` places for the hashes; 64 places a row, so its size is bounded whatever their number."""
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    words = frequent.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")).alias("set")
     )
-    every = (
-        parts.where(F.size("words") > 1)
-        .select("piece", "lang", "copies", F.explode(adjacent).alias("at"))
-        .select("piece", "at.pos", "lang", "at.phrase", "copies", F.xxhash64("lang", "at.phrase").alias("hash"))
+    found = words.toArrow()
+    out = np.zeros(1 << (bits - 6), U64)
+    out[found.column("word").to_numpy()] = found.column("set").to_numpy().view(U64)
+    return out
+
+
+def _kept_pairs(shared, bits: int):
+    """The occurrences of pairs whose place in the bit set is taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                pairs = _Adjacent(batch)
+                place = pairs.hash >> U64(64 - bits)
+                own = np.flatnonzero((shared.value[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1))
+                rows, data = pa.array(pairs.row[own]), pairs.data.tobytes()
+                text = [data[a:b] for a, b in zip(pairs.start[own].tolist(), pairs.end[own].tolist(), strict=True)]
+                columns = [batch.column(c).take(rows) for c in ("piece", "lang", "copies")]
+                columns += [pa.array(pairs.pos[own].astype(np.int32)), pa.array(text, pa.binary()).cast(pa.string())]
+                columns.append(pa.array(pairs.hash[own].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, ["piece", "lang", "copies", "pos", "phrase", "hash"])
+
+    return run
+
+
+def _pairs(parts: DataFrame, least: int, bits: int) -> DataFrame:
+    """``R_2``: occurrences of pairs whose hash is frequent, written by piece and position.
+
+    Most occurrences fall to a bit set of fixed size before they move; where it
+    is too full to tell, they fall to the join behind it.
+    """
+    rows = parts.where(F.contains("text", F.lit(" "))).withColumn("lang_hash", F.xxhash64("lang"))
+    counts = rows.select("text", "lang_hash", "copies").mapInArrow(_count_pairs, "hash bigint, copies bigint")
+    frequent = stage_table(
+        counts.groupBy("hash").agg(F.sum("copies").alias("f")).where(F.col("f") >= least).select("hash"), "phrase-hashes"
     )
-    frequent = every.groupBy("hash").agg(F.sum("copies").alias("f")).where(F.col("f") >= least).select("hash")
-    return every.join(stage_table(frequent, "phrase-hashes"), "hash", "left_semi").drop("hash")
+    shared = parts.sparkSession.sparkContext.broadcast(_frequent_bits(frequent, bits))
+    kind = "piece bigint, lang string, copies bigint, pos int, phrase string, hash bigint"
+    met = rows.mapInArrow(_kept_pairs(shared, bits), kind).join(frequent, "hash", "left_semi")
+    return _stored(met.select("piece", "pos", "lang", "phrase", "copies"), 2)
 
 
 def _stored(relation: DataFrame, k: int) -> DataFrame:
@@ -78,14 +157,19 @@ def _longer(relation: DataFrame, k: int) -> DataFrame:
 
 
 def frequent_phrases(
-    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text"
+    docs: DataFrame,
+    least: int = LEAST,
+    longest: int = LONGEST,
+    lang_col: str = "lang",
+    text_col: str = "text",
+    bits: int = BITS,
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of the phrases of up to ``longest`` words that occur ``least`` times, and (lang, n)."""
     parts = stage_table(pieces(docs, lang_col, text_col), "phrase-pieces")
-    totals = parts.groupBy("lang").agg(F.sum(F.size("words") * F.col("copies")).alias("n"))
-    words = parts.select("lang", "copies", F.explode("words").alias("phrase"))
+    totals = parts.groupBy("lang").agg(F.sum(F.size(F.split("text", " ")) * F.col("copies")).alias("n"))
+    words = parts.select("lang", "copies", F.explode(F.split("text", " ")).alias("phrase"))
     found = {1: _counted(words, least)}
-    relation = _stored(_pairs(parts, least), 2)
+    relation = _pairs(parts, least, bits)
     for k in range(2, longest + 1):
         if k > 2:
             relation = _stored(_longer(relation, k), k)

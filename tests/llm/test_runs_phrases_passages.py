@@ -143,8 +143,10 @@ def phrase_table(rows, least, longest, top):
     return sorted(ranked)
 
 
-@pytest.mark.parametrize("top", [2000, 7])
-def test_phrases_match_brute_force(spark, top):
+@pytest.mark.parametrize(("top", "bits"), [(2000, 26), (7, 6)])
+def test_phrases_match_brute_force(spark, monkeypatch, top, bits):
+    # six bits: every place is taken, and the join alone decides
+    monkeypatch.setattr(collocations.frequent_phrases, "__defaults__", (*collocations.frequent_phrases.__defaults__[:-1], bits))
     random.seed(11)
     letters = ["a", "B", "b", "é", "Ünd", "und", "日本", "x\xa0y", "c\x85", "$%", "\\", "to", "be"]
     seps = [" ", " ", " ", "  ", "\t", ", ", ".", "\n", "\x0b", "\r\n", ";", "!?"]
