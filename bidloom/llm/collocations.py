@@ -1,23 +1,27 @@
 """Collocations by set-oriented relational mining over sorted occurrence relations.
 
 Texts are cut into pieces at punctuation; equal pieces of a language become one
-row with its number of copies. ``R_k`` is the relation of all occurrences
-(piece, position, phrase) of phrases of k words that may be frequent, written in
-that order. ``R_k+1`` is the merge join of ``R_k`` with itself by piece and
-adjacent position; it is counted by phrase, and only occurrences of frequent
-phrases stay for the next length.
-
-Pairs are nearly all rare, so they are counted by hash first: a hash that does
-not reach the least count holds no frequent pair. Exact counts follow from the
-occurrences that are left.
+row with its number of copies. ``R_k`` is the relation of all occurrences (piece,
+position) of frequent phrases of k words, written in that order, the positions
+of a piece as one sorted list beside it. ``R_k+1`` is the merge join of ``R_k``
+with itself by piece and adjacent position: a piece lies in one row, so the join
+moves nothing. Its phrases are counted in groups, and only occurrences of
+frequent groups are stored for the next length.
+
+Which groups are frequent reaches the tasks as a bit set of hashes of fixed size.
+It lets none of their occurrences go; what it lets through besides, more of it the
+fuller it is, costs work and falls to its own exact count at the next length. Pairs, nearly all
+of them rare, are counted by hash before they are counted as phrases.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,95 +69,121 @@ def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
     return same.select(F.monotonically_increasing_id().alias("piece"), "lang", "text", "copies")
 
 
-def _counted(relation: DataFrame, least: int) -> DataFrame:
-    return relation.groupBy("lang", "phrase").agg(F.sum("copies").alias("f")).where(F.col("f") >= least)
-
-
-class _Adjacent:
-    """Neighbouring words of the pieces of a batch: their row, place, bytes and a hash of both and the language."""
+class _Words:
+    """The words of a batch of pieces: rows, places in their piece, bytes, and hashes of phrases from any of them."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         self.data, at = flat(batch.column("text"))
-        start, end, per_row = word_spans(self.data, at)
-        words = Hasher(self.data)(start, end)
-        row = np.repeat(np.arange(batch.num_rows), per_row)
-        first = np.flatnonzero(row[1:] == row[:-1])
-        self.row, self.start, self.end = row[first], start[first], end[first + 1]
-        self.pos = first - (np.cumsum(per_row) - per_row)[self.row]
-        lang = batch.column("lang_hash").to_numpy().view(U64)[self.row]
-        self.hash = mix(words[first] * U64(0xD6E8FEB86659FD93) + mix(words[first + 1] + lang))
+        self.start, self.end, self.per_row = word_spans(self.data, at)
+        self.first = np.cumsum(self.per_row) - self.per_row
+        self.row = np.repeat(np.arange(batch.num_rows), self.per_row)
+        self._hash = Hasher(self.data)(self.start, self.end)
+        self._lang = batch.column("lang_hash").to_numpy().view(U64)
+
+    def candidates(self, batch: pa.RecordBatch, k: int) -> np.ndarray:
+        """Words that begin two occurrences of ``k - 1`` words at adjacent positions of a piece."""
+        n = len(self.row)
+        if k == 2:
+            return np.flatnonzero(self.row[1:] == self.row[:-1])
+        known = batch.column("pos")
+        sizes = np.diff(known.offsets.to_numpy())
+        mark = np.zeros(n + 1, bool)
+        mark[np.repeat(self.first, sizes) + known.flatten().to_numpy()] = True
+        both = np.flatnonzero(mark[:-1] & mark[1:])
+        return both[self.row[both] == self.row[both + 1]]
+
+    def phrases(self, first: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the phrases of ``k`` words that begin at ``first``, apart for each language."""
+        value = mix(self._hash[first] + self._lang[self.row[first]])
+        for j in range(1, k):
+            value = mix(value * U64(0xD6E8FEB86659FD93) + self._hash[first + j])
+        return value
+
+
+def _taken(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the set."""
+    place = hashes >> U64(64 - (len(bits).bit_length() + 5))
+    return ((bits[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1)).astype(bool)
+
+
+def _bit_set(frequent: DataFrame, bits: int) -> Broadcast:
+    """A set of 2 ** ``bits`` places with those of ``hash`` taken; 64 places a row, so its size does not follow their number."""
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")
+    found = frequent.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.bit_or(mask).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), U64)
+    out[found.column("word").to_numpy()] = found.column("set").to_numpy().view(U64)
+    return frequent.sparkSession.sparkContext.broadcast(out)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of pairs with their numbers of copies, equal ones of a slice added up."""
     for whole in batches:
         for batch in slices(whole, "text"):
-            pairs = _Adjacent(batch)
-            value, inverse = np.unique(pairs.hash, return_inverse=True)
+            words = _Words(batch)
+            pairs = words.candidates(batch, 2)
+            value, inverse = np.unique(words.phrases(pairs, 2), return_inverse=True)
             copies = np.zeros(len(value), np.int64)
-            np.add.at(copies, inverse, batch.column("copies").to_numpy()[pairs.row])
+            np.add.at(copies, inverse, batch.column("copies").to_numpy()[words.row[pairs]])
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(copies)], ["hash", "copies"])
 
 
-def _frequent_bits(frequent: DataFrame, bits: int) -> np.ndarray:
-    """A bit set of 2 ** ``bits`` places for the hashes; 64 places a row, so its size is bounded whatever their number."""
-    place = F.shiftrightunsigned("hash", 64 - bits)
-    words = frequent.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")).alias("set")
-    )
-    found = words.toArrow()
-    out = np.zeros(1 << (bits - 6), U64)
-    out[found.column("word").to_numpy()] = found.column("set").to_numpy().view(U64)
-    return out
+def _phrase_hashes(k: int):
+    """The hash of each row's text, a phrase of ``k`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                words = _Words(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(words.phrases(words.first, k).view(np.int64))], ["hash"])
+
+    return run
 
 
-def _kept_pairs(shared, bits: int):
-    """The occurrences of pairs whose place in the bit set is taken."""
+def _grouped(k: int, shared: Broadcast | None):
+    """(lang, phrase, copies) of the candidates of ``k`` words, equal ones of a slice added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                pairs = _Adjacent(batch)
-                place = pairs.hash >> U64(64 - bits)
-                own = np.flatnonzero((shared.value[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1))
-                rows, data = pa.array(pairs.row[own]), pairs.data.tobytes()
-                text = [data[a:b] for a, b in zip(pairs.start[own].tolist(), pairs.end[own].tolist(), strict=True)]
-                columns = [batch.column(c).take(rows) for c in ("piece", "lang", "copies")]
-                columns += [pa.array(pairs.pos[own].astype(np.int32)), pa.array(text, pa.binary()).cast(pa.string())]
-                columns.append(pa.array(pairs.hash[own].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(columns, ["piece", "lang", "copies", "pos", "phrase", "hash"])
+                words = _Words(batch)
+                found = words.candidates(batch, k)
+                if shared is not None:
+                    found = found[_taken(shared.value, words.phrases(found, k))]
+                langs = batch.column("lang").to_pylist()
+                copies, data = batch.column("copies").to_numpy(), words.data.tobytes()
+                rows, counts = words.row[found].tolist(), defaultdict(int)
+                spans = zip(rows, words.start[found].tolist(), words.end[found + k - 1].tolist(), strict=True)
+                for row, a, b in spans:
+                    counts[langs[row], data[a:b]] += int(copies[row])
+                lang, phrase = zip(*counts, strict=True) if counts else ((), ())
+                columns = [pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string())]
+                columns.append(pa.array(list(counts.values()), pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "copies"])
 
     return run
 
 
-def _pairs(parts: DataFrame, least: int, bits: int) -> DataFrame:
-    """``R_2``: occurrences of pairs whose hash is frequent, written by piece and position.
-
-    Most occurrences fall to a bit set of fixed size before they move; where it
-    is too full to tell, they fall to the join behind it.
-    """
-    rows = parts.where(F.contains("text", F.lit(" "))).withColumn("lang_hash", F.xxhash64("lang"))
-    counts = rows.select("text", "lang_hash", "copies").mapInArrow(_count_pairs, "hash bigint, copies bigint")
-    frequent = stage_table(
-        counts.groupBy("hash").agg(F.sum("copies").alias("f")).where(F.col("f") >= least).select("hash"), "phrase-hashes"
-    )
-    shared = parts.sparkSession.sparkContext.broadcast(_frequent_bits(frequent, bits))
-    kind = "piece bigint, lang string, copies bigint, pos int, phrase string, hash bigint"
-    met = rows.mapInArrow(_kept_pairs(shared, bits), kind).join(frequent, "hash", "left_semi")
-    return _stored(met.select("piece", "pos", "lang", "phrase", "copies"), 2)
+_RELATION = "piece bigint, lang string, lang_hash bigint, copies bigint, text string, pos array<int>"
 
 
-def _stored(relation: DataFrame, k: int) -> DataFrame:
-    return stage_table(relation.sortWithinPartitions("piece", "pos"), f"phrases-{k}")
+def _kept(k: int, shared: Broadcast):
+    """``R_k``: pieces with the positions of their frequent phrases of ``k`` words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                words = _Words(batch)
+                found = words.candidates(batch, k)
+                found = found[_taken(shared.value, words.phrases(found, k))]
+                row, sizes = np.unique(words.row[found], return_counts=True)
+                pos = (found - words.first[words.row[found]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(pos))
+                names = ["piece", "lang", "lang_hash", "copies", "text"]
+                columns = [batch.column(c).take(pa.array(row)) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, lists], [*names, "pos"])
 
-def _longer(relation: DataFrame, k: int) -> DataFrame:
-    """Occurrences of ``k`` words: two of ``k - 1`` at adjacent positions of one piece."""
-    first = relation.select("piece", F.col("pos").alias("at"), "pos", "lang", "phrase", "copies")
-    second = relation.select("piece", (F.col("pos") - 1).alias("at"), F.substring_index("phrase", " ", -1).alias("last"))
-    return first.join(second, ["piece", "at"]).select(
-        "piece", "pos", "lang", F.concat("phrase", F.lit(" "), "last").alias("phrase"), "copies"
-    )
+    return run
 
 
 def frequent_phrases(
@@ -168,22 +198,30 @@ def frequent_phrases(
     parts = stage_table(pieces(docs, lang_col, text_col), "phrase-pieces")
     totals = parts.groupBy("lang").agg(F.sum(F.size(F.split("text", " ")) * F.col("copies")).alias("n"))
     words = parts.select("lang", "copies", F.explode(F.split("text", " ")).alias("phrase"))
-    found = {1: _counted(words, least)}
-    relation = _pairs(parts, least, bits)
+
+    def counted(groups: DataFrame) -> DataFrame:
+        return groups.groupBy("lang", "phrase").agg(F.sum("copies").alias("f")).where(F.col("f") >= least)
+
+    def hashes(counts: DataFrame, k: int) -> DataFrame:
+        rows = counts.select(F.xxhash64("lang").alias("lang_hash"), F.col("phrase").alias("text"))
+        return rows.mapInArrow(_phrase_hashes(k), "hash bigint")
+
+    found = stage_tables({"phrase-counts-1": counted(words), "phrase-totals": totals})
+    every = found["phrase-counts-1"].select("lang", "phrase", F.lit(1).alias("k"), "f")
+    relation = parts.where(F.contains("text", F.lit(" "))).withColumn("lang_hash", F.xxhash64("lang"))
+    columns = ["piece", "lang", "lang_hash", "copies", "text"]
+    pairs = relation.select(*columns).mapInArrow(_pair_counts, "hash bigint, copies bigint")
+    pairs = pairs.groupBy("hash").agg(F.sum("copies").alias("f")).where(F.col("f") >= least).select("hash")
+    likely = _bit_set(stage_table(pairs, "phrase-hashes"), bits)
     for k in range(2, longest + 1):
-        if k > 2:
-            relation = _stored(_longer(relation, k), k)
-        found[k] = stage_table(_counted(relation, least), f"phrase-counts-{k}")
-        if 2 < k < longest:
-            # the next length is made of frequent groups only
-            relation = relation.join(found[k].select("lang", "phrase"), ["lang", "phrase"], "left_semi")
-    one = stage_tables({"phrase-counts-1": found[1], "phrase-totals": totals})
-    found[1] = one["phrase-counts-1"]
-    every = None
-    for k, counts in found.items():
-        own = counts.select("lang", "phrase", F.lit(k).alias("k"), "f")
-        every = own if every is None else every.unionByName(own)
-    return every, one["phrase-totals"]
+        rows = relation.select(*columns, *(["pos"] if k > 2 else []))
+        groups = rows.mapInArrow(_grouped(k, likely if k == 2 else None), "lang string, phrase string, copies bigint")
+        counts = stage_table(counted(groups), f"phrase-counts-{k}")
+        every = every.unionByName(counts.select("lang", "phrase", F.lit(k).alias("k"), "f"))
+        if k < longest:
+            chosen = _bit_set(hashes(counts, k), bits)
+            relation = stage_table(rows.mapInArrow(_kept(k, chosen), _RELATION), f"phrases-{k}")
+    return every, found["phrase-totals"]
 
 
 def _first(k: Column) -> Column:

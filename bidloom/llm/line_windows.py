@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.llm.rows import numbered
 from bidloom.sources.staging import stage_table
 
 WIDTH = 3
@@ -44,19 +45,22 @@ def drop_repeated_lines(
     Returns the id, ``n_lines`` and ``n_removed`` (long), ``n_spans`` (long,
     maximal runs of removed lines) and ``kept_text``. A null text has no lines
     and stays null; an empty text is one empty line; a text with fewer lines
-    than ``width`` loses nothing. Ids should be unique and not null: rows that
-    repeat an id share their removed lines, and a null id counts as smaller
-    than any other, keeps its lines and is passed through. An empty table gives
-    no rows. Other columns are not read.
+    than ``width`` loses nothing. Rows are told apart by a number of their own:
+    of rows that repeat an id, a passage at the same line of several stays in all
+    of them. A null id is larger than any other, so its lines are the later ones.
+    An empty table gives no rows. Other columns are not read.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    lines = own.select("_id", F.split("_text", "\n").alias("_lines"))
+    rows, row = numbered(docs)
+    own = rows.select(
+        F.col(row).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")
+    )
+    lines = own.select("_row", "_id", F.split("_text", "\n").alias("_lines"))
     windows = (
-        lines.select("_id", F.explode(_window_hashes(F.col("_lines"), width)).alias("_w"))
-        .select("_id", "_w.at", "_w.h1", "_w.h2")
+        lines.select("_row", "_id", F.explode(_window_hashes(F.col("_lines"), width)).alias("_w"))
+        .select("_row", "_id", "_w.at", "_w.h1", "_w.h2")
     )
     # (id, line) as one number: the smallest place is then a hash aggregate
-    by_id = F.coalesce(F.col("_id").cast(_PLACE) + F.lit(str(2**63)).cast(_PLACE) + 1, F.lit(0).cast(_PLACE))
+    by_id = F.coalesce(F.col("_id").cast(_PLACE) + F.lit(str(2**63)).cast(_PLACE), F.lit(str(2**64)).cast(_PLACE))
     place = (by_id.cast(_PLACE) * F.lit(str(_SPAN)).cast(_PLACE) + F.col("at").cast(_PLACE)).cast(_PLACE)
     repeated = stage_table(
         windows.withColumn("_place", place)
@@ -70,10 +74,9 @@ def drop_repeated_lines(
         windows.withColumn("_place", place)
         .join(repeated, ["h1", "h2"])
         .where(F.col("_place") > F.col("_first"))
-        .where(F.col("_id").isNotNull())
     )
-    starts = later.groupBy("_id").agg(F.array_sort(F.collect_set("at")).alias("_starts"))
-    marked = own.join(starts, "_id", "left").select(
+    starts = later.groupBy("_row").agg(F.array_sort(F.collect_set("at")).alias("_starts"))
+    marked = own.join(starts, "_row", "left").select(
         "_id",
         F.split("_text", "\n").alias("_lines"),
         F.coalesce("_starts", F.array().cast("array<int>")).alias("_starts"),

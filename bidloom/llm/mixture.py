@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.llm.rows import free_names
 from bidloom.operators.ordering import row_positions
 from bidloom.sources.staging import stage_table
 
@@ -140,11 +141,12 @@ def emit(
     """
     sizes = docs.select(F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     sizes = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    of, target, size, times = free_names(docs.columns, "source", "target", "size", "times")
     table = stage_table(targets(sizes, weights, share, most), "mixture-targets").select(
-        F.col("source").alias("_mix_source"), F.col("target").alias("_mix_target"), F.col("source_size").alias("_mix_size")
+        F.col("source").alias(of), F.col("target").alias(target), F.col("source_size").alias(size)
     )
-    _, copies = _taken(docs[id_col].cast("long"), F.col("_mix_target"), F.col("_mix_size"), seed)
-    joined = docs.join(table, docs[source_col].cast("string").eqNullSafe(table["_mix_source"]))
-    taken = joined.withColumn("_mix_copies", copies).where("_mix_copies > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))
-    return taken.withColumn("_mix_copy", times).select(*[docs[c] for c in docs.columns])
+    _, copies = _taken(F.col(id_col).cast("long"), F.col(target), F.col(size), seed)
+    joined = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col(of)))
+    taken = joined.withColumn(times, copies).where(F.col(times) > 0)
+    each = F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))
+    return taken.withColumn(times, each).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.llm.components import components
+from bidloom.llm.rows import numbered
 from bidloom.llm.spans import LOWER, U64, Hasher, flat, grouped, mix, slices, word_spans
 from bidloom.sources.staging import stage_table
 
@@ -157,8 +158,8 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.tobytes())])
 
 
-def sketch(docs: DataFrame, width: int, parts: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, sig, bins) of every document."""
+def sketch(rows: DataFrame, width: int, parts: int) -> DataFrame:
+    """(id, doc, n, digest, sig, bins) of every row of (id, doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -172,16 +173,16 @@ def sketch(docs: DataFrame, width: int, parts: int, id_col: str, text_col: str)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
+                        batch.column("doc"),
                         pa.array(np.diff(ends), pa.int64()),
                         pa.array(digests, pa.binary()),
                         _binary(signatures(hashes, ends, parts)),
                         _binary(binned(hashes, ends)),
                     ],
-                    ["id", "n", "digest", "sig", "bins"],
+                    ["id", "doc", "n", "digest", "sig", "bins"],
                 )
 
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"cast(`{text_col}` as string) as text")
-    return rows.mapInArrow(run, "id bigint, n bigint, digest binary, sig binary, bins binary")
+    return rows.mapInArrow(run, "id bigint, doc bigint, n bigint, digest binary, sig binary, bins binary")
 
 
 def _keys_of(layout: Layout, which: list[int]):
@@ -340,7 +341,12 @@ class _Links:
 
 
 def near_components(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    width: int = 5,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    unique: bool = False,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept): near-duplicate components of all documents.
 
@@ -350,26 +356,33 @@ def near_components(
     linked, and ``component_id`` is the smallest id a document reaches, itself
     included; ``kept`` marks that document.
 
-    A null or blank text has an empty set and is linked with nothing. Ids should
-    be unique: rows that repeat an id share one component when their sets are
-    equal. A null id is passed through with a null component and kept. An empty
-    table gives no rows. Other columns are not read.
+    A null or blank text has an empty set and is linked with nothing. Rows are
+    told apart by a number of their own, so an id on several rows is several
+    documents, each judged by its text. A null id is never the smallest: a
+    component without any other id is null, and its rows are kept. With
+    ``unique`` the ids are known to be unique and not null, and stand for the
+    numbers. An empty table gives no rows. Other columns are not read.
 
     Finding: documents with equal sets form a class, its smallest id stands for
     it; classes are compared through the index of this module with the limits
     named there.
     """
     layout = Layout.covering(percent)
-    sketched = stage_table(sketch(docs, width, layout.parts, id_col, text_col), "near-sketches")
-    full = sketched.where("id is not null and n > 0")
-    classes = full.groupBy("digest").agg(F.min("id").alias("rep"))
+    kept, row = (docs, id_col) if unique else numbered(docs)
+    rows = kept.select(
+        F.col(row).cast("bigint").alias("id"), F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")
+    )
+    sketched = stage_table(sketch(rows, width, layout.parts), "near-sketches")
+    full = sketched.where("n > 0")
+    classes = full.groupBy("digest").agg(F.min("id").alias("rep"), F.min("doc").alias("low"))
+    classes = classes.select(F.col("digest").alias("_d"), "rep", "low")
     reps = stage_table(
-        full.join(classes.select(F.col("digest").alias("_d"), "rep"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")))
-        .select("rep", "sig", "bins", "digest", "n")
-        .dropDuplicates(["rep"]),
+        full.join(classes, (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep"))).select(
+            "rep", "low", "sig", "bins", "digest", "n"
+        ),
         "near-classes",
     )
-    texts = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"cast(`{text_col}` as string) as text")
+    texts = rows.select("id", "text")
     links = _Links(texts, reps, width, percent)
     signed = reps.select("rep", "sig")
 
@@ -412,20 +425,23 @@ def near_components(
     laid = placed.repartition("key", "block", "probe").sortWithinPartitions("key", "block", "probe")
     links.confirm(laid.mapInArrow(_remaining(layout, percent), "a bigint, b bigint"))
 
-    named = links.rooted(reps.select("rep", "digest")).select("digest", F.col("root").alias("component_id"))
-    plain = sketched.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    named = links.rooted(reps.select("rep", "digest", "low"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = named.join(lowest, "root").select("digest", "component_id")
+    plain = sketched.select("doc", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    own = F.col("component_id")
     return plain.join(named, "digest", "left").select(
-        F.col("id").alias(id_col),
+        F.col("doc").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
-        .otherwise(F.lit(True))
-        .alias("kept"),
+        F.when(F.col("n") > 0, own).otherwise(F.col("doc")).alias("component_id"),
+        ((F.col("n") == 0) | own.isNull() | F.coalesce(F.col("doc") == own, F.lit(False))).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stands for its component, all columns kept."""
-    found = near_components(docs, width, percent, id_col, text_col)
-    gone = found.where("not kept").select(F.col(id_col).alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+    """Of each component the row with the smallest id, the first of equal ids, null behind every other; all columns kept."""
+    rows, row = numbered(docs)
+    groups = near_components(rows, width, percent, row, text_col, unique=True).select(row, "component_id")
+    first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("first")
+    kept = groups.join(rows.select(row, id_col), row).groupBy("component_id").agg(first).select(F.col("first.row").alias("_kept"))
+    return rows.join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,6 +25,8 @@ HEADS = (5, 7, 8)
 SAMPLE = 8000
 #: parts of the ratings that are held out in turn to find the cut
 FOLDS = 5
+#: gradient steps, their length, strength of the prior, and the share of good rows that the cut keeps
+ROUNDS, RATE, PRIOR, CLEAN = 300, 0.05, 25.0, 0.993
 
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".,;:!?")] = True
@@ -92,7 +94,7 @@ def evidence(number: np.ndarray, ends: np.ndarray, grade: np.ndarray, grades: in
     is exact enough for words in a handful of documents, where a mean grade is
     ruled by the lowest one. A feature of one row alone cannot be told from that row.
     """
-    of = grade[np.repeat(np.arange(len(grade)), np.diff(ends))]
+    of = np.repeat(grade.astype(np.int8), np.diff(ends))
     counts = [np.bincount(number[of == g], minlength=1 << bits).astype(np.float64) for g in range(grades)]
     sizes = np.bincount(grade, minlength=grades)
     best = np.zeros(1 << bits)
@@ -120,10 +122,11 @@ def _climb(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights of all features and thresholds; ``part`` is how much each row counts, 1 on average."""
     n = max(len(grade), 1)
-    rows = np.repeat(np.arange(len(grade)), np.diff(ends))
+    rows = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(ends))
     scale = evidence(number, ends, grade, grades, bits)
     used = np.flatnonzero(scale)
-    place = np.full(1 << bits, -1, np.int64)
+    # features are numbered densely; those without evidence are gone before anything is computed
+    place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
     own = place[number]
     own, rows = own[own >= 0], rows[own >= 0]
@@ -167,10 +170,10 @@ def fit_arrays(
     grade: np.ndarray,
     grades: int,
     bits: int = BITS,
-    rounds: int = 300,
-    rate: float = 0.05,
-    prior: float = 25.0,
-    clean: float = 0.993,
+    rounds: int = ROUNDS,
+    rate: float = RATE,
+    prior: float = PRIOR,
+    clean: float = CLEAN,
     part: np.ndarray | None = None,
     fold: np.ndarray | None = None,
 ) -> OrdinalModel:
@@ -185,21 +188,64 @@ def fit_arrays(
     """
     part = np.ones(len(grade)) if part is None else part / max(part.mean(), 1e-9)
     fold = np.arange(len(grade)) % FOLDS if fold is None else fold
-    sizes = np.diff(ends)
+    settings = (grades, bits, rounds, rate, prior)
     held = np.zeros(len(grade))
     for k in np.unique(fold):
-        out = fold == k
-        train = np.repeat(~out, sizes)
-        ends_in, ends_out = (np.concatenate(([0], np.cumsum(sizes[m]))) for m in (~out, out))
-        weights, _ = _climb(number[train], ends_in, grade[~out], part[~out], grades, bits, rounds, rate, prior)
-        held[out] = _sums(weights[number[~train]], ends_out)
+        held[fold == k] = _held_out(number, ends, grade, part, fold == k, *settings)
+    weights, thresholds = _climb(number, ends, grade, part, *settings)
+    return OrdinalModel(weights, thresholds, bits, _cuts(held, grade, grades, clean))
+
+
+def _held_out(number, ends, grade, part, out, grades, bits, *settings) -> np.ndarray:
+    """Scores of the rows ``out`` by a model of the others."""
+    sizes = np.diff(ends)
+    train = np.repeat(~out, sizes)
+    ends_in, ends_out = (np.concatenate(([0], np.cumsum(sizes[m]))) for m in (~out, out))
+    weights, _ = _climb(number[train], ends_in, grade[~out], part[~out], grades, bits, *settings)
+    return _sums(weights[number[~train]], ends_out)
+
+
+def _cuts(held: np.ndarray, grade: np.ndarray, grades: int, clean: float) -> np.ndarray:
     cuts = np.zeros(grades - 1)
     for g in range(1, grades):
         reached = np.sort(held[grade >= g])
         # from the first row that need not be lost; a score of 0 always stays
         cuts[g - 1] = min(reached[int((1 - clean) * len(reached))], 0.0) if len(reached) else 0.0
-    weights, thresholds = _climb(number, ends, grade, part, grades, bits, rounds, rate, prior)
-    return OrdinalModel(weights, thresholds, bits, cuts)
+    return cuts
+
+
+# kinds of rows that a fitting task returns
+_HELD, _WEIGHT, _THRESHOLD = range(3)
+_FITTED = "kind int, place bigint, value double"
+
+
+def _fit_part(grades: int, bits: int, stands_for: np.ndarray):
+    """One fold's held-out scores, or for the number behind the last fold the model of all rows."""
+    settings = (grades, bits, ROUNDS, RATE, PRIOR)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending")]).combine_chunks()
+        lists = table.column("number").combine_chunks()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        number, ends = lists.flatten().to_numpy(), ends - ends[0]
+        grade = table.column("grade").to_numpy().astype(np.int64)
+        part = stands_for[grade]
+        part = part / max(part.mean(), 1e-9)
+        fold = (mix(table.column("id").to_numpy().astype(U64)) % U64(FOLDS)).astype(np.int64)
+        k = key[0].as_py()
+        if k < FOLDS:
+            out = fold == k
+            rows = [(_HELD, grade[out], _held_out(number, ends, grade, part, out, *settings))]
+        else:
+            weights, thresholds = _climb(number, ends, grade, part, *settings)
+            used = np.flatnonzero(weights)
+            rows = [(_WEIGHT, used, weights[used]), (_THRESHOLD, np.arange(grades - 1), thresholds)]
+        kind = np.concatenate([np.full(len(a), name, np.int32) for name, a, _ in rows])
+        place = np.concatenate([a.astype(np.int64) for _, a, _ in rows])
+        value = np.concatenate([b.astype(np.float64) for *_, b in rows])
+        return pa.table({"kind": kind, "place": place, "value": value})
+
+    return run
 
 
 def rating(quality: Column, toxic: Column, toxic_null_as: int = 0) -> Column:
@@ -235,11 +281,12 @@ def fit(
 
     ``ratings`` has the id and ``grade`` (0 to ``grades`` - 1); null ids and
     grades are left out, an id rated more than once counts with its highest
-    grade, and documents repeated under one id count once each. Without any
+    grade, and of texts repeated under one id the smallest counts. Without any
     rated document every weight is 0.
 
-    The sample bounds what reaches the driver: sets of feature numbers, each of
-    at most 2 ** ``bits``.
+    The folds and the model of all rows are fitted in a task each, which holds
+    the sample: sets of feature numbers, one row for each id. The driver gets
+    weights, thresholds and one held-out score a row.
     """
     rated = (
         ratings.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull())
@@ -262,18 +309,19 @@ def fit(
                     [batch.column("_id"), batch.column("grade"), lists.cast(pa.list_(pa.int32()))], ["id", "grade", "number"]
                 )
 
-    # at most ``sample`` rows of two numbers
-    found = texts.join(F.broadcast(rated), "_id").mapInArrow(run, "id bigint, grade int, number array<int>")
-    table = found.toArrow().sort_by([("id", "ascending")]).combine_chunks()
-    if not table.num_rows:
-        none = np.zeros(1 << bits, np.float32)
-        return OrdinalModel(none, np.arange(grades - 1, dtype=np.float64), bits, np.zeros(grades - 1))
-    lists = table.column("number").combine_chunks()
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    grade = table.column("grade").to_numpy().astype(np.int64)
+    # at most ``sample`` rows of two numbers; then one row for each id, however often it repeats
+    sampled = texts.join(F.broadcast(rated), "_id").groupBy("_id", "grade").agg(F.min("text").alias("text"))
+    found = sampled.mapInArrow(run, "id bigint, grade int, number array<int>")
     stands_for = np.array([counts.get(g, 0) / max(quota.get(g, 0), 1) for g in range(grades)])
-    fold = (mix(table.column("id").to_numpy().astype(U64)) % U64(FOLDS)).astype(np.int64)
-    return fit_arrays(lists.flatten().to_numpy(), ends - ends[0], grade, grades, bits, part=stands_for[grade], fold=fold)
+    parts = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+    fitted = parts.groupBy("part").applyInArrow(_fit_part(grades, bits, stands_for), _FITTED).toArrow()
+    weights = np.zeros(1 << bits, np.float32)
+    if not fitted.num_rows:
+        return OrdinalModel(weights, np.arange(grades - 1, dtype=np.float64), bits, np.zeros(grades - 1))
+    kind, place, value = (fitted.column(c).to_numpy() for c in ("kind", "place", "value"))
+    weights[place[kind == _WEIGHT]] = value[kind == _WEIGHT]
+    thresholds = np.sort(value[kind == _THRESHOLD])
+    return OrdinalModel(weights, thresholds, bits, _cuts(value[kind == _HELD], place[kind == _HELD], grades, CLEAN))
 
 
 def grade_documents(

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.llm.spans import U64, Hasher, flat, grouped, mix, slices
+from bidloom.llm.rows import numbered
 from bidloom.sources.staging import stage_table
 
 LENGTH = 400
@@ -120,16 +121,21 @@ class Levels:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Index a batch; returns the keys of suffixes that meet another one, in it or in a level."""
-        run = stage_table(batch.repartition("key").sortWithinPartitions("key"), "suffix-level")
+        run = self._sorted(batch)
         seeds = self.scan(run)
         size = 0
         while size in self.tables:
-            merged = self.tables.pop(size).unionByName(run)
-            run = stage_table(merged.repartition("key").sortWithinPartitions("key"), "suffix-level")
+            run = self._sorted(self.tables.pop(size).unionByName(run))
             size += 1
         self.tables[size] = run
         return seeds
 
+    @staticmethod
+    def _sorted(suffixes: DataFrame) -> DataFrame:
+        """A written level in key order; a key that a third of all suffixes share spreads over ranges by place."""
+        order = ["key", "id", "pos"]
+        return stage_table(suffixes.repartitionByRange(*order).sortWithinPartitions(*order), "suffix-level")
+
     def scan(self, batch: DataFrame) -> DataFrame:
         """Merge a batch's keys with those of all levels; what comes together with another is a seed."""
         met = None
@@ -271,21 +277,24 @@ def remove_repeats(
     ``n_spans`` (maximal removed runs), ``kept_sha256`` and ``kept_bytes``
     (binary: a cut may fall inside a character).
 
-    A null text counts as empty. Ids must be unique; a null id is passed through
-    whole and not compared, since nothing could be told apart under it. An empty
-    table gives no rows. Other columns are not read. Equality of strings is that
+    A null text counts as empty. Rows are told apart by a number of their own:
+    rows that repeat an id and rows with a null id are documents like any other,
+    and two rows with one text repeat each other's strings. An empty table gives
+    no rows. Other columns are not read. Equality of strings is that
     of 64-bit hashes under one anchor.
 
     A passage that thousands of documents share is one row for each distinct
     surrounding before any text moves; the variants of one anchor are split over
     salts of about ``TOGETHER`` and their distinct windows meet in a second step.
     """
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"cast(`{text_col}` as string) as text")
-    named = rows.where("id is not null")
+    kept, row = numbered(docs)
+    rows = kept.select(
+        F.col(row).alias("id"), F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")
+    )
     family = Levels()
     seeds = None
     indexed = stage_table(
-        suffixes(named, length, core).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))), "suffixes"
+        suffixes(rows, length, core).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))), "suffixes"
     )
     for number in range(batches):
         met = family.add(indexed.where(F.col("batch") == number).drop("batch"))
@@ -308,7 +317,7 @@ def remove_repeats(
         "id", F.struct("key", "span", "pos", "lo", "hi").alias("seed")
     ).groupBy("id").agg(F.collect_list("seed").alias("seeds"))
     contexts = (
-        named.join(compared, "id")
+        rows.join(compared, "id")
         .select("text", "seeds")
         .mapInArrow(_cut_contexts(length), "key bigint, span bigint, lo int, hi int, context binary")
         .join(many, "key")
@@ -342,6 +351,6 @@ def remove_repeats(
         .agg(F.collect_set("run").alias("runs"))
     )
     nothing = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    cut = rows.join(runs, "id", "left").select("id", "text", F.coalesce("runs", nothing).alias("runs"))
+    cut = rows.join(runs, "id", "left").select(F.col("doc").alias("id"), "text", F.coalesce("runs", nothing).alias("runs"))
     kind = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary"
     return cut.mapInArrow(_cut_text, kind).withColumnRenamed("id", id_col)

@@ -105,8 +105,17 @@ def test_repeated_passages(spark, monkeypatch, together):
     assert len(found) == len(pairs) and got == expected_repeats(pairs, 60)
 
 
-def test_repeats_null_ids_and_empty(spark):
+def test_repeats_of_null_and_repeated_ids(spark):
     docs = table(spark, [(None, "a" * 500), (3, "b" * 399), (4, "b" * 399)])
     found = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_levels.remove_repeats(docs).collect()}
-    assert found == {None: (500, 0), 3: (399, 0), 4: (399, 0)}
+    assert found == {None: (500, 500), 3: (399, 0), 4: (399, 0)}
     assert suffix_levels.remove_repeats(docs.limit(0)).count() == 0
+    random.seed(4)
+    shared = "".join(random.choices("abcdefgh ", k=900))
+    alone = "".join(random.choices("abcdefgh ", k=1500))
+    texts = [(None, shared), (None, "x" + shared[200:800]), (7, shared[:450]), (7, alone + shared[100:700]), (7, alone), (8, "tiny")]
+    texts += [(5, "y" * 100 + shared[300:750])] * 40
+    expected = expected_repeats(list(enumerate(t for _, t in texts)), 400)
+    found = suffix_levels.remove_repeats(table(spark, texts)).collect()
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
+    assert got == Counter((i, *expected[k]) for k, (i, _) in enumerate(texts))

@@ -96,7 +96,18 @@ def test_line_windows(spark):
     assert len(found) == len(pairs) and got == expected_lines(pairs)
     assert line_windows.drop_repeated_lines(table(spark, pairs).limit(0)).count() == 0
     nulls = line_windows.drop_repeated_lines(table(spark, [(None, "a\nb\nc"), (1, "a\nb\nc")])).collect()
-    assert {r.doc_id: r.n_removed for r in nulls} == {None: 0, 1: 3}
+    assert {r.doc_id: r.n_removed for r in nulls} == {None: 3, 1: 0}
+
+
+def test_lines_of_two_texts_under_one_id(spark):
+    forty = "\n".join(f"line {k}" for k in range(40))
+    rows = [(1, forty), (2, forty), (2, "a\nb"), (2, "z\n" + forty), (None, forty), *[(9, "p\nq\nr")] * 1000]
+    found = line_windows.drop_repeated_lines(table(spark, rows)).collect()
+    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in found)
+    # the rows of id 9 have the passage at one place: it stays in all of them
+    assert got == Counter(
+        {(1, 40, 0, forty): 1, (2, 40, 40, ""): 1, (2, 2, 0, "a\nb"): 1, (2, 41, 40, "z"): 1, (None, 40, 40, ""): 1, (9, 3, 0, "p\nq\nr"): 1000}
+    )
 
 
 def test_line_windows_run_no_python(spark, capsys):

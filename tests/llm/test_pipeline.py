@@ -57,3 +57,23 @@ def test_stages_judge_rows_not_ids(spark):
     assert near == [x for x in got if x != ("None", long)]
     # nothing speaks against these: each row stays, whatever its id
     assert corpus_pipeline.keep_quality(spark, docs, SF_DIR).count() == len(texts)
+
+
+def test_stages_leave_columns_alone_that_they_might_use(spark, tmp_path):
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, _mix_row bigint, _mix_times int, _file string, `a.b` int"
+    rows = [(i, f"some words {i}", "en", "s", 7, 10 + i, 20 + i, "f", i) for i in range(30)]
+    plain = spark.createDataFrame(rows, kind).repartition(3)
+    plain.write.parquet(str(tmp_path / "t"))
+    for docs in (plain, spark.read.parquet(str(tmp_path / "t"))):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, SF_DIR)
+            assert got.columns == docs.columns
+            assert {tuple(r) for r in got.collect()} == set(rows)
+
+
+def test_one_row_many_times(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the same words again and again", "en", "s", 1)] * 1000, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(4).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert [stage(spark, docs, SF_DIR).count() for _, stage in corpus_pipeline.STAGES[:3]] == [1000, 1, 1]
+    assert 1000 <= corpus_pipeline.mix_sources(spark, docs, SF_DIR).count() <= 2000
