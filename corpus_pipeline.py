@@ -9,38 +9,36 @@ from pyspark.sql import functions as F
 
 from bidloom.llm import bpe_trie, exact_dedup, mixture, near_dedup, ordinal_quality
 from bidloom.llm.queries import rated, tokenizer_path
+from bidloom.llm.rows import numbered
 from bidloom.sources.staging import stage_table
 
-#: number of a row inside a stage
-ROW = "_pipeline_row"
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier expects to reach the highest grade; null ids are judged too."""
-    rows = _keyed(docs, "pipeline-quality-rows")
-    model = ordinal_quality.fit(rows, rated(spark, sf_dir))
-    kept = ordinal_quality.grade_documents(rows, model, id_col=ROW).where("kept")
-    return _only(rows, kept, docs.columns)
+    rows, row = numbered(docs)
+    model = ordinal_quality.fit(docs, rated(spark, sf_dir))
+    kept = ordinal_quality.grade_documents(rows, model, id_col=row).where("kept")
+    return _only(rows, kept, row, docs.columns)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row: the longest original, then the smallest id, null behind every other."""
-    rows = _keyed(docs, "pipeline-exact-rows")
-    best = exact_dedup.classes(rows, also=[ROW]).where("kept")
+    rows, row = numbered(docs)
+    best = exact_dedup.classes(rows, also=[row]).where("kept")
     # rows that repeat the best id and text tie
-    kept = best.groupBy("text_sha256").agg(F.min(ROW).alias(ROW))
-    return _only(rows, kept, docs.columns)
+    kept = best.groupBy("text_sha256").agg(F.min(row).alias(row))
+    return _only(rows, kept, row, docs.columns)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8 the row with the smallest id, null behind every other."""
-    rows = _keyed(docs, "pipeline-near-rows")
-    groups = near_dedup.near_components(rows, width=5, percent=80, id_col=ROW).select(ROW, "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
-    kept = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first).select(F.col(f"first.{ROW}"))
-    return _only(rows, kept, docs.columns)
+    rows, row = numbered(docs)
+    groups = near_dedup.near_components(rows, width=5, percent=80, id_col=row, unique=True).select(row, "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")
+    kept = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(first).select(F.col(f"first.{row}"))
+    return _only(rows, kept, row, docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +52,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
-def _keyed(docs: DataFrame, label: str) -> DataFrame:
-    """The rows with a number of their own, written, so that verdicts meet rows and not ids."""
-    return stage_table(docs.withColumn(ROW, F.monotonically_increasing_id()), label)
-
-
-def _only(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.join(kept.select(F.col(ROW).alias("_kept")), F.col(ROW) == F.col("_kept"), "left_semi").select(*columns)
+def _only(rows: DataFrame, kept: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    chosen = kept.select(F.col(row).alias(row + "_kept"))
+    return rows.join(chosen, F.col(row) == F.col(row + "_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in columns])
 
 
 STAGES: list[tuple[str, Stage]] = [
