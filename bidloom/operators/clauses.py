@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions.text import strip
+from bidloom.operators.names import with_organizations
 
 # Clause keywords, tag words and extraction patterns.
 CLAUSE_KEYWORDS = {
@@ -113,7 +114,7 @@ def percentages(text: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """Entity record; the name arrays stay empty without a language model."""
+    """Entity record. Organisations need a dictionary (``with_entities``); persons and places a language model."""
     none = F.array().cast("array<string>")
     return F.struct(
         dates(text).alias("dates"),
@@ -125,10 +126,23 @@ def entities(text: Column) -> Column:
     )
 
 
-def clause_table(df: DataFrame, text: str = "text") -> DataFrame:
-    """Segment, type, tag and extract; narrow, without a shuffle."""
+def with_entities(df: DataFrame, names: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Rows with dates, money, percentages and the organisations of a dictionary of names."""
+    body = F.col(text)
+    found = {"dates": dates(body), "money": money(body), "percentages": percentages(body)}
+    return with_organizations(df, names, keys, text).withColumns(found)
+
+
+def clause_table(
+    df: DataFrame, text: str = "text", names: DataFrame | None = None, keys: list[str] | None = None
+) -> DataFrame:
+    """Segment, type, tag and extract; narrow, without a shuffle.
+
+    With a table of ``names`` the organisations of each clause are filled, in one
+    join; ``keys`` tell the documents apart (``doc_id`` unless given).
+    """
     clause = F.col("clause_text")
-    return with_tags(with_type(segment(df, text))).withColumns(
+    table = with_tags(with_type(segment(df, text))).withColumns(
         {
             "dates": dates(clause),
             "money": money(clause),
@@ -136,10 +150,18 @@ def clause_table(df: DataFrame, text: str = "text") -> DataFrame:
             "organizations": F.array().cast("array<string>"),
         }
     )
+    if names is None:
+        return table
+    return with_organizations(table, names, [*(keys or ["doc_id"]), "clause_id"], "clause_text")
 
 
-def document_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """Headline facts of each document from its full text."""
+def document_features(
+    df: DataFrame, text: str = "text", names: DataFrame | None = None, keys: list[str] | None = None
+) -> DataFrame:
+    """Headline facts of each document from its full text; its vendor is the first of ``names`` in it."""
+    if names is not None:
+        named = with_organizations(df, names, keys or ["doc_id"], text)
+        df = named.withColumn("_vendor", F.get("organizations", F.lit(0))).drop("organizations")
 
     def found(word: str, pattern: str, group: int) -> Column:
         low = F.col("_low")
@@ -152,7 +174,7 @@ def document_features(df: DataFrame, text: str = "text") -> DataFrame:
         .withColumns(
             {
                 "contract_value": F.get("_money", F.lit(0)),
-                "vendor_name": F.lit(None).cast("string"),
+                "vendor_name": F.col("_vendor") if names is not None else F.lit(None).cast("string"),
                 "contract_date": F.get("_dates", F.lit(0)),
                 "delivery_date": F.get("_dates", F.lit(1)),
                 "payment_terms": F.concat(found("payment", PAYMENT_TERMS, 1), F.lit(" days")),
@@ -160,7 +182,7 @@ def document_features(df: DataFrame, text: str = "text") -> DataFrame:
                 "warranty_period": F.nullif(period, F.lit("")),
             }
         )
-        .drop(text, "_low", "_money", "_dates")
+        .drop(text, "_low", "_money", "_dates", "_vendor")
     )
 
 

@@ -38,7 +38,7 @@ def _period_end(day: Column, unit: str) -> Column:
     return F.last_day(F.add_months(F.trunc(day, unit), _MONTHS[unit] - 1))
 
 
-def _next_dates(last: Column, step: Column, freq: str) -> Column:
+def next_dates(last: Column, step: Column, freq: str) -> Column:
     if freq == "day":
         return F.date_add(last, step)
     if freq == "week":
@@ -126,9 +126,9 @@ def forecast(
         fitted = fitted.join(infer_frequency(df, series, ts), series, "left")
         dates = F
         for name in FREQUENCIES:
-            dates = dates.when(F.col("frequency") == name, _next_dates(F.col("_last_ts"), step, name))
+            dates = dates.when(F.col("frequency") == name, next_dates(F.col("_last_ts"), step, name))
     else:
-        dates = _next_dates(F.col("_last_ts"), step, freq)
+        dates = next_dates(F.col("_last_ts"), step, freq)
     return fitted.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods)))).select(
         series,
         "step",

@@ -37,22 +37,29 @@ def row_positions(df: DataFrame, order: list, out: str = "position", keys: list[
     return joined.withColumn(out, F.col(_OFFSET) + F.row_number().over(inside)).drop(_OFFSET, PARTITION_ID)
 
 
-def previous_value(df: DataFrame, value: str, order: list, out: str = "previous") -> DataFrame:
-    """Value of the row just before, in ``order`` over the whole table."""
-    laid = range_layout(df, order, "previous")
-    inside = Window.partitionBy(PARTITION_ID).orderBy(*order)
+def previous_value(
+    df: DataFrame, value: str, order: list, out: str = "previous", keys: list[str] | None = None
+) -> DataFrame:
+    """Value of the row just before, in ``order`` over the whole table or within ``keys``.
+
+    Rows are laid out in ranges of (keys, order), so a key that holds a third of
+    all rows is spread over many. What crosses a border is the last (keys, value)
+    of each range; it is passed on only while the key lasts. A null key is a key.
+    """
+    keys = keys or []
+    laid = range_layout(df, [*map(F.col, keys), *order], "previous")
+    inside = Window.partitionBy(PARTITION_ID).orderBy(*keys, *order)
+    before = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.col(value).alias("value"))
     # the last row of each range, found with a partial aggregate
-    marked = laid.withColumn("_rank", F.row_number().over(inside)).withColumn("_lag", F.lag(value).over(inside))
-    last = (
-        marked.groupBy(PARTITION_ID)
-        .agg(F.max(F.struct("_rank", value)).alias("_tail"))
-        .select(PARTITION_ID, F.col(f"_tail.{value}").alias("_tail"))
-    )
+    marked = laid.withColumn("_rank", F.row_number().over(inside)).withColumn("_lag", F.lag(before).over(inside))
+    last = marked.groupBy(PARTITION_ID).agg(F.max_by(before, "_rank").alias("_tail"))
     by_range = Window.partitionBy(F.lit(_ONE_GROUP)).orderBy(PARTITION_ID)
     carry = last.select(PARTITION_ID, F.lag("_tail").over(by_range).alias("_carry"))
     # one row per range: the size is bounded by the number of partitions
-    return (
-        marked.join(F.broadcast(carry), PARTITION_ID)
-        .withColumn(out, F.when(F.col("_rank") == 1, F.col("_carry")).otherwise(F.col("_lag")))
-        .drop("_rank", "_lag", "_carry", PARTITION_ID)
+    met = marked.join(F.broadcast(carry), PARTITION_ID).withColumn(
+        "_before", F.when(F.col("_rank") == 1, F.col("_carry")).otherwise(F.col("_lag"))
     )
+    found = F.col("_before.value")
+    for i, c in enumerate(keys):
+        found = F.when(F.col(f"_before.k{i}").eqNullSafe(F.col(c)), found)
+    return met.withColumn(out, found).drop("_rank", "_lag", "_carry", "_before", PARTITION_ID)

@@ -47,7 +47,7 @@ def _pieces(text: str, start: int, end: int, seps: list[str]) -> list[tuple[int,
 
 
 def chunk_spans(text: str, size: int, overlap: int, seps: list[str]) -> list[tuple[int, int]]:
-    """Character spans of the chunks; a piece no separator can cut stays whole.
+    """Character spans of the chunks; a piece no separator can cut is cut by length.
 
     Neighbouring pieces are contiguous, so a chunk is one span of the text.
     """
@@ -83,7 +83,8 @@ def chunk_spans(text: str, size: int, overlap: int, seps: list[str]) -> list[tup
             if left[1:]:
                 cut(*part, left[1:])
             else:
-                out.append(part)
+                for at in range(part[0], part[1], size):
+                    keep(at, min(at + size, part[1]))
         pack(run)
 
     if text:
@@ -281,16 +282,21 @@ def with_chunks(hits: DataFrame, chunks: DataFrame, vec_id: str = "vec_id") -> D
 # ---- context, sources, prompts --------------------------------------------------
 
 def pack_context(hits: DataFrame, question_id: str = "question_id", text: str = "chunk_text") -> DataFrame:
-    """'[filename]' blocks in rank order; a question has at most k of them."""
+    """'[filename]' blocks in rank order; a question has at most k hits.
+
+    Pieces of one hit follow one another by ``chunk_no``, where there is one.
+    """
     block = F.concat(F.lit("["), F.col("filename"), F.lit("]\n"), F.col(text))
-    ranked = F.sort_array(F.collect_list(F.struct("rank", block.alias("block"))))
+    place = F.col("chunk_no") if "chunk_no" in hits.columns else F.lit(None).cast("int")
+    ranked = F.sort_array(F.collect_list(F.struct("rank", place.alias("at"), block.alias("block"))))
     return hits.groupBy(question_id).agg(F.array_join(ranked.getField("block"), "\n\n").alias("context"))
 
 
 def source_list(hits: DataFrame, question_id: str = "question_id", text: str = "chunk_text") -> DataFrame:
     preview = F.concat(F.substring(text, 1, PREVIEW_CHARS), F.lit("..."))
+    at = ["chunk_no"] if "chunk_no" in hits.columns else []
     return hits.select(
-        question_id, "rank", "filename", "folder", preview.alias("content"), F.col("distance").alias("score")
+        question_id, "rank", *at, "filename", "folder", preview.alias("content"), F.col("distance").alias("score")
     )
 
 

@@ -1,23 +1,25 @@
 """Payment fraud: duplicates, price manipulation, collusion, payment patterns.
 
-Every group figure is a partial aggregate, written and then joined to the rows. No window runs over a business key, so a vendor or an amount that
-holds a third of all rows costs no more than any other.
+All group figures are partial sums of one aggregate over grouping sets, written
+and then joined to a narrow copy of the rows, which meets the wide rows once. No
+window runs over a business key, so a vendor or an amount that holds a third of
+all rows costs no more than any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidloom.functions.expr import clip, count_true, flag, has, label_list, nan_to_null, pct_over, points, require, round_scaled, share_pct
 from bidloom.operators.ordering import previous_value
 from bidloom.operators.recommend import Rule
 from bidloom.operators.scalars import with_scalars
-from bidloom.sources.staging import stage_tables
+from bidloom.sources.staging import exists, new_path, stage_table
 
 REQUIRED = ("transaction_id", "amount")
 KEY = "transaction_id"
@@ -45,8 +47,9 @@ DEFAULTS = FraudSettings()
 
 
 # ---- group figures ---------------------------------------------------------------
-# Each is a narrow aggregate of the input table with one row per group, written
-# by ``figures`` in concurrent jobs and joined to the rows afterwards.
+# All of them come from one aggregate over grouping sets: one scan, one shuffle of
+# partial sums, written with a folder for each set. A set's figures are then a
+# table of their own with its own measured size.
 
 
 def _round_thousand(name: str = "amount") -> Column:
@@ -61,69 +64,99 @@ def _digits(name: str) -> Column:
     return F.regexp_extract(F.col(name).cast("string"), r"(\d+)", 1).try_cast("bigint")
 
 
-def _sizes(df: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Sizes of the groups with more than one row; a lone row is 1 by rule."""
-    sizes = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(out))
-    return sizes.where(F.col(out) > 1)
-
-
-def _first_of_repeats(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row's position in each group with repeats; missing keys are equal."""
-    # the smallest of one column is a hash aggregate, of several a sort
-    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    groups = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
-    return groups.where(F.col("_n") > 1).drop("_n")
-
+EXACT = ["invoice_number", "vendor_id"]
+NEAR = ["amount_rounded", "vendor_id"]
+DAY = ["vendor_id", "invoice_date"]
+PRICE = ["similar_pricing_group", "item_category"]
+AMOUNT = ["rounded_amount"]
 
-def _category_baseline(df: DataFrame) -> DataFrame:
-    return (
-        df.dropna(subset=["item_category"])
-        .groupBy("item_category")
-        .agg(F.avg("unit_price").alias("category_avg_price"), F.stddev_samp("unit_price").alias("category_std_price"))
-    )
+#: keys of each set; "rounded_amount" is computed like "amount_rounded" and grouped under that name
+SETS = {
+    "exact": EXACT,
+    "near": NEAR,
+    "category": ["item_category"],
+    "day": DAY,
+    "vendor": ["vendor_id"],
+    "price": PRICE,
+    "amount": ["amount_rounded"],
+}
+_DERIVED = {"amount_rounded": _round_thousand, "similar_pricing_group": _price_group}
+_SET = "_set"
 
 
-def _vendor_figures(df: DataFrame) -> DataFrame:
+def _grouped(df: DataFrame, names: list[str], order: list[str]) -> DataFrame:
+    """Figures of all named sets with more than one row; a lone row is 1 by rule. Vendors and categories are all kept."""
+    keys = list(dict.fromkeys(c for name in names for c in SETS[name]))
+    derived = df.withColumns({c: make() for c, make in _DERIVED.items() if c in keys})
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    price = F.col("unit_price") if "category" in names else F.lit(None).cast("double")
+    narrow = derived.select(*keys, place.alias("_place"), price.alias("_price"))
+    figures_of = [
+        F.count("*").alias("_n"),
+        F.min("_place").alias("_first"),
+        F.avg("_price").alias("category_avg_price"),
+        F.stddev_samp("_price").alias("category_std_price"),
+    ]
+    sets = [[F.col(c) for c in SETS[name]] for name in names]
+    grouped = narrow.groupingSets(sets, *map(F.col, keys)).agg(F.grouping_id().alias("_gid"), *figures_of)
+    # a bit of the grouping id is set where a key is not in the set
+    bits = {name: sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in SETS[name]) for name in names}
+    which = F.lit(None).cast("string")
+    for name, gid in bits.items():
+        which = F.when(F.col("_gid") == gid, F.lit(name)).otherwise(which)
+    whole = F.col(_SET).isin("vendor", "category")
+    return grouped.withColumn(_SET, which).drop("_gid").where(whole | (F.col("_n") > 1))
+
+
+def _block_sizes(vendors: DataFrame) -> DataFrame:
     """Rows per vendor and per block of ten vendor numbers; the null vendor is kept for the totals."""
-    counts = df.groupBy("vendor_id").agg(F.count("*").alias("vendor_frequency"))
+    counts = vendors.select("vendor_id", F.col("_n").alias("vendor_frequency"))
     counts = counts.withColumn("_block", F.floor(_digits("vendor_id") / 10))
     blocks = counts.groupBy("_block").agg(F.sum("vendor_frequency").alias("vendor_block_rows"))
     return counts.join(blocks, "_block", "left").drop("_block")
 
 
-def _sequence_marks(df: DataFrame, order: list[str]) -> DataFrame:
-    """Keys of the rows whose invoice number is one away from that of the row before."""
-    base = df.select(*dict.fromkeys([KEY, *order]), _digits("invoice_number").alias("_number"))
-    before = previous_value(base, "_number", [F.col(c) for c in order], "_before")
+def _sequence_marks(df: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
+    """Keys of the rows whose invoice number is one away from that of the row before, overall or in its group."""
+    base = df.select(*dict.fromkeys([KEY, *order, *(within or [])]), _digits("invoice_number").alias("_number"))
+    before = previous_value(base, "_number", [F.col(c) for c in order], "_before", within)
     close = F.abs(F.col("_number") - F.col("_before")) == 1
     return before.where(close).select(KEY, F.lit(True).alias("sequential_invoices"))
 
 
-EXACT = ["invoice_number", "vendor_id"]
-NEAR = ["amount_rounded", "vendor_id"]
-DAY = ["vendor_id", "invoice_date"]
-PRICE = ["similar_pricing_group", "item_category"]
-AMOUNT = ["rounded_amount"]
-
-_FIGURES: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
-    "exact": lambda df, order: _first_of_repeats(df, EXACT, order),
-    "near": lambda df, order: _first_of_repeats(df.withColumn("amount_rounded", _round_thousand()), NEAR, order),
-    "category": lambda df, order: _category_baseline(df),
-    "day": lambda df, order: _sizes(df, DAY, "same_day_same_vendor"),
-    "vendor": lambda df, order: _vendor_figures(df),
-    "price": lambda df, order: _sizes(
-        df.withColumn("similar_pricing_group", _price_group()), PRICE, "same_price_count"
-    ),
-    "sequence": _sequence_marks,
-    "amount": lambda df, order: _sizes(
-        df.withColumn("rounded_amount", _round_thousand()), AMOUNT, "repeated_amount_count"
-    ),
-}
-
-
-def figures(df: DataFrame, names: list[str], order: list[str] | None = None) -> dict[str, DataFrame]:
-    """The named group figures of ``df`` as written tables."""
-    return stage_tables({name: _FIGURES[name](df, order or [KEY]) for name in names})
+def figures(
+    df: DataFrame, names: list[str], order: list[str] | None = None, within: list[str] | None = None
+) -> dict[str, DataFrame]:
+    """The named group figures of ``df`` as written tables; "sequence" is the marks of sequential invoices."""
+    order = order or [KEY]
+    sets = [name for name in names if name in SETS]
+    found: dict[str, DataFrame] = {}
+    if sets:
+        path = new_path(df.sparkSession, "fraud-figures")
+        grouped = _grouped(df, sets, order)
+        grouped.write.partitionBy(_SET).parquet(path)
+        kinds = {f.name: f for f in grouped.schema}
+        for name in sets:
+            columns = [*SETS[name], "_n", "_first", "category_avg_price", "category_std_price"]
+            kind, folder = T.StructType([kinds[c] for c in columns]), f"{path}/{_SET}={name}"
+            # a set without rows has no folder
+            there = exists(df.sparkSession, folder)
+            found[name] = df.sparkSession.read.schema(kind).parquet(folder) if there else df.sparkSession.createDataFrame([], kind)
+    out: dict[str, DataFrame] = {}
+    for name, own in found.items():
+        if name in ("exact", "near"):
+            out[name] = own.select(*SETS[name], "_first")
+        elif name == "category":
+            out[name] = own.dropna(subset=SETS[name]).select("item_category", "category_avg_price", "category_std_price")
+        elif name == "vendor":
+            out[name] = stage_table(_block_sizes(own), "vendor-blocks")
+        else:
+            size = {"day": "same_day_same_vendor", "price": "same_price_count", "amount": "repeated_amount_count"}[name]
+            own = own.dropna(subset=SETS[name]).select(*SETS[name], F.col("_n").alias(size))
+            out[name] = own.withColumnRenamed("amount_rounded", "rounded_amount")
+    if "sequence" in names:
+        out["sequence"] = stage_table(_sequence_marks(df, order, within), "sequence")
+    return out
 
 
 def _with_size(df: DataFrame, sizes: DataFrame, keys: list[str], out: str) -> DataFrame:
@@ -140,6 +173,19 @@ def _with_repeat(df: DataFrame, groups: DataFrame, keys: list[str], order: list[
 
 
 # ---- operators -------------------------------------------------------------------
+# Each has a part that joins figures and a part that only compares columns; the
+# whole chain runs the first parts on the narrow rows.
+
+def _join_duplicates(df: DataFrame, known: dict, order: list[str]) -> DataFrame:
+    out = df.withColumn("amount_rounded", _round_thousand())
+    out = _with_repeat(out, known["exact"], EXACT, order, "is_duplicate")
+    return _with_repeat(out, known["near"], NEAR, order, "is_near_duplicate")
+
+
+def _score_duplicates(out: DataFrame) -> DataFrame:
+    score = F.when(F.col("is_duplicate"), 100).when(F.col("is_near_duplicate"), 60).otherwise(0)
+    return out.withColumn("duplicate_score", score)
+
 
 def duplicates(df: DataFrame, order: list[str] | None = None, known: dict | None = None) -> DataFrame:
     """Exact repeats of (invoice, vendor) and near repeats of (rounded amount, vendor).
@@ -150,34 +196,26 @@ def duplicates(df: DataFrame, order: list[str] | None = None, known: dict | None
     df = nan_to_null(df)
     require(df, *REQUIRED, *EXACT)
     order = order or [KEY]
-    known = known or figures(df, ["exact", "near"], order)
-    out = df.withColumn("amount_rounded", _round_thousand())
-    out = _with_repeat(out, known["exact"], EXACT, order, "is_duplicate")
-    out = _with_repeat(out, known["near"], NEAR, order, "is_near_duplicate")
-    score = F.when(F.col("is_duplicate"), 100).when(F.col("is_near_duplicate"), 60).otherwise(0)
-    return out.withColumn("duplicate_score", score)
+    return _score_duplicates(_join_duplicates(df, known or figures(df, ["exact", "near"], order), order))
 
 
-def price_manipulation(df: DataFrame, s: FraudSettings = DEFAULTS, known: dict | None = None) -> DataFrame:
-    df = nan_to_null(df)
-    dated = has(df, "invoice_date")
-    known = known or figures(df, ["category", *(["day"] if dated else [])])
+def _join_prices(df: DataFrame, known: dict) -> DataFrame:
     out = df.join(known["category"], "item_category", "left")
+    return _with_size(out, known["day"], DAY, "same_day_same_vendor") if "day" in known else out
+
+
+def _score_prices(out: DataFrame, s: FraudSettings, dated: bool) -> DataFrame:
     deviation = pct_over(F.col("unit_price"), F.col("category_avg_price"))
-    threshold = F.col("approval_threshold") if has(df, "approval_threshold") else F.lit(s.approval_threshold)
+    threshold = F.col("approval_threshold") if has(out, "approval_threshold") else F.lit(s.approval_threshold)
     amount = F.col("amount")
     out = out.withColumns(
         {
             "price_deviation_pct": deviation,
             "price_manipulation_detected": flag(F.abs(deviation) > s.price_variance_pct),
             "just_below_threshold": flag((amount >= threshold * s.below_threshold_share) & (amount < threshold)),
+            "split_invoice_suspected": flag(F.col("same_day_same_vendor") > s.same_day_limit) if dated else F.lit(False),
         }
     )
-    if dated:
-        out = _with_size(out, known["day"], DAY, "same_day_same_vendor")
-        out = out.withColumn("split_invoice_suspected", flag(F.col("same_day_same_vendor") > s.same_day_limit))
-    else:
-        out = out.withColumn("split_invoice_suspected", F.lit(False))
     score = points(
         (F.col("price_manipulation_detected"), 40),
         (F.col("just_below_threshold"), 30),
@@ -186,6 +224,13 @@ def price_manipulation(df: DataFrame, s: FraudSettings = DEFAULTS, known: dict |
     return out.withColumn("price_manipulation_score", score)
 
 
+def price_manipulation(df: DataFrame, s: FraudSettings = DEFAULTS, known: dict | None = None) -> DataFrame:
+    df = nan_to_null(df)
+    dated = has(df, "invoice_date")
+    known = known or figures(df, ["category", *(["day"] if dated else [])])
+    return _score_prices(_join_prices(df, known), s, dated)
+
+
 def vendor_frequency(df: DataFrame, known: dict | None = None) -> DataFrame:
     """Rows per vendor against the even share, and rows per block of ten vendor numbers."""
     table = (known or figures(df, ["vendor"]))["vendor"]
@@ -195,19 +240,25 @@ def vendor_frequency(df: DataFrame, known: dict | None = None) -> DataFrame:
     return out.withColumn("frequency_variance", gap)
 
 
-def sequential_invoices(df: DataFrame, order: list[str] | None = None, known: dict | None = None) -> DataFrame:
-    """True where the invoice number is one away from that of the row before in ``order``."""
-    marks = (known or figures(df, ["sequence"], order))["sequence"]
+def sequential_invoices(
+    df: DataFrame, order: list[str] | None = None, known: dict | None = None, within: list[str] | None = None
+) -> DataFrame:
+    """True where the invoice number is one away from that of the row before in ``order``.
+
+    The row before is that of the whole table, or with ``within`` (for example
+    ``["vendor_id"]``) the one before in the same group.
+    """
+    marks = (known or figures(df, ["sequence"], order, within))["sequence"]
     return df.join(marks, KEY, "left").withColumn("sequential_invoices", flag(F.col("sequential_invoices")))
 
 
-def collusion(
-    df: DataFrame, s: FraudSettings = DEFAULTS, order: list[str] | None = None, known: dict | None = None
-) -> DataFrame:
-    known = known or figures(df, ["vendor", "price", "sequence"], order)
+def _join_collusion(df: DataFrame, known: dict, order: list[str] | None) -> DataFrame:
     out = vendor_frequency(df, known).withColumn("similar_pricing_group", _price_group())
     out = _with_size(out, known["price"], PRICE, "same_price_count")
-    out = sequential_invoices(out, order, known)
+    return sequential_invoices(out, order, known)
+
+
+def _score_collusion(out: DataFrame, s: FraudSettings) -> DataFrame:
     out = out.withColumns(
         {
             "similar_vendor_exists": flag(F.col("vendor_block_rows") > s.similar_vendor_limit),
@@ -222,18 +273,26 @@ def collusion(
     return out.withColumn("collusion_score", score)
 
 
-def payment_patterns(df: DataFrame, s: FraudSettings = DEFAULTS, known: dict | None = None) -> DataFrame:
-    known = known or figures(df, ["amount"])
-    out = df.withColumn("rounded_amount", _round_thousand())
-    out = _with_size(out, known["amount"], AMOUNT, "repeated_amount_count")
+def collusion(
+    df: DataFrame, s: FraudSettings = DEFAULTS, order: list[str] | None = None, known: dict | None = None
+) -> DataFrame:
+    known = known or figures(df, ["vendor", "price", "sequence"], order)
+    return _score_collusion(_join_collusion(df, known, order), s)
+
+
+def _join_amounts(df: DataFrame, known: dict) -> DataFrame:
+    return _with_size(df.withColumn("rounded_amount", _round_thousand()), known["amount"], AMOUNT, "repeated_amount_count")
+
+
+def _score_payments(out: DataFrame, s: FraudSettings) -> DataFrame:
     never = F.lit(False)
     delay = (
         F.datediff(F.to_date("payment_date"), F.to_date("invoice_date"))
-        if has(df, "payment_date", "invoice_date")
+        if has(out, "payment_date", "invoice_date")
         else F.lit(None).cast("int")
     )
-    hour = F.col("payment_hour") if has(df, "payment_hour") else None
-    cash = (F.col("payment_method") == "Cash") & (F.col("amount") > s.cash_limit) if has(df, "payment_method") else never
+    hour = F.col("payment_hour") if has(out, "payment_hour") else None
+    cash = (F.col("payment_method") == "Cash") & (F.col("amount") > s.cash_limit) if has(out, "payment_method") else never
     out = out.withColumns(
         {
             "payment_delay_days": delay,
@@ -252,6 +311,10 @@ def payment_patterns(df: DataFrame, s: FraudSettings = DEFAULTS, known: dict | N
     return out.withColumn("payment_pattern_score", score)
 
 
+def payment_patterns(df: DataFrame, s: FraudSettings = DEFAULTS, known: dict | None = None) -> DataFrame:
+    return _score_payments(_join_amounts(df, known or figures(df, ["amount"])), s)
+
+
 # Indicator names in order.
 INDICATORS = {
     "is_duplicate": "Duplicate Invoice",
@@ -300,13 +363,22 @@ def classify(df: DataFrame, s: FraudSettings = DEFAULTS) -> DataFrame:
 
 
 def analyze(df: DataFrame, s: FraudSettings = DEFAULTS, order: list[str] | None = None) -> DataFrame:
-    """The whole chain over group figures taken once from the input table."""
+    """The whole chain. Transaction ids are unique.
+
+    The figures come from one aggregate of the input. They are joined to the
+    narrow rows (ids and group keys), written, and joined to the wide rows once.
+    """
     df = nan_to_null(df)
-    names = [name for name in _FIGURES if name != "day" or has(df, "invoice_date")]
-    known = figures(df, names, order)
-    out = price_manipulation(duplicates(df, order, known), s, known)
-    out = payment_patterns(collusion(out, s, order, known), s, known)
-    return classify(score(out), s)
+    require(df, *REQUIRED, *EXACT)
+    order = order or [KEY]
+    dated = has(df, "invoice_date")
+    known = figures(df, [name for name in [*SETS, "sequence"] if name != "day" or dated], order)
+    keys = ["invoice_number", "vendor_id", "amount", "item_category", *(["invoice_date"] if dated else [])]
+    narrow = df.select(*dict.fromkeys([KEY, *order, *keys]))
+    joined = _join_amounts(_join_collusion(_join_prices(_join_duplicates(narrow, known, order), known), known, order), known)
+    added = stage_table(joined.select(KEY, *[c for c in joined.columns if c not in narrow.columns]), "fraud-marks")
+    out = _score_prices(_score_duplicates(df.join(added, KEY, "left")), s, dated)
+    return classify(score(_score_payments(_score_collusion(out, s), s)), s)
 
 
 def _most_common(counts: dict[str, str]) -> Column:

@@ -72,10 +72,29 @@ def vendor_scorecard(vendors: DataFrame, scores: DataFrame) -> DataFrame:
 UPDATED_FIELDS = ["status", "empanelment_tier", "registration_date"]
 
 
-def update_master(master: DataFrame, changes: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """New snapshot of the master: a given new value replaces the old one."""
+#: what orders the changes of one vendor
+CHANGE_ORDER = ["changed_at", "change_id"]
+
+
+def latest_changes(changes: DataFrame, fields: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """One row per vendor: of each field the last value given, as if the changes came one after another."""
+    place = F.struct(*[F.col(c) for c in order or CHANGE_ORDER])
+    given = [F.max_by(f, F.when(F.col(f).isNotNull(), place)).alias(f) for f in fields or UPDATED_FIELDS]
+    return changes.groupBy("vendor_id").agg(*given)
+
+
+def update_master(
+    master: DataFrame, changes: DataFrame, fields: list[str] | None = None, order: list[str] | None = None
+) -> DataFrame:
+    """New snapshot of the master: the last given new value replaces the old one.
+
+    Changes are ordered by ``order``, (timestamp, id) unless given; where the
+    table has no such columns a vendor has one change at most. Changes of
+    vendors that the master lacks have no effect, and no master row is doubled.
+    """
     fields = fields or UPDATED_FIELDS
-    fresh = changes.select("vendor_id", *[F.col(f).alias(f"_new_{f}") for f in fields])
+    order = [c for c in order or CHANGE_ORDER if c in changes.columns] or fields
+    fresh = latest_changes(changes, fields, order).select("vendor_id", *[F.col(f).alias(f"_new_{f}") for f in fields])
     joined = master.join(fresh, "vendor_id", "left")
     return joined.withColumns({f: F.coalesce(F.col(f"_new_{f}"), F.col(f)) for f in fields}).drop(
         *[f"_new_{f}" for f in fields]

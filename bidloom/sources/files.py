@@ -6,7 +6,7 @@ import datetime as dt
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,33 +16,117 @@ from bidloom.sources.staging import stage_table
 CORRUPT = "_corrupt_record"
 
 
+# What a line does to "inside quotes", by whether it begins outside or inside: a
+# quote opens at the start of a field only, and closes unless doubled.
+_QUOTED = r'[^"]*+(?:""[^"]*+)*+'
+_FIELDS = rf'(?:(?:"{_QUOTED}"[^,]*+|[^",][^,]*+|),)*+'
+_OPENS = rf'(?s)^{_FIELDS}"{_QUOTED}$'
+_STAYS = rf'(?s)^{_QUOTED}$'
+_CLOSES_AND_OPENS = rf'(?s)^{_QUOTED}"[^,]*+,{_FIELDS}"{_QUOTED}$'
+
+
+def _state(first: Column, fixed: Column, flips: Column) -> Column:
+    """Inside quotes after lines: the value of the last line that fixes it, or the first state, turned by the flips since."""
+    turned = F.when(fixed.isNull(), flips).otherwise(flips - fixed["flips"])
+    return F.coalesce(fixed["value"], first) != (turned % 2 == 1)
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, text): the records of CSV files, whose quoted fields may hold line breaks.
+
+    The files are read in splits, line by line. Each line maps outside and inside
+    of quotes to outside or inside; the maps are composed over the lines of a
+    split, then over the splits of a file (one row each), so the state at every
+    line is known without reading a file in one task. Lines that begin outside
+    begin a record. Only records of several lines are put together by a shuffle.
+
+    A record keeps its bytes, without the line end; ``first`` marks the first of
+    each file. A quote that is never closed makes the rest of its file one record.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+    )
+    has_quote = F.col("value").contains('"')
+    from_out = has_quote & F.col("value").rlike(_OPENS)
+    from_in = ~has_quote | F.col("value").rlike(_STAYS) | F.col("value").rlike(_CLOSES_AND_OPENS)
+    lines = stage_table(lines.withColumns({"_out": from_out, "_in": from_in}), "csv-lines")
+
+    # per line: a flip (outside and inside change places), a fixed end, or neither
+    flips = (F.col("_out") & ~F.col("_in")).cast("int")
+    own = Window.partitionBy("file", "block").orderBy("seq")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    marked = lines.withColumn("_flips", F.sum(flips).over(own))
+    fixed = F.when(F.col("_out") == F.col("_in"), F.struct(F.col("_out").alias("value"), F.col("_flips").alias("flips")))
+    marked = marked.withColumn("_fixed", fixed)
+    by_split = marked.groupBy("file", "block").agg(
+        F.max("_flips").alias("_flips"), F.max_by("_fixed", F.when(F.col("_fixed").isNotNull(), F.col("seq"))).alias("_fixed")
+    )
+    # the state and the last begun record at each split: over the splits of a file
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = by_split.withColumn("_all", F.sum("_flips").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    own_fixed = F.when(
+        F.col("_fixed").isNotNull(),
+        F.struct(F.col("_fixed.value").alias("value"), (F.col("_all") - F.col("_flips") + F.col("_fixed.flips")).alias("flips")),
+    )
+    totals = totals.withColumn("_own", own_fixed)
+    starts = totals.select(
+        "file", "block",
+        F.coalesce(
+            _state(F.lit(False), F.last("_own", True).over(earlier), F.coalesce(F.sum("_flips").over(earlier), F.lit(0))),
+            F.lit(False),
+        ).alias("_start"),
+        F.row_number().over(Window.partitionBy("file").orderBy("block")).alias("_nth"),
+    )
+    placed = marked.join(starts, ["file", "block"])
+    inside = _state(F.col("_start"), F.last("_fixed", True).over(before), F.coalesce(F.sum(flips).over(before), F.lit(0)))
+    placed = placed.withColumn("_begins", ~inside)
+    after = F.when(F.col("_begins"), F.col("_out")).otherwise(F.col("_in"))
+    first = (F.col("_nth") == 1) & (F.row_number().over(own) == 1)
+    placed = placed.select("file", "block", "seq", "value", "_begins", after.alias("_open"), first.alias("first"))
+    alone = placed.where("_begins and not _open").select("file", "first", "value")
+    rest = placed.where("not (_begins and not _open)")
+    # lines of a longer record go to its first line; a split that begins none passes on the one before it
+    latest = F.last(F.when(F.col("_begins"), F.struct("block", "seq")), True)
+    within = rest.withColumn("_head", latest.over(own))
+    heads = within.groupBy("file", "block").agg(F.max("_head").alias("_last"))
+    carried = heads.select("file", "block", F.last("_last", True).over(earlier).alias("_carried"))
+    joined = within.join(carried, ["file", "block"]).withColumn("_head", F.coalesce("_head", "_carried"))
+    long = joined.groupBy("file", "_head").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("block", "seq", "value"))).getField("value"), "\n").alias("value"),
+        F.bool_or("first").alias("first"),
+    )
+    whole = alone.unionByName(long.select("file", "first", "value"))
+    # byte by byte: what is not UTF-8 must not pass through a decoder here
+    return whole.select("file", "first", F.expr(r"trim(TRAILING '\r' FROM value)").alias("text"))
+
+
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Header CSV; a line that is not valid UTF-8 is read as Latin-1, in the same scan.
+    """Header CSV; quoted fields may hold line breaks, and a record that is not valid UTF-8 is read as Latin-1.
 
-    Every file begins with the same header line. Give a schema for large inputs;
-    without one the types are inferred, which reads the files an extra time. A line
-    that does not fit keeps its text in the corrupt-record column. Missing, empty
-    or row-less input is an error.
+    Every file begins with the same header. Give a schema for large inputs;
+    without one the types are inferred, which reads the files an extra time. A
+    record that does not fit keeps its text in the corrupt-record column; blank
+    records are skipped. Missing, empty or row-less input is an error.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    lines = spark.read.text(path)
-    first = lines.first()
-    if first is None:
+    records = csv_records(spark, path)
+    latin = F.decode(F.col("text").cast("binary"), "ISO-8859-1")
+    text = F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(latin)
+    body = stage_table(records.where((~F.col("first")) & (F.trim("text") != "")).select(text.alias("value")), "csv-records")
+    if body.isEmpty():
         raise ValueError(f"no rows in {path}")
     if schema is None:
-        kind = spark.read.option("header", True).option("inferSchema", True).csv(path).schema
+        reader = spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"')
+        kind = reader.csv(path).schema
     else:
         kind = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(latin)
-    body = lines.where((F.col("value") != first["value"]) & (F.trim("value") != "")).select(text.alias("value"))
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "multiLine": "true"}
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind)
-    df = body.select(F.from_csv("value", ddl, options).alias("row")).select("row.*")
-    if df.limit(1).count() == 0:
-        raise ValueError(f"no rows in {path}")
-    return df
+    return body.select(F.from_csv("value", ddl, options).alias("row")).select("row.*")
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -124,7 +208,8 @@ def write_result(df: DataFrame, path: str, form: str = "parquet") -> None:
     if form == "csv":
         nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")]
         flat = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
-        flat.write.option("header", True).csv(path)
+        # quotes are doubled, as csv_records and most other readers expect
+        flat.write.option("header", True).option("escape", '"').csv(path)
         return
     raise ValueError(f"unknown result format: {form}")
 

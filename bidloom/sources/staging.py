@@ -57,6 +57,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path of its own below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{_RUN.get()}/{label}-{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@ import datetime as dt
 
 import pytest
 
-from bidloom.operators import forecast
+from bidloom.operators import forecast, series_state
 
 
 def _series(spark, values, name="s"):
@@ -48,3 +48,25 @@ def test_short_series_and_bad_arguments(spark):
         forecast.forecast(df, 2, "other")
     with pytest.raises(ValueError):
         forecast.forecast(df.withColumn("ts", df.ts.cast("string")), 2)
+
+
+@pytest.mark.parametrize("method", forecast.METHODS)
+def test_states_grow_as_the_whole_series(spark, method):
+    data = [3, 9, 4, 4, 12, 7, 1, 30, 2.5, 8, 8, 41, 0, -3]
+    df = _series(spark, data).unionByName(_series(spark, data[::-1][:5], "t"))
+    cut = df.where("ts < date '2024-03-01'"), df.where("ts >= date '2024-03-01' and ts < date '2024-11-01'"), df.where("ts >= date '2024-11-01'")
+    state = series_state.summarize(cut[0])
+    for more in cut[1:]:
+        state = series_state.extend(state, more)
+    got = {(r.series_id, r.step): (r.forecast, r.ts, r.last_value) for r in series_state.forecast_from(state, 3, method).collect()}
+    want = {(r.series_id, r.step): (r.forecast, r.ts, r.last_value) for r in forecast.forecast(df, 3, method).collect()}
+    assert got.keys() == want.keys()
+    for key, (value, *rest) in want.items():
+        assert got[key][0] == pytest.approx(value, rel=1e-9, abs=1e-9) and list(got[key][1:]) == rest
+
+
+def test_points_that_come_late_are_an_error(spark):
+    df = _series(spark, [1, 2, 3, 4])
+    state = series_state.summarize(df)
+    with pytest.raises(Exception, match="before the stored ones"):
+        series_state.extend(state, df.where("ts = date '2024-04-30'")).collect()

@@ -42,6 +42,18 @@ def test_previous_value_crosses_range_borders(scored, parts):
     )
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_previous_value_within_keys(scored, parts):
+    # one key holds a third of all rows, so it spreads over ranges
+    keyed = scored.withColumn("k", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("k"), F.col("id") % 50)))
+    order = [F.col("score"), F.col("id")]
+    got = previous_value(keyed.repartition(parts, "number"), "number", order, "before", ["k"])
+    want = keyed.withColumn("before", F.lag("number").over(Window.partitionBy("k").orderBy(*order)))
+    assert sorted(map(tuple, got.select("id", "before").fillna(-1).collect())) == sorted(
+        map(tuple, want.select("id", "before").fillna(-1).collect())
+    )
+
+
 def test_ranges_are_really_several(spark, scored):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:

@@ -227,17 +227,45 @@ CTES["o_clauses"] = (
     + "FROM (SELECT *, lower(clause_text) AS low FROM (SELECT doc_id, unnest(pieces) AS clause_text, "
     + "unnest(range(1, len(pieces) + 1)) AS clause_id FROM o_pieces) a) b) c) d"
 )
+_TOKENS = r"list_filter(string_split_regex(lower({t}), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+
+
+def _found_names(keys: str, text: str, relation: str) -> str:
+    """Arrays of dictionary names: the longest of overlapping ones, by first place."""
+    return f"""
+  SELECT {keys}, list(name ORDER BY at) AS organizations FROM (
+    SELECT {keys}, name, min(at) AS at FROM (
+      SELECT {keys}, at, size, name, count(*) AS tokens FROM (
+        SELECT {keys}, token, arg_max(at, place) AS at, arg_max(size, place) AS size, arg_max(name, place) AS name FROM (
+          SELECT {keys}, at, size, name, size * 1000000 - at AS place, unnest(range(at, at + size)) AS token FROM (
+            SELECT {keys}, at, g.size, d.name FROM (
+              SELECT {keys}, at, size, array_to_string(tokens[at:at + size - 1], ' ') AS phrase FROM (
+                SELECT *, unnest(range(1, len(tokens) - size + 2)) AS at FROM (
+                  SELECT {keys}, {_on(_TOKENS, text)} AS tokens, unnest([1, 2, 3, 4, 5]) AS size FROM {relation}) a) b) g
+            JOIN (SELECT phrase, min(name) AS name FROM (
+                    SELECT name, array_to_string({_on(_TOKENS, 'name')}, ' ') AS phrase FROM v_names) p GROUP BY phrase) d
+              ON d.phrase = g.phrase) m) c GROUP BY {keys}, token) w
+      GROUP BY {keys}, at, size, name HAVING count(*) = size) k GROUP BY {keys}, name) f GROUP BY {keys}"""
+
+
+CTES["o_clause_names"] = _found_names("doc_id, clause_id", "clause_text", "o_clauses")
+CTES["o_doc_names"] = _found_names("doc_id", "text", "v_contract_docs")
+CTES["o_named_clauses"] = (
+    "SELECT c.* EXCLUDE (organizations), coalesce(n.organizations, []) AS organizations "
+    "FROM o_clauses c LEFT JOIN o_clause_names n ON n.doc_id = c.doc_id AND n.clause_id = c.clause_id"
+)
 CTES["o_entities"] = (
     f"SELECT doc_id, {_on(MONEY, 'text')} AS money, {_on(DATES, 'text')} AS dates, "
-    f"{_on(PERCENTS, 'text')} AS percentages, CAST([] AS VARCHAR[]) AS organizations FROM v_contract_docs"
+    f"{_on(PERCENTS, 'text')} AS percentages, coalesce(organizations, []) AS organizations "
+    "FROM v_contract_docs LEFT JOIN o_doc_names USING (doc_id)"
 )
 CTES["o_features"] = (
-    f"SELECT doc_id, {_on(MONEY, 'text')}[1] AS contract_value, CAST(NULL AS VARCHAR) AS vendor_name, "
+    f"SELECT doc_id, {_on(MONEY, 'text')}[1] AS contract_value, organizations[1] AS vendor_name, "
     f"{_on(DATES, 'text')}[1] AS contract_date, {_on(DATES, 'text')}[2] AS delivery_date, "
     r"nullif(regexp_extract(lower(text), 'payment.*?(\d+)\s*days', 1), '') || ' days' AS payment_terms, "
     r"nullif(regexp_extract(lower(text), 'penalty.*?([\d.]+)\s*%', 1), '') || '%' AS penalty_clause, "
     r"nullif(regexp_extract(lower(text), 'warranty.*?(\d+)\s*(month|year)', 1), '') || ' ' || "
-    r"regexp_extract(lower(text), 'warranty.*?(\d+)\s*(month|year)', 2) AS warranty_period FROM v_contract_docs"
+    r"regexp_extract(lower(text), 'warranty.*?(\d+)\s*(month|year)', 2) AS warranty_period FROM v_contract_docs LEFT JOIN o_doc_names USING (doc_id)"
 )
 
 # ---- approval ----------------------------------------------------------------------

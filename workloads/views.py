@@ -167,7 +167,12 @@ VIEWS = {
         SELECT o_orderkey AS doc_id,
                'Contract ' || cast(o_orderkey AS string) || ' dated ' || lpad(cast(day(o_orderdate) AS string), 2, '0')
                || '-' || lpad(cast(month(o_orderdate) AS string), 2, '0') || '-' || cast(year(o_orderdate) AS string)
-               || ' covers supply and installation work.' || chr(10)
+               || ' covers supply and installation work'
+               || CASE o_orderkey % 5 WHEN 1 THEN ' by Supplier#' || lpad(cast(o_custkey % 12 AS string), 9, '0')
+                    WHEN 2 THEN ' by SUPPLIER ' || lpad(cast(o_custkey % 12 AS string), 9, '0') || ' Trading Company for Supplier#'
+                         || lpad(cast(o_custkey % 7 AS string), 9, '0')
+                    WHEN 3 THEN ' by Supplier#999999999' ELSE '' END
+               || '.' || chr(10)
                || CASE o_orderkey % 4 WHEN 0 THEN 'Contract value is INR ' WHEN 1 THEN 'Total value: ₹'
                     WHEN 2 THEN 'The price is Rs. ' ELSE 'No price is fixed for lot ' END
                || cast(cast(floor(o_totalprice) AS bigint) AS string) || ',00,000.00 in full. '
@@ -182,6 +187,10 @@ VIEWS = {
                || CASE WHEN o_orderkey % 6 = 0 THEN 'Parties keep records..' ELSE 'Any dispute goes to arbitration' END
                AS text
         FROM {orders}""",
+    "v_names": """
+        SELECT s_name AS name FROM {supplier}
+        UNION ALL SELECT s_name || ' Trading Company' FROM {supplier} WHERE s_suppkey % 2 = 0
+        UNION ALL SELECT 'Trading Company' FROM {supplier} WHERE s_suppkey = 1""",
     "v_messy": """
         SELECT o_orderkey AS row_id,
                CASE o_orderkey % 9
@@ -216,12 +225,6 @@ VIEWS = {
                cast(o_orderdate AS date) + cast(o_orderkey % 40 - 10 AS int) AS end_date
         FROM {orders}""",
     "v_text": "SELECT doc_id, source AS folder, text FROM {documents}",
-    # the table of vectors has one for each document: that of one piece of its text
-    "v_chunks": """
-        SELECT doc_id AS vec_id, source AS folder, 'doc' || cast(doc_id AS string) || '.txt' AS filename,
-               substring(text, cast(doc_id % greatest(1, ceil(length(text) / 1500e0)) AS int) * 1500 + 1, 1500)
-               AS chunk_text
-        FROM {documents}""",
     "v_drops": """
         SELECT 'drop/file' || cast(o_orderkey AS string)
                || CASE o_orderkey % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.XLSX' WHEN 2 THEN '.xls' WHEN 3 THEN '.pdf'
@@ -244,6 +247,21 @@ VIEWS = {
                cast((s_suppkey * 7) % 100 AS double) AS risk_score,
                cast(40 + (s_suppkey * 11) % 60 AS double) AS predicted_performance
         FROM {supplier}""",
+    "v_master_history": """
+        SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'V00003' ELSE 'V' || lpad(cast(o_custkey % 130 AS string), 5, '0') END
+                   AS vendor_id,
+               o_orderkey AS change_id, cast(o_orderdate AS date) AS changed_at,
+               CASE WHEN o_orderkey % 4 = 1 THEN 'APPROVED' WHEN o_orderkey % 4 = 2 THEN 'BLOCKED' ELSE NULL END AS status,
+               CASE WHEN o_orderkey % 5 < 3 THEN 'T' || cast(o_orderkey % 7 AS string) ELSE NULL END AS empanelment_tier,
+               CASE WHEN o_orderkey % 6 = 0 THEN cast(o_orderdate AS date) ELSE NULL END AS registration_date
+        FROM {orders}""",
+    "v_odd_csv": """
+        SELECT o_orderkey AS change_order_id, o_custkey AS contract_id, o_totalprice AS change_cost,
+               CASE o_orderkey % 7
+                    WHEN 0 THEN 'two' || chr(10) || 'lines, "quoted"' WHEN 1 THEN 'a 5" pipe' WHEN 2 THEN 'change_reason'
+                    WHEN 3 THEN chr(10) || ',' || chr(10) || chr(10) || 'x' WHEN 4 THEN '"' WHEN 5 THEN '5" of, pipe'
+                    ELSE o_orderpriority END AS change_reason
+        FROM {orders}""",
     "v_master_changes": """
         SELECT CASE WHEN s_acctbal > 0 THEN 'V' ELSE 'N' END || lpad(cast(s_suppkey AS string), 5, '0') AS vendor_id,
                CASE WHEN s_suppkey % 3 = 0 THEN 'APPROVED' ELSE NULL END AS status,
