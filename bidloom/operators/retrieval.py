@@ -46,8 +46,10 @@ def _pieces(text: str, start: int, end: int, seps: list[str]) -> list[tuple[int,
     return list(zip(cuts, cuts[1:] + [end], strict=True))
 
 
-def chunk_spans(text: str, size: int, overlap: int, seps: list[str]) -> list[tuple[int, int]]:
-    """Character spans of the chunks; a piece no separator can cut is cut by length.
+def chunk_spans(
+    text: str, size: int, overlap: int, seps: list[str], cut_long: bool = False
+) -> list[tuple[int, int]]:
+    """Character spans of the chunks; a piece no separator can cut stays whole, or with ``cut_long`` is cut by length.
 
     Neighbouring pieces are contiguous, so a chunk is one span of the text.
     """
@@ -82,9 +84,11 @@ def chunk_spans(text: str, size: int, overlap: int, seps: list[str]) -> list[tup
             run = []
             if left[1:]:
                 cut(*part, left[1:])
-            else:
+            elif cut_long:
                 for at in range(part[0], part[1], size):
                     keep(at, min(at + size, part[1]))
+            else:
+                out.append(part)
         pack(run)
 
     if text:
@@ -99,8 +103,12 @@ def chunk_documents(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     separators: list[str] | None = None,
+    cut_long: bool = False,
 ) -> DataFrame:
-    """(key, chunk_no, chunk_text) in document order, whole texts, streamed by batch."""
+    """(key, chunk_no, chunk_text) in document order, whole texts, streamed by batch.
+
+    With ``cut_long`` no chunk is longer than ``size``, so that k of them bound a context.
+    """
     seps = separators or SEPARATORS
     out = T.StructType(
         [
@@ -115,7 +123,7 @@ def chunk_documents(
         for batch in batches:
             keys, numbers, texts = [], [], []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, (start, end) in enumerate(chunk_spans(body or "", size, overlap, seps), 1):
+                for number, (start, end) in enumerate(chunk_spans(body or "", size, overlap, seps, cut_long), 1):
                     keys.append(doc)
                     numbers.append(number)
                     texts.append(body[start:end])

@@ -209,7 +209,8 @@ def write_result(df: DataFrame, path: str, form: str = "parquet") -> None:
         nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")]
         flat = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
         # quotes are doubled, as csv_records and most other readers expect
-        flat.write.option("header", True).option("escape", '"').csv(path)
+        options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        flat.write.options(**options).csv(path)
         return
     raise ValueError(f"unknown result format: {form}")
 

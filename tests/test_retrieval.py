@@ -131,3 +131,14 @@ def test_many_questions_and_the_approximate_form(spark):
     near = retrieval.nearest_chunks_lsh(chunks, questions, 3, width=16, tables=24, bits=6)
     found = {(r["question_id"], r["vec_id"]) for r in near.collect()}
     assert len(found & want) >= 0.9 * len(want)
+
+
+def test_pieces_no_separator_cuts_are_cut_by_length(spark):
+    texts = [(1, "x" * 3300), (2, "short. " * 5 + "y" * 250 + ". end"), (3, "a" * 99 + " " + "b" * 150)]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    out = retrieval.chunk_documents(df, size=100, overlap=20, cut_long=True).collect()
+    assert max(len(r["chunk_text"]) for r in out) <= 100
+    letters = lambda t: sorted(c for c in t if c not in " .")
+    for i, text in texts:
+        mine = "".join(r["chunk_text"] for r in out if r["doc_id"] == i)
+        assert set(letters(text)) == set(letters(mine)) and len(letters(mine)) >= len(letters(text))

@@ -161,7 +161,7 @@ add(
 def _answer_from_files(s, d):
     """Load, chunk, embed, index, search and prompt; the questions are the first sentences of every twentieth document."""
     corpus, _ = _written_corpus(s, d)
-    chunks = retrieval.chunk_documents(corpus, "source")
+    chunks = retrieval.chunk_documents(corpus, "source", cut_long=True)
     named = chunks.join(corpus.select("source", "folder", "filename"), "source")
     chunks = staging.stage_table(
         named.withColumn("vec_id", F.concat_ws("#", "folder", "filename", "chunk_no")), "chunks"
@@ -622,13 +622,20 @@ add(
     "(SELECT 1 AS slopes_at_rest, 0 AS out_of_range) a",
     lambda s, d: _logistic_at_rest(s, d),
 )
+
+def _net_quantities(s, d):
+    """Line items whose target follows from two of three columns."""
+    net = F.col("l_quantity") * (1 - F.col("l_discount"))
+    return _vendor_features(s, d).select("key", "l_quantity", "l_discount", "l_tax", net.alias("label"))
+
+
 add(
     "forest_regressor_check", "metric in_range:i",
-    # far above the mean alone (an R2 of 0), on rows it has not seen, and no better than perfect
+    # the target follows from the columns: far above the mean alone (an R2 of 0), on rows it has not seen
     "(SELECT unnest(['train_r2', 'test_r2', 'train_rmse', 'test_rmse']) AS metric, 1 AS in_range) a",
-    lambda s, d: models.train_model(_ols_items(s, d), "label", "item_id", "random_forest", "regression").metrics_table()
+    lambda s, d: models.train_model(_net_quantities(s, d), "label", "key", "random_forest", "regression").metrics_table()
     .where(F.col("metric").rlike("_(r2|rmse)$"))
-    .select("metric", F.when(F.col("metric").endswith("_r2"), F.col("value").between(0.6, 1))
+    .select("metric", F.when(F.col("metric").endswith("_r2"), F.col("value").between(0.8, 1))
             .otherwise(F.col("value") > 0).cast("int").alias("in_range")),
 )
 add(
@@ -667,9 +674,9 @@ add(
         F.count("*").alias("n_rows"),
         F.count_if(F.col("transaction_id") < 0).alias("n_planted"),
         F.count_if(~F.col("anomaly_score").between(-1, 0)).alias("out_of_range"),
-        # scores tie, so the flagged share stays at or below the contamination
-        F.avg(F.col("is_anomaly").cast("double")).between(0.02, 0.1).cast("int").alias("flag_share_ok"),
-        F.avg((F.col("anomaly_severity") == "high").cast("double")).between(0.01, 0.05).cast("int").alias("high_share_ok"),
+        # scores tie, so the shares are about the contamination and its half at most
+        F.avg(F.col("is_anomaly").cast("double")).between(0.02, 0.101).cast("int").alias("flag_share_ok"),
+        F.avg((F.col("anomaly_severity") == "high").cast("double")).between(0.01, 0.051).cast("int").alias("high_share_ok"),
         # every planted row is flagged, and all score below the mean of the others by a margin
         (F.bool_and((F.col("transaction_id") >= 0) | F.col("is_anomaly"))
          & (F.max(F.when(F.col("transaction_id") < 0, F.col("anomaly_score")))

@@ -233,19 +233,19 @@ _TOKENS = r"list_filter(string_split_regex(lower({t}), '[^\p{L}\p{N}]+'), lambda
 def _found_names(keys: str, text: str, relation: str) -> str:
     """Arrays of dictionary names: the longest of overlapping ones, by first place."""
     return f"""
-  SELECT {keys}, list(name ORDER BY at) AS organizations FROM (
-    SELECT {keys}, name, min(at) AS at FROM (
-      SELECT {keys}, at, size, name, count(*) AS tokens FROM (
-        SELECT {keys}, token, arg_max(at, place) AS at, arg_max(size, place) AS size, arg_max(name, place) AS name FROM (
-          SELECT {keys}, at, size, name, size * 1000000 - at AS place, unnest(range(at, at + size)) AS token FROM (
-            SELECT {keys}, at, g.size, d.name FROM (
-              SELECT {keys}, at, size, array_to_string(tokens[at:at + size - 1], ' ') AS phrase FROM (
-                SELECT *, unnest(range(1, len(tokens) - size + 2)) AS at FROM (
+  SELECT {keys}, list(name ORDER BY place) AS organizations FROM (
+    SELECT {keys}, name, min(at_token) AS place FROM (
+      SELECT {keys}, at_token, size, name, count(*) AS tokens FROM (
+        SELECT {keys}, token, arg_max(at_token, best) AS at_token, arg_max(size, best) AS size, arg_max(name, best) AS name FROM (
+          SELECT {keys}, at_token, size, name, size * 1000000 - at_token AS best, unnest(range(at_token, at_token + size)) AS token FROM (
+            SELECT {keys}, at_token, g.size, d.name FROM (
+              SELECT {keys}, at_token, size, array_to_string(tokens[at_token:at_token + size - 1], ' ') AS phrase FROM (
+                SELECT *, unnest(range(1, len(tokens) - size + 2)) AS at_token FROM (
                   SELECT {keys}, {_on(_TOKENS, text)} AS tokens, unnest([1, 2, 3, 4, 5]) AS size FROM {relation}) a) b) g
             JOIN (SELECT phrase, min(name) AS name FROM (
                     SELECT name, array_to_string({_on(_TOKENS, 'name')}, ' ') AS phrase FROM v_names) p GROUP BY phrase) d
               ON d.phrase = g.phrase) m) c GROUP BY {keys}, token) w
-      GROUP BY {keys}, at, size, name HAVING count(*) = size) k GROUP BY {keys}, name) f GROUP BY {keys}"""
+      GROUP BY {keys}, at_token, size, name HAVING count(*) = size) k GROUP BY {keys}, name) f GROUP BY {keys}"""
 
 
 CTES["o_clause_names"] = _found_names("doc_id, clause_id", "clause_text", "o_clauses")
