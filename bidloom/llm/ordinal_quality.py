@@ -7,7 +7,10 @@ ranks documents, and the probability of reaching a grade selects them.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import reduce
 
@@ -214,6 +217,14 @@ def _cuts(held: np.ndarray, grade: np.ndarray, grades: int, clean: float) -> np.
     return cuts
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on for the stages behind this one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # kinds of rows that a fitting task returns
 _HELD, _WEIGHT, _THRESHOLD = range(3)
 _FITTED = "kind int, place bigint, value double"
@@ -224,7 +235,12 @@ def _fit_part(grades: int, bits: int, stands_for: np.ndarray):
     settings = (grades, bits, ROUNDS, RATE, PRIOR)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending")]).combine_chunks()
+        try:
+            return fitted(key[0].as_py(), table.sort_by([("id", "ascending")]).combine_chunks())
+        finally:
+            _give_back()
+
+    def fitted(k: int, table: pa.Table) -> pa.Table:
         lists = table.column("number").combine_chunks()
         ends = lists.offsets.to_numpy().astype(np.int64)
         number, ends = lists.flatten().to_numpy(), ends - ends[0]
@@ -232,7 +248,6 @@ def _fit_part(grades: int, bits: int, stands_for: np.ndarray):
         part = stands_for[grade]
         part = part / max(part.mean(), 1e-9)
         fold = (mix(table.column("id").to_numpy().astype(U64)) % U64(FOLDS)).astype(np.int64)
-        k = key[0].as_py()
         if k < FOLDS:
             out = fold == k
             rows = [(_HELD, grade[out], _held_out(number, ends, grade, part, out, *settings))]
