@@ -98,3 +98,19 @@ def test_staged_tables_live_in_the_configured_folder(spark):
     assert table.inputFiles()[0].find("/bidloom/t-") > 0 and table.count() == 5
     both = staging.stage_tables({"a": spark.range(2), "b": spark.range(3)})
     assert (both["a"].count(), both["b"].count()) == (2, 3)
+
+
+def test_corpus_is_written_as_flat_files(spark, tmp_path):
+    text = "a \u20b9\r\nb"
+    rows = [("s1", "doc1", text), ("s1", "doc2", None), ("s 2", "doc1", "other"), ("s1", "doc1", "again"), (None, "doc3", "x")]
+    docs = spark.createDataFrame(rows, "folder string, name string, text string")
+    files.write_corpus(docs, str(tmp_path / "corpus"))
+    # a folder for each document costs the local file system more than its text
+    assert sorted(p.name for p in (tmp_path / "corpus").rglob("*") if p.is_dir()) == [
+        "folder=__HIVE_DEFAULT_PARTITION__", "folder=s 2", "folder=s1"]
+    found = {r["filename"] + "|" + r["folder"]: r["text"] for r in files.load_corpus(spark, str(tmp_path / "corpus")).collect()}
+    both = found.pop("name=doc1.txt|folder=s1")
+    assert sorted([text + "\n" + "again\n", "again\n" + text + "\n"]).count(both) == 1
+    assert {k.replace("%20", " "): v for k, v in found.items()} == {
+        "name=doc2.txt|folder=s1": "\n", "name=doc1.txt|folder=s 2": "other\n",
+        "name=doc3.txt|folder=__HIVE_DEFAULT_PARTITION__": "x\n"}
