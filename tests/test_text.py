@@ -103,3 +103,12 @@ def test_number_texts(spark):
     assert [r[0] for r in rows(big.select(formats.currency_compact(F.col("v")).alias("t")), "t")] == [
         "₹15.00L", "₹2.50K", "₹12.00",
     ]
+
+
+def test_number_texts_round_as_the_exact_value(spark):
+    # 0.045 and 31.785 lie off a tie that their product with 100 meets; 0.125 and 0.375 are ties
+    values = [0.045, 1.005, 0.285, 31.785, 0.125, 0.375, 4.035, 14.145, 0.145, 1234567.125, 0.995, 8.325, 0.015, 0.075]
+    values += [i / 1000 for i in range(5, 20000, 10)] + [i / 8 for i in range(64)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", formats.fixed_text(F.col("v"), 2).alias("t")).collect()
+    assert [(r["v"], r["t"]) for r in got] == [(r["v"], f"{r['v']:.2f}") for r in got]
