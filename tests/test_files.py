@@ -114,3 +114,10 @@ def test_corpus_is_written_as_flat_files(spark, tmp_path):
     assert {k.replace("%20", " "): v for k, v in found.items()} == {
         "name=doc2.txt|folder=s1": "\n", "name=doc1.txt|folder=s 2": "other\n",
         "name=doc3.txt|folder=__HIVE_DEFAULT_PARTITION__": "x\n"}
+
+
+def test_refused_sizes_round_ties_to_even(spark):
+    sizes = [64 * 2**20 + 2**17, 64 * 2**20 + 3 * 2**17, 60 * 2**20 + 1]
+    listing = spark.createDataFrame([(f"d/{n}.csv", n) for n in sizes], "path string, length bigint")
+    got = [r["reason"] for r in files.admission(listing).orderBy("length").collect()]
+    assert got == [f"File too large ({n / 2**20:.2f}MB). Maximum: 50MB" for n in sorted(sizes)]
