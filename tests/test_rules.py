@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from bidloom.operators import rules
+from bidloom.operators import recommend, rules
 
 
 def test_vendor_scores(spark):
@@ -77,3 +77,13 @@ def test_contract_rules(spark):
 def test_weights_must_sum_to_hundred():
     with pytest.raises(ValueError):
         rules.RuleSettings(weights={"quality_score": 50})
+
+
+def test_amounts_add_up_exactly(spark):
+    amounts = [1e15] + [0.01, 1e9 + 0.07] * 2000 + [-1e15, float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(amounts)], "id int, v double")
+    got = recommend.recommend(df.coalesce(1), [recommend.Rule("all", "High", "true", amount="v", id_col="id")]).first()
+    assert round(got["amount"], 2) == 2000000000160.0 and got["count"] == len(amounts)
+    # beyond what a decimal holds it is a plain sum
+    huge = spark.createDataFrame([(1, 1e300), (2, 1.0)], "id int, v double")
+    assert recommend.recommend(huge, [recommend.Rule("all", "High", "true", amount="v")]).first()["amount"] == 1e300
