@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from bidloom.operators import isolation, models
+from bidloom.sources import staging
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +103,18 @@ def test_forest_of_a_table_with_few_keys(spark):
     forest, size = isolation.fit_forest(rows, "key", ["a", "b"], n_trees=5)
     assert len(forest) == 5 and size == isolation.SAMPLE
     assert all((t["feature"] >= 0).any() for t in forest)
+
+
+def test_rows_of_one_partition_are_fitted_in_several(spark, monkeypatch):
+    written = []
+
+    def keep(df, label="stage"):
+        written.append(staging.stage_table(df, label))
+        return written[-1]
+
+    monkeypatch.setattr(models, "stage_table", keep)
+    rows_in_one = spark.range(0, 400_000, 1, 1).select(
+        F.col("id").alias("key"), F.rand(3).alias("x"), (F.rand(5) + F.col("id")).alias("label"))
+    fitted = models.train_model(rows_in_one, "label", "key", "linear_regression", "regression")
+    assert len(written[0].inputFiles()) > 1 and written[0].rdd.getNumPartitions() > 1
+    assert written[0].count() == 400_000 and fitted.features == ["x"]
