@@ -1,3 +1,4 @@
+import pyarrow as pa
 import random
 
 import numpy as np
@@ -142,3 +143,14 @@ def test_pieces_no_separator_cuts_are_cut_by_length(spark):
     for i, text in texts:
         mine = "".join(r["chunk_text"] for r in out if r["doc_id"] == i)
         assert set(letters(text)) == set(letters(mine)) and len(letters(mine)) >= len(letters(text))
+
+
+def test_chunks_are_returned_in_bounded_batches():
+    schema = pa.schema([("doc_id", pa.int64()), ("chunk_no", pa.int64()), ("chunk_text", pa.string())])
+    texts = ["A sentence of some words. " * 8000] * 20 + [None, "", "last."]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    found = list(retrieval._chunker(schema, 1500, 200, retrieval.SEPARATORS, False)(iter([batch])))
+    assert len(found) >= 4 and max(b.nbytes for b in found) < 2 * retrieval.BATCH_CHARS
+    spans = [retrieval.chunk_spans(t or "", 1500, 200, retrieval.SEPARATORS) for t in texts]
+    expected = [(d, n, texts[d][a:b]) for d, own in enumerate(spans) for n, (a, b) in enumerate(own, 1)]
+    assert [tuple(r.values()) for b in found for r in b.to_pylist()] == expected
