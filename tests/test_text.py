@@ -1,10 +1,12 @@
 import datetime as dt
+import random
+import re
 
 from conftest import rows
 from pyspark.sql import functions as F
 
 from bidloom.functions import formats, text
-from bidloom.operators import clauses, clean
+from bidloom.operators import clauses, clean, names
 
 
 def _texts(spark, values):
@@ -112,3 +114,49 @@ def test_number_texts_round_as_the_exact_value(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = df.select("v", formats.fixed_text(F.col("v"), 2).alias("t")).collect()
     assert [(r["v"], r["t"]) for r in got] == [(r["v"], f"{r['v']:.2f}") for r in got]
+
+
+def _by_hand(text, known):
+    """Names in a text: each token goes to the longest name over it, then the first; a name with all of its tokens stays."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    met = [(len(n), -i, " ".join(n)) for i in range(len(words)) for n in known if tuple(words[i : i + len(n)]) == n]
+    best = {t: max(m for m in met if -m[1] <= t < m[0] - m[1]) for m in met for t in range(-m[1], m[0] - m[1])}
+    return sorted((-at + 1, size, name) for size, at, name in set(met) if all(best[t] == (size, at, name) for t in range(-at, size - at)))
+
+
+def test_names_in_random_texts_move_once(spark):
+    random.seed(4)
+    words = [f"w{k}" for k in range(9)]
+    known = {tuple(random.choices(words[:5], k=random.randint(1, 4))) for _ in range(12)}
+    texts = [(k, random.choice([" ", "--", ". "]).join(random.choices(words, k=random.randint(0, 40)))) for k in range(60)]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    found = names.find_names(df, spark.createDataFrame([(" ".join(n),) for n in known], "name string"), ["doc_id"])
+    got = {k: [] for k, _ in texts}
+    for r in found.collect():
+        got[r.doc_id].append((r.at, r.size, r.name))
+    assert {k: sorted(v) for k, v in got.items()} == {k: _by_hand(text, known) for k, text in texts}
+    # what is found moves once, to its row, and texts are taken apart once
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(lower(") == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    exchanges = re.findall(r"Exchange hashpartitioning\(.*", found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])
+    assert len(exchanges) == 1
+
+
+def test_texts_stay_where_names_are_joined(spark):
+    known = spark.createDataFrame([("Acme",), ("Acme Ltd",)], "name string")
+    df = spark.createDataFrame([(1, "by ACME ltd. INR 5 on 1-2-2024, 3 %"), (2, None)], "doc_id int, text string")
+    for table, first in (
+        (clauses.with_entities(df, known, ["doc_id"]).drop("text"), (1, ["1-2-2024"], ["5"], ["3 %"], ["Acme Ltd"])),
+        (clauses.document_features(df, names=known).select("doc_id", "contract_value", "vendor_name"), (1, "5", "Acme Ltd")),
+    ):
+        assert tuple(table.orderBy("doc_id").first()) == first
+        join = table._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].split("Relation")[0]
+        # what comes to the join are the facts, not the text
+        columns = re.search(r"Project \[(.*)\]", join).group(1)
+        assert " AS " in columns and not re.search(r"(^|, )text#\d+(,|$)", columns)
+
+
+def test_clauses_are_segmented_once(spark):
+    pieces = clauses.segment(_texts(spark, ["A. b.  c", None, "", " . "]))
+    assert sorted(rows(pieces, "doc_id", "clause_id", "clause_text")) == [(0, 1, "A"), (0, 2, "b"), (0, 3, "c")]
+    assert pieces._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
