@@ -125,3 +125,22 @@ def test_index_grows_with_what_changed(spark, tmp_path):
     assert sorted(rows(corpus_index.read_index(spark, base), *columns)) == sorted(rows(full, *columns))
     again = corpus_index.update_index(base, spark.createDataFrame(after, kind))
     assert again.where("state <> 'same'").count() == 0 and corpus_index.read_index(spark, base).count() == full.count()
+
+
+def test_an_index_is_read_and_grown_without_moving_texts(spark, tmp_path):
+    base, kind = str(tmp_path), "source string, text string"
+    docs = [(f"{k:032d}", f"text number {k}. " * 20) for k in range(20000)]
+    corpus_index.update_index(base, spark.createDataFrame(docs, kind))
+    after = [(k, t + "changed") if n < 20 else (k, t) for n, (k, t) in enumerate(docs) if n != 30]
+    whole = spark.createDataFrame(after, kind)
+    # smaller than the manifest, larger than what changed
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")
+    try:
+        corpus_index.update_index(base, whole)
+        index = corpus_index.read_index(spark, base)
+        plan = index._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        got = sorted(rows(index, "source", "chunk_no", "chunk_text"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(rows(retrieval.chunk_documents(whole, "source"), "source", "chunk_no", "chunk_text"))
