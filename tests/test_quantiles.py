@@ -56,3 +56,17 @@ def test_whole_table(values):
 
 def test_empty_table_gives_nulls(values):
     assert list(group_quantiles(values.where("false"), "v", PROBS).first()) == [None] * 4
+
+
+def test_counted_values_are_sorted_once(spark):
+    df = spark.range(1000).selectExpr("id % 7 AS g", "cast(id % 50 AS double) AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = group_quantiles(df, "v", {"median": 0.5}, ["g"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the sort of the positions' window is also the join's
+    joined = [line for line in plan.splitlines() if "Sort [g#" in line and "_layout_part#" in line]
+    by_value = [line for line in joined if "_v#" in line]
+    assert len(by_value) == 1 and len(joined) == 3
