@@ -8,9 +8,11 @@ token from the nodes above, and words that share a prefix share that work. The
 tokens of a word are read back from its last node.
 
 The texts stay where Spark has them: a narrow map over the scan, without a
-shuffle. A task remembers the words it has met and starts afresh beyond
-``most_words``, so memory is bounded whatever the number of distinct words, and
-forgets them when it ends.
+shuffle. A task remembers the words it has met in two halves: when the newer one
+is full it becomes the older one, whose words move up as they are met again and
+are forgotten otherwise. So memory is bounded by ``most_words`` whatever the
+number of distinct words, and words that keep coming are encoded once. All are
+forgotten when the task ends.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from bidloom.llm.spans import slices
 
 END = "</w>"
-MOST_WORDS = 60_000
+MOST_WORDS = 240_000
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
@@ -116,14 +118,33 @@ class Trie:
         self.size = {i: len(vocabulary._bare(t)) for t, i in vocabulary.ids.items()}
         self.texts = {i: str(i) for i in vocabulary.names}
         self.to_letters = {b: letter for b, letter in enumerate(vocabulary.letters)}
+        self.ids: dict[str, str] = {}
+        self.names: dict[str, str] = {}
         self.clear()
 
     def clear(self) -> None:
         """Forget all words but the special tokens."""
+        self.age()
+        self.age()
+
+    def age(self) -> None:
+        """Forget the older half; the newer one takes its place and starts again with the special tokens."""
         special = self.vocabulary.special
-        self.ids: dict[str, str] = {mark: str(i) for mark, i in special.items()}
-        self.names: dict[str, str] = {mark: mark for mark in special}
-        self.counts: dict[str, int] = dict.fromkeys(special, 1)
+        self.older: tuple[dict[str, str], dict[str, str]] = self.ids, self.names
+        self.ids = {mark: str(i) for mark, i in special.items()}
+        self.names = {mark: mark for mark in special}
+
+    def recall(self, words: set[str]) -> None:
+        """Have the encodings of all these words in the newer half."""
+        new = words.difference(self.ids)
+        old_ids, old_names = self.older
+        met = [w for w in new if w in old_ids]
+        for word in met:
+            self.ids[word] = old_ids[word]
+            self.names[word] = old_names[word]
+        new.difference_update(met)
+        if new:
+            self.learn(new)
 
     def learn(self, words: set[str]) -> None:
         vocabulary, size = self.vocabulary, self.size
@@ -136,6 +157,7 @@ class Trie:
             plain = coded.isascii() and coded.isprintable()
             letters = coded if plain else coded.translate(self.to_letters)
             whole = len(letters)
+            closed = letters + END
             # nodes shared with the word before; a word's own end is a leaf of its own
             shared, most = 0, min(whole, len(before)) - 1
             while shared < most and coded[shared] == before[shared]:
@@ -143,9 +165,9 @@ class Trie:
             del last[shared + 1 :]
             for depth in range(shared + 1, whole + 1):
                 # the state: the suffix token that stays apart from the last token before it
-                end = END if depth == whole else ""
+                stop = depth if depth < whole else None
                 for start in range(depth - 1, max(depth - longest, 0) - 1, -1):
-                    token = token_of(letters[start:depth] + end)
+                    token = token_of(closed[start:stop])
                     if token is None:
                         continue
                     if not start:
@@ -155,7 +177,7 @@ class Trie:
                     if stays or stays is None and apart(left, token):
                         break
                 else:
-                    raise ValueError(f"no token ends {letters[:depth] + end!r}")
+                    raise ValueError(f"no token ends {closed[:stop]!r}")
                 last.append(token)
             tokens = []
             depth = whole
@@ -167,7 +189,6 @@ class Trie:
             word = coded if coded.isascii() else coded.encode("latin-1").decode("utf-8")
             self.ids[word] = " ".join([texts[t] for t in tokens])
             self.names[word] = " ".join([names[t] for t in tokens])
-            self.counts[word] = len(tokens)
             del last[whole:]
             before = coded
 
@@ -203,15 +224,14 @@ class Codec:
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
         """Ids joined by a space, decoded text and number of tokens of each text."""
-        if len(self.trie.ids) > self.most_words:
-            self.trie.clear()
+        if len(self.trie.ids) > self.most_words // 2:
+            self.trie.age()
         split = [pieces(t, self.vocabulary) if t else [] for t in texts]
-        new = set().union(*split).difference(self.trie.ids)
-        if new:
-            self.trie.learn(new)
-        ids, names, counts = (d.__getitem__ for d in (self.trie.ids, self.trie.names, self.trie.counts))
+        self.trie.recall(set().union(*split))
+        ids, names = self.trie.ids.__getitem__, self.trie.names.__getitem__
         for words in split:
-            yield " ".join(map(ids, words)), " ".join(map(names, words)), sum(map(counts, words))
+            coded = " ".join(map(ids, words))
+            yield coded, " ".join(map(names, words)), coded.count(" ") + (coded != "")
 
 
 @lru_cache(maxsize=1)

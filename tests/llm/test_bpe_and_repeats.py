@@ -59,6 +59,22 @@ def test_bpe_forgets_within_bounds():
     assert len(codec.trie.ids) <= 50 + 42
 
 
+def test_bpe_encodes_words_that_keep_coming_once(monkeypatch):
+    learned = Counter()
+    learn = bpe_trie.Trie.learn
+    monkeypatch.setattr(bpe_trie.Trie, "learn", lambda self, words: (learned.update(words), learn(self, words))[1])
+    random.seed(2)
+    usual = ["".join(random.choices("abcde", k=6)) for _ in range(20)]
+    texts = [" ".join(usual + ["".join(random.choices("fghij", k=9)) for _ in range(20)]) for _ in range(40)]
+    codec = bpe_trie.Codec(tokenizer_path(), most_words=120)
+    found = [x for t in texts for x in codec([t])]
+    assert {learned[w] for w in usual} == {1}
+    held = {*codec.trie.ids, *codec.trie.older[0]}
+    assert len(held) <= 120 + 2 * 42
+    learned.clear()
+    assert found == list(bpe_trie.Codec(tokenizer_path())(texts)) and set(learned.values()) == {1}
+
+
 def test_bpe_null_ids_and_empty(spark):
     rows = bpe_trie.encode_decode(table(spark, [(None, "a"), (1, "a"), (1, "a")]), tokenizer_path()).collect()
     assert sorted(map(str, (r.doc_id for r in rows))) == ["1", "1", "None"] and {r.n_tokens for r in rows} == {1}
