@@ -60,3 +60,28 @@ def test_more_asked_for_than_there_is(spark):
     assert by_cells(cells.search(cells.build_index(df, ring_rows=2), asked(df, "vec_id < 3"), k=20)) == flat(df, asked(df, "vec_id < 3"), 20)
     assert cells.nearest_by_cells(df.where("false"), asked(df)).count() == 0
     assert cells.nearest_by_cells(df, asked(df, "false")).count() == 0
+
+
+def test_a_question_moves_once_for_a_lot_of_rings(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(400, 8)).astype(np.float32)
+    df = vectors(spark, x)
+    expected = flat(df, asked(df), 4)
+    for rows, lots in ((10_000, 1), (40, 10)):
+        monkeypatch.setattr(cells, "LOT_ROWS", rows)
+        index = cells.build_index(df, ring_rows=8)
+        assert index.lots == lots and index.rings.count() > lots
+        assert by_cells(cells.search(index, asked(df), k=4)) == expected
+
+
+def test_bounds_keep_all_that_may_be_near():
+    rng = np.random.default_rng(8)
+    near, q = rng.normal(size=(200, 6)), rng.normal(size=(30, 6))
+    lost = rng.uniform(0, 0.3, 200)
+    away = np.sqrt(((q[:, None] - near[None]) ** 2).sum(axis=2))
+    for limit in (np.full(30, np.inf), np.where(np.arange(30) % 2, 1.5, np.inf), np.full(30, 0.0), np.full(30, 2.0)):
+        row, col, lower, upper, most = cells._candidates(q, limit, near, lost, 4)
+        expected = np.minimum(limit, np.partition(away + lost, 3, axis=1)[:, 3])
+        assert np.allclose(most, expected)
+        r, c = np.nonzero(np.maximum(away - lost, 0) <= expected[:, None])
+        assert set(zip(r, c)) == set(zip(row.tolist(), col.tolist()))
+        assert np.allclose(lower, np.maximum(away - lost, 0)[row, col]) and np.allclose(upper, (away + lost)[row, col])
