@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -121,3 +122,39 @@ def test_refused_sizes_round_ties_to_even(spark):
     listing = spark.createDataFrame([(f"d/{n}.csv", n) for n in sizes], "path string, length bigint")
     got = [r["reason"] for r in files.admission(listing).orderBy("length").collect()]
     assert got == [f"File too large ({n / 2**20:.2f}MB). Maximum: 50MB" for n in sorted(sizes)]
+
+
+def test_corpus_is_listed_and_read_as_by_sparks_reader(spark, tmp_path, monkeypatch):
+    names = ["a.txt", "sp ace.txt", "100%.txt", "%20.txt", "é ü.txt", "न.txt", "q?#.txt", "br[1]{2}.txt", "p+l,u;s@.txt", 'qu"o\'te|^`<>.txt',
+             "b\\s.txt", "no break.txt", "c\x85.txt", "_x=1.txt", "_skip.txt", ".hid", "w._COPYING_", "_metadata", "_metadata.txt", "empty.txt"]
+    for folder in ("s1", "s 2/deep/er", "_no", ".no", "_yes=1", "_metadata", "x._COPYING_"):
+        (tmp_path / "c" / folder).mkdir(parents=True)
+        for n, name in enumerate(names):
+            (tmp_path / "c" / folder / name).write_bytes(b"" if name == "empty.txt" else b"%d \xff\r\nx\n\xe2\x82\xac " % n + name.encode())
+    (tmp_path / "c" / "top.txt").write_text("﻿top")
+    (tmp_path / "c" / "s1" / "link").symlink_to(tmp_path / "c" / "top.txt")
+    (tmp_path / "c" / "s1" / "broken").symlink_to(tmp_path / "nothing")
+    path = str(tmp_path / "c")
+    as_bytes = lambda pairs: pairs.select("source", pairs.text.cast("binary"))
+    monkeypatch.setattr(files, "BATCH_BYTES", 50)
+    for given in (path, f"file:{path}", f"file://{path}/"):
+        expected = spark.read.option("recursiveFileLookup", True).text(given, wholetext=True)
+        expected = as_bytes(expected.selectExpr("_metadata.file_path AS source", "value AS text")).collect()
+        loaded = files.load_corpus(spark, given)
+        found = as_bytes(loaded).collect()
+        assert set(found) ^ set(expected) == set() and len(found) == len(expected) == 58
+    # the driver knows the files of the listing only
+    assert all("/corpus-listing-" in f for f in loaded.inputFiles())
+    assert rows(loaded.where("filename = 'top.txt'"), "size", "folder") == [(4, "c")]
+
+
+def test_corpus_of_packed_files_patterns_and_no_files(spark, tmp_path):
+    (tmp_path / "c" / "s").mkdir(parents=True)
+    assert files.load_corpus(spark, str(tmp_path / "c")).count() == 0
+    (tmp_path / "c" / "s" / "a.txt").write_text("plain")
+    assert rows(files.load_corpus(spark, f"{tmp_path}/c/*/a.t?t"), "text") == [("plain",)]
+    assert rows(files.load_corpus(spark, f"{tmp_path}/c/s/a.txt"), "text") == [("plain",)]
+    (tmp_path / "c" / "s" / "b.txt.gz").write_bytes(gzip.compress(b"packed"))
+    assert sorted(rows(files.load_corpus(spark, str(tmp_path / "c")), "text")) == [("packed",), ("plain",)]
+    with pytest.raises(Exception, match="(?i)path"):
+        files.load_corpus(spark, str(tmp_path / "missing"))
