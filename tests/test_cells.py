@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from conftest import rows
+from pyspark.sql import functions as F
 
 from bidloom.operators import cells, retrieval
 
@@ -85,3 +87,19 @@ def test_bounds_keep_all_that_may_be_near():
         r, c = np.nonzero(np.maximum(away - lost, 0) <= expected[:, None])
         assert set(zip(r, c)) == set(zip(row.tolist(), col.tolist()))
         assert np.allclose(lower, np.maximum(away - lost, 0)[row, col]) and np.allclose(upper, (away + lost)[row, col])
+
+
+def test_large_tables_of_few_values_are_not_gathered_in_the_driver(spark):
+    alike = spark.range(300).select(F.concat(F.lit("v"), "id").alias("vec_id"), F.array(*[F.lit(1.0)] * 8).alias("embedding"))
+    asked = spark.range(60).select(F.col("id").alias("question_id"), F.array(*[F.lit(0.5)] * 8).alias("question_embedding"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # every vector is as near as the others: 18,000 pairs, in files of far less
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "500k")
+    try:
+        hits = cells.search(cells.build_index(alike, cells=2), asked).hits
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [id" in plan
+        found = sorted(rows(hits, "question_id", "vec_id", "rank"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == [(q, f"v{v}", n) for q in range(60) for n, v in enumerate((0, 1, 10, 100), 1)]
